@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from notemill.functions.vectors import current_notes
 from notemill.llm.neighbours import similar_pairs
+from notemill.llm.splitting import split_oversized
 from notemill.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,3 +25,25 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     notes = current_notes(read_table(spark, d, "notes"), "vec")
     return similar_pairs(notes, "path", "vec", k=5, min_cosine=0.90).select("path", "neighbour")
+
+
+@query
+def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return split_oversized(read_table(spark, d, "chunks"), "chunk_id")
+
+
+@query
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_pieces(spark, d).select("chunk_id").distinct()
+
+
+SQL["p1_found"] = r"""
+WITH c AS (SELECT DISTINCT chunk_id, text FROM chunks WHERE length(text) > 600),
+n AS (SELECT chunk_id,
+  len(regexp_extract_all(text, '[\x{3040}-\x{30ff}\x{3400}-\x{9fff}\x{f900}-\x{faff}\x{ac00}-\x{d7af}]')) AS cjk,
+  list_sum(list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda w: greatest(78, 13 * length(w)))) AS words,
+  regexp_replace(text, '[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{3040}-\x{30ff}\x{3400}-\x{9fff}\x{f900}-\x{faff}\x{ac00}-\x{d7af}A-Za-z0-9_]+', '', 'g') AS rest
+  FROM c),
+m AS (SELECT *, length(rest) AS r, length(regexp_replace(rest, '[\p{L}\p{N}]+', '', 'g')) AS s FROM n)
+SELECT DISTINCT chunk_id FROM m WHERE 60 * cjk + coalesce(words, 0) + 78 * (r - s) + 30 * s > 48000
+"""
