@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from notemill.functions.vectors import current_notes
 from notemill.llm.neighbours import similar_pairs
+from notemill.llm.neardup import near_pairs
 from notemill.llm.splitting import split_oversized
 from notemill.session import read_table
 
@@ -47,3 +48,13 @@ n AS (SELECT chunk_id,
 m AS (SELECT *, length(rest) AS r, length(regexp_replace(rest, '[\p{L}\p{N}]+', '', 'g')) AS s FROM n)
 SELECT DISTINCT chunk_id FROM m WHERE 60 * cjk + coalesce(words, 0) + 78 * (r - s) + 30 * s > 48000
 """
+
+
+@query
+def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return near_pairs(read_table(spark, d, "chunks"), "chunk_id", "text")
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_pairs(spark, d).select(F.col("chunk_id_a").alias("chunk_a"), F.col("chunk_id_b").alias("chunk_b"))

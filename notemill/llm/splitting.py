@@ -23,12 +23,13 @@ SENTENCE = rf"(?<=[。！？!?；;][{SPACE}]{{0,4}}|\.[{SPACE}]{{1,4}})"
 LINE = r"(?<=\n[ \t]{0,8})"
 WORD = "(?:(?<![A-Za-z0-9_])|(?![A-Za-z0-9_]))"
 STRONG = [PARAGRAPH, LIST_ITEM, SENTENCE, LINE]
-#: MIN and MAX stand for the bounds: a strong boundary in the upper half of a piece goes before a stronger one in the lower
+#: MIN, LOW and MAX stand for the bounds: a strong boundary in the upper half of a piece goes before a stronger one in the lower
 PIECE = (
     f"[{SPACE}]*+(?:(?:{ATOM}){{1,MAX}}+\\z|"
     + "|".join(f"(?:{ATOM}){{MIN,MAX}}{b}" for b in STRONG)
     + "|"
-    + "|".join(f"(?:{ATOM}){{1,MAX}}{b}" for b in [*STRONG, WORD, ""])
+    + "|".join(f"(?:{ATOM}){{LOW,MAX}}{b}" for b in [*STRONG, WORD])
+    + f"|(?:{ATOM}){{1,MAX}}"
     + ")"
 )
 LOOKBACK_CHARS = 600  #: an overlap is looked for in so many characters before a cut
@@ -36,7 +37,8 @@ LOOKBACK_CHARS = 600  #: an overlap is looked for in so many characters before a
 
 def _pattern(most: Column) -> Column:
     least = F.greatest(F.lit(1), F.floor(most / 2)).cast("string")
-    return F.replace(F.replace(F.lit(PIECE), F.lit("MIN"), least), F.lit("MAX"), most.cast("string"))
+    low = F.greatest(F.lit(1), F.floor(most / 8)).cast("string")  # a heading line alone makes no piece
+    return F.replace(F.replace(F.replace(F.lit(PIECE), F.lit("MIN"), least), F.lit("LOW"), low), F.lit("MAX"), most.cast("string"))
 
 
 def _overlap(piece: Column, atoms: int) -> Column:
