@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 CJK = r"぀-ヿ㐀-鿿豈-﫿가-힯"
 UNITS = 60
 CJK_UNITS, WORD_UNITS, WORD_CHAR_UNITS, SYMBOL_UNITS = 60, 78, 13, 30
-SPACE = r"\s\x1c-\x1f\x85   -     　"
+SPACE = r"\s\x1c-\x1f\x85\xa0  -     　"
 #: no text of so many tokens is shorter than this many characters times tokens
 MAX_UNITS_PER_CHAR = 78
 

@@ -65,3 +65,18 @@ def current_notes(notes: DataFrame, *columns: str) -> DataFrame:
     rest = [c for c in columns if c != "path"]
     best = F.max(F.struct("indexed_at", *rest)).alias("best")
     return notes.where(F.col("path").isNotNull()).groupBy("path").agg(best).select("path", *[F.col(f"best.{c}").alias(c) for c in rest])
+
+
+def with_unit_or_null(df: DataFrame, vec: str = "vec", out: str = "u", dim: int = 64) -> DataFrame:
+    """All rows of df; vec is replaced by out, the packed unit vector, null where vec isn't usable."""
+    keep = [f for f in df.schema.fields if f.name != vec]
+    names = [f.name for f in keep]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, x = unit_rows(b.column(b.schema.get_field_index(vec)), dim)
+            place = np.full(b.num_rows, -1)
+            place[rows] = np.arange(len(rows))
+            yield from pa.Table.from_batches([b.select(names)]).append_column(out, binary(x).take(pa.array(place, mask=place < 0))).combine_chunks().to_batches()
+
+    return df.mapInArrow(pack, T.StructType([*keep, T.StructField(out, T.BinaryType())]))
