@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notemill.functions.vectors import current_notes
+from notemill.functions.vectors import current_notes, with_unit_or_null
 from notemill.llm.neighbours import similar_pairs
+from notemill.llm.history import HistoryIndex
 from notemill.llm.neardup import near_pairs
 from notemill.llm.splitting import split_oversized
 from notemill.session import read_table
@@ -58,3 +59,15 @@ def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_pairs(spark, d).select(F.col("chunk_id_a").alias("chunk_a"), F.col("chunk_id_b").alias("chunk_b"))
+
+
+@query
+def p7_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    index = HistoryIndex(spark)
+    index.append(with_unit_or_null(current_notes(read_table(spark, d, "notes"), "text_hash", "vec")))
+    return index.check(read_table(spark, d, "incoming"))
+
+
+@query
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_verdicts(spark, d).where("verdict <> 'accepted'").select("item_id", "verdict")
