@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from notemill.functions.vectors import current_notes, with_unit_or_null
 from notemill.llm.neighbours import similar_pairs
 from notemill.llm.history import HistoryIndex
+from notemill.llm.markup import clean_markup, kinds_found
 from notemill.llm.neardup import near_pairs
 from notemill.llm.splitting import split_oversized
 from notemill.session import read_table
@@ -71,3 +72,13 @@ def p7_verdicts(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_verdicts(spark, d).where("verdict <> 'accepted'").select("item_id", "verdict")
+
+
+@query
+def p4_clean(spark: SparkSession, d: str) -> DataFrame:
+    return clean_markup(read_table(spark, d, "extracted"))
+
+
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return kinds_found(p4_clean(spark, d))
