@@ -12,6 +12,7 @@ from notemill.llm.neighbours import similar_pairs
 from notemill.llm.history import HistoryIndex
 from notemill.llm.markup import clean_markup, kinds_found
 from notemill.llm.neardup import near_pairs
+from notemill.llm.spans import sharing
 from notemill.llm.splitting import split_oversized
 from notemill.session import read_table
 
@@ -82,3 +83,8 @@ def p4_clean(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return kinds_found(p4_clean(spark, d))
+
+
+@query
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return sharing(read_table(spark, d, "documents"))
