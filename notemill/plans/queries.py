@@ -1,0 +1,38 @@
+"""The queries of the core and their SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from notemill.operators.changes import ChangeLog, changed_paths
+from notemill.session import read_table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    log = ChangeLog(spark)
+    log.capture(changed_paths(*(read_table(spark, d, t) for t in ("files", "notes", "index_runs"))))
+    log.run()
+    return log.sink().select("path", "change_kind")
+
+
+SQL["p2_found"] = """
+WITH runs AS (SELECT started_at, max_by(status, run_id) AS status, lead(started_at) OVER (ORDER BY started_at) AS until
+  FROM index_runs WHERE started_at IS NOT NULL GROUP BY started_at),
+known AS (SELECT n.path, arg_max_null(lower(n.hash), n.indexed_at) AS hash, max(n.indexed_at) AS at FROM notes n JOIN runs r
+  ON n.indexed_at >= r.started_at AND (r.until IS NULL OR n.indexed_at < r.until) WHERE lower(trim(r.status)) = 'ok' GROUP BY n.path),
+there AS (SELECT path, arg_max_null(lower(file_hash), modification_time) AS hash FROM files GROUP BY path)
+SELECT path, CASE WHEN known.path IS NULL THEN 'added' WHEN there.path IS NULL THEN 'removed' ELSE 'updated' END AS change_kind
+FROM there FULL JOIN known USING (path)
+WHERE known.path IS NULL OR there.path IS NULL OR there.hash IS NULL OR known.hash IS NULL OR there.hash <> known.hash
+"""
