@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from notemill.functions.vectors import binary, matrix, unit_rows
+from notemill.session import materialize
 
 MAX_PIVOTS = 4096  #: pivots collected to the driver: at most this many vectors, whatever the input
 ROWS_PER_PIVOT = 200  #: up to MAX_PIVOTS there is a pivot for so many rows
@@ -50,6 +51,17 @@ def permute(df: DataFrame, pivots: np.ndarray, vec: str, dim: int, prefix: int)
     return df.where(F.col(vec).isNotNull()).mapInArrow(run, schema)
 
 
+def distinct_entries(permuted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of rows (key, u, perm): themselves as a table; (rep, key) of those whose vector is repeated; and (rep, u, perm), each vector once.
+
+    Copies are found by digest, in short columns; they are a table of their own, so that Spark knows its size when it plans joins."""
+    rows = materialize(permuted.withColumn("h", F.unhex(F.md5("u"))), "permuted")
+    copies = rows.groupBy("h").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    members = materialize(rows.select("h", "key").join(materialize(copies, "copies"), "h").select("rep", "key"), "members")
+    entries = rows.join(members.where("key <> rep").select("key"), "key", "left_anti").select(F.col("key").alias("rep"), "u", "perm")
+    return rows, members, entries
+
+
 def pivot_at(i: int) -> Column:
     """The i-th nearest pivot of perm (little-endian uint16)."""
     two = F.hex(F.substring("perm", 2 * i + 1, 2))

@@ -14,7 +14,8 @@ from notemill.llm.markup import clean_markup, kinds_found
 from notemill.llm.neardup import near_pairs
 from notemill.llm.spans import sharing
 from notemill.llm.splitting import split_oversized
-from notemill.session import read_table
+from notemill.llm.themes import describe, themes
+from notemill.session import materialize, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -88,3 +89,17 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sharing(read_table(spark, d, "documents"))
+
+
+@query
+def p3_themes(spark: SparkSession, d: str) -> DataFrame:
+    notes = current_notes(read_table(spark, d, "notes"), "vec", "tags_json", "folder")
+    return describe(themes(notes, "path", "vec"), notes)
+
+
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    theme = materialize(themes(current_notes(read_table(spark, d, "notes"), "vec"), "path", "vec").select("path", "theme"), "themes")
+    pairs = read_table(spark, d, "cluster_probe").select("note_a", "note_b").distinct()
+    pairs = pairs.join(theme.select(F.col("path").alias("note_a"), "theme"), "note_a")
+    return pairs.join(theme.select(F.col("path").alias("note_b"), "theme"), ["note_b", "theme"]).select("note_a", "note_b")
