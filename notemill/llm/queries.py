@@ -11,7 +11,10 @@ from notemill.functions.vectors import current_notes, with_unit_or_null
 from notemill.llm.neighbours import similar_pairs
 from notemill.llm.history import HistoryIndex
 from notemill.llm.markup import clean_markup, kinds_found
+from notemill.llm.mixing import mix, shares
 from notemill.llm.neardup import near_pairs
+from notemill.llm.packing import fill_report, pack
+from notemill.llm.sizes import with_tokens
 from notemill.llm.spans import sharing
 from notemill.llm.splitting import split_oversized
 from notemill.llm.themes import describe, themes
@@ -103,3 +106,25 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = read_table(spark, d, "cluster_probe").select("note_a", "note_b").distinct()
     pairs = pairs.join(theme.select(F.col("path").alias("note_a"), "theme"), "note_a")
     return pairs.join(theme.select(F.col("path").alias("note_b"), "theme"), ["note_b", "theme"]).select("note_a", "note_b")
+
+
+@query
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    sized = with_tokens(read_table(spark, d, "documents"), "doc_id", "text")
+    return pack(sized, read_table(spark, d, "pack_profiles"))
+
+
+@query
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return fill_report(p8_containers(spark, d))
+
+
+@query
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    sized = with_tokens(read_table(spark, d, "documents"), "doc_id", "text", "source")
+    return mix(sized, read_table(spark, d, "mix_targets"))
+
+
+@query
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return shares(p9_mix(spark, d), read_table(spark, d, "mix_targets"))
