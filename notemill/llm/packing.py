@@ -142,12 +142,13 @@ def pack(sized: DataFrame, capacities: DataFrame, key: str = "doc_id", profile:
     if not wanted:
         return items.sparkSession.createDataFrame([], f"profile string, capacity int, container string, {key} {kind}, piece int, start_token bigint, tokens bigint")
     each = F.explode(F.array(*[F.struct(F.lit(p).alias("profile"), F.lit(c).alias("capacity")) for p, c in wanted]))
-    # the same text given twice may not be in one group only, so rows are dealt with what tells them apart, their place
-    dealt = items.withColumn("shard", F.pmod(F.xxhash64("key", F.monotonically_increasing_id()), F.lit(groups)).cast("int")).select("*", each.alias("p")).select("key", "tokens", "shard", "p.*")
+    # rows with the same key are told apart by their place in the table of sizes, so that they are dealt like any others
+    dealt = items.withColumn("row", F.monotonically_increasing_id())
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("key", "row"), F.lit(groups)).cast("int")).select("key", "row", "tokens", "shard", each.alias("p")).select("key", "row", "tokens", "shard", "p.*")
     whole = F.floor(F.col("tokens") / F.col("capacity")).cast("int")
     full = dealt.where("tokens >= capacity").withColumn("piece", F.explode(F.sequence(F.lit(0), whole - 1)))
     start = F.col("piece").cast("long") * F.col("capacity")
-    full = full.select("profile", "capacity", F.concat_ws("-", F.lit("full"), "shard", F.col("key").cast("string"), "piece").alias("container"), "key", "piece", start.alias("start_token"), F.col("capacity").cast("long").alias("tokens"))
+    full = full.select("profile", "capacity", F.concat_ws("-", F.lit("full"), "row", "piece").alias("container"), "key", "piece", start.alias("start_token"), F.col("capacity").cast("long").alias("tokens"))
     rest = dealt.withColumn("piece", whole).withColumn("start_token", start).withColumn("tokens", F.col("tokens") - start).where("tokens > 0")
 
     def kernel(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
