@@ -12,18 +12,18 @@ from pyspark.sql import types as T
 
 
 def unit_rows(col: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers with a usable vector (dim finite values, not all zero) and those vectors at unit length, as float32."""
+    """Row numbers with a usable vector (dim finite values, not all zero) and those vectors at unit length, as float64."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     lengths = np.asarray(col.value_lengths().fill_null(-1))
     rows = np.flatnonzero(lengths == dim)
     if not len(rows):
-        return rows, np.zeros((0, dim), np.float32)
+        return rows, np.zeros((0, dim))
     flat = col.take(pa.array(rows)).flatten()
     x = np.asarray(flat.cast(pa.float64()).fill_null(np.nan)).reshape(-1, dim)
     norm = np.sqrt((x * x).sum(axis=1))
     good = np.isfinite(norm) & (norm > 0)
-    return rows[good], (x[good] / norm[good][:, None]).astype(np.float32)
+    return rows[good], x[good] / norm[good][:, None]
 
 
 def binary(x: np.ndarray) -> pa.Array:
@@ -45,8 +45,8 @@ def matrix(col: pa.Array, dtype: np.dtype, width: int) -> np.ndarray:
     return np.frombuffer(data, np.uint8)[start:end].view(dtype).reshape(len(col), width)
 
 
-def with_unit(df: DataFrame, vec: str = "vec", out: str = "u", dim: int = 64) -> DataFrame:
-    """Rows of df with a usable vector; vec is replaced by out, the packed unit vector."""
+def with_unit(df: DataFrame, vec: str = "vec", out: str = "u", dim: int = 64, dtype: type = np.float32) -> DataFrame:
+    """Rows of df with a usable vector; vec is replaced by out, the packed unit vector (float32, or float64 for scores to report)."""
     keep = [f for f in df.schema.fields if f.name != vec]
     schema = T.StructType([*keep, T.StructField(out, T.BinaryType(), False)])
     names = [f.name for f in keep]
@@ -55,7 +55,7 @@ def with_unit(df: DataFrame, vec: str = "vec", out: str = "u", dim: int = 64) ->
         for b in batches:
             rows, x = unit_rows(b.column(b.schema.get_field_index(vec)), dim)
             kept = pa.Table.from_batches([b.select(names)]).take(pa.array(rows)).combine_chunks()
-            yield from kept.append_column(out, binary(x)).to_batches()
+            yield from kept.append_column(out, binary(x.astype(dtype))).to_batches()
 
     return df.where(F.col(vec).isNotNull()).mapInArrow(pack, schema)
 
@@ -77,6 +77,6 @@ def with_unit_or_null(df: DataFrame, vec: str = "vec", out: str = "u", dim: int
             rows, x = unit_rows(b.column(b.schema.get_field_index(vec)), dim)
             place = np.full(b.num_rows, -1)
             place[rows] = np.arange(len(rows))
-            yield from pa.Table.from_batches([b.select(names)]).append_column(out, binary(x).take(pa.array(place, mask=place < 0))).combine_chunks().to_batches()
+            yield from pa.Table.from_batches([b.select(names)]).append_column(out, binary(x.astype(np.float32)).take(pa.array(place, mask=place < 0))).combine_chunks().to_batches()
 
     return df.mapInArrow(pack, T.StructType([*keep, T.StructField(out, T.BinaryType())]))
