@@ -27,7 +27,7 @@ def fit_pivots(df: DataFrame, key: str, vec: str, dim: int, pivots: int | None =
     got = spare.select(vec).toArrow()
     if not got.num_rows:
         return np.zeros((0, dim), np.float32)
-    _, x = unit_rows(got.column(0), dim)
+    x = unit_rows(got.column(0), dim)[1].astype(np.float32)
     return np.unique(x, axis=0)[:pivots] if len(x) < pivots else x[:pivots]
 
 
@@ -41,6 +41,7 @@ def permute(df: DataFrame, pivots: np.ndarray, vec: str, dim: int, prefix: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, x = unit_rows(b.column(b.schema.get_field_index(vec)), dim)
+            x = x.astype(np.float32)
             s = x @ pivots.T
             top = np.argpartition(-s, prefix - 1, axis=1)[:, :prefix] if prefix < s.shape[1] else np.tile(np.arange(s.shape[1]), (len(s), 1))
             order = np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable")
