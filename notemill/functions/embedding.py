@@ -14,11 +14,12 @@ def ngram_buckets(df: DataFrame, key: str, text: str, dim: int = 1024) -> DataFr
     The bucket is the first bytes of the n-gram's MD5, little-endian, modulo dim (a power of two up to 65536). Counts are added up
     before the shuffle, one short row per text and bucket."""
     t = F.regexp_replace(F.lower(F.col(text)), f"[{SPACE}]+", "")
-    rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias(key), t.alias("t")).withColumn("n", F.length("t"))
-    gram = lambda size: F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - size + 1, F.lit(1))), lambda i: F.substring(F.col("t"), i, F.lit(size)))
-    grams = F.filter(F.concat(gram(2), gram(3)), lambda g: F.length(g) >= 2)
-    # a text of two characters has no 3-gram
-    grams = F.when(F.col("n") == 2, F.slice(grams, 1, 1)).otherwise(grams)
+    # an array of characters: its elements are found at once, those of a string by counting from its start
+    rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias(key), F.filter(F.split(t, ""), lambda c: c != "").alias("c"))
+    at = lambda i: F.get(F.col("c"), i)
+    two = F.transform("c", lambda x, i: F.concat(x, at(i + 1)))
+    three = F.transform("c", lambda x, i: F.concat(x, at(i + 1), at(i + 2)))
+    grams = F.filter(F.concat(two, three), lambda g: g.isNotNull())
     rows = rows.select(key, F.explode(grams).alias("g")).withColumn("m", F.md5(F.col("g").cast("binary")))
     byte = lambda at: F.conv(F.substring("m", at, 2), 16, 10).cast("int")
     bucket = (byte(1) + 256 * byte(3)) % dim

@@ -85,6 +85,7 @@ def evidence(pairs: DataFrame, chunks: DataFrame, dim: int = 64, most: int = 3)
     blocks = lambda s: chunks.select(F.col("note").alias(s), block.alias(f"k{s}")).distinct()
     left = pairs.join(chunks.select(F.col("note").alias("a"), F.col("idx").alias("i"), "u", block.alias("ka")), "a").join(blocks("b"), "b")
     right = pairs.join(chunks.select(F.col("note").alias("b"), F.col("idx").alias("j"), "u", block.alias("kb")), "b").join(blocks("a"), "a")
+    right = right.toDF(*right.columns)  # columns of its own: both sides come from the same chunks
     by = ["a", "b", "ka", "kb"]
     cells = 3 * most
 
