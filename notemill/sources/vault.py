@@ -11,6 +11,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from notemill.config import DEFAULTS
 from notemill.functions.text import IMAGE_EXTENSIONS, all_tags, clean_common, first_h1, image_targets, needs_ocr, normalise_markdown, split_frontmatter
@@ -20,22 +21,26 @@ from notemill.operators.pdf import clean_pages, pdf_title
 SKILL_FILES = 200  #: files of a skill folder that are listed
 
 
-def scan_vault(spark: SparkSession, vault: str, config: Any = DEFAULTS) -> DataFrame:
-    """(path, role, mtime, length, content) of the vault's documents and images; path is relative to the vault."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(vault)
+def scan_vault(spark: SparkSession, vault: str, config: Any = DEFAULTS, only: list[str] | None = None) -> DataFrame:
+    """(path, role, mtime, length, content) of the vault's files; path is relative to the vault. role is document, image, or null for
+    what doesn't count; such files have no content here, and are known by their path only.
+
+    Spark's file sources pass over names that begin with _ or a dot, below the folder they are given. only: folders of the vault to
+    read instead of all of it, such as the inbox; their own names may begin so."""
     root = vault.rstrip("/")
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([f"{root}/{x}" for x in only] if only else root)
     path = F.url_decode(F.replace(F.regexp_replace("path", r"^file:/+", "/"), F.lit("+"), F.lit("%2B")))
     rows = raw.withColumn("path", F.regexp_replace(path, "^" + _quoted(root.removeprefix("file://")) + "/", ""))
     rows = rows.select("path", (F.unix_micros("modificationTime") / 1e6).alias("mtime"), "length", "content")
     keep = scanned(rows, [*config["exclude"], config["inbox"]], config["extensions"], config["image_extensions"])
-    return rows.join(keep, "path")
+    return rows.join(keep, "path", "left").select("path", "role", "mtime", "length", F.when(F.col("role").isNotNull(), F.col("content")).alias("content"))
 
 
 def _quoted(s: str) -> str:
     return r"\Q" + s.replace(r"\E", r"\E\\E\Q") + r"\E"
 
 
-@F.pandas_udf("struct<json string, bad boolean>")
+@F.pandas_udf(T.StructType([T.StructField("json", T.StringType()), T.StructField("bad", T.BooleanType())]))
 def yaml_json(blocks: pd.Series) -> pd.DataFrame:
     """Frontmatter as JSON: {} for what isn't a mapping; bad where it isn't YAML."""
     import yaml
@@ -50,7 +55,7 @@ def yaml_json(blocks: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["json", "bad"])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decoded(content: pd.Series) -> pd.Series:
     """Bytes as text: UTF-8, else the likeliest character set, else UTF-8 with replacements."""
 
@@ -92,7 +97,7 @@ def markdown(rows: DataFrame, files: DataFrame | None = None) -> DataFrame:
     block, body = split_frontmatter(F.col("raw"))
     rows = rows.withColumn("block", block).withColumn("body", body).withColumn("y", yaml_json("block"))
     fm = F.col("y.json")
-    named = F.nullif(F.get_json_object(fm, F.when(F.col("skill"), "$.name").otherwise("$.title")), F.lit(""))
+    named = F.nullif(F.when(F.col("skill"), F.get_json_object(fm, "$.name")).otherwise(F.get_json_object(fm, "$.title")), F.lit(""))
     folder = F.regexp_extract("path", r"([^/]*)/[^/]*$", 1)
     rows = rows.withColumn("folder_path", F.regexp_extract("path", r"^(.*/)?[^/]*$", 1))
     if files is not None:
