@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notemill.functions.vectors import current_notes, with_unit_or_null
-from notemill.llm.neighbours import similar_pairs
+from notemill.llm.neighbours import similar_pairs, similar_to
 from notemill.llm.history import HistoryIndex
 from notemill.llm.markup import clean_markup, kinds_found
 from notemill.llm.mixing import mix, shares
 from notemill.llm.neardup import near_pairs
 from notemill.llm.packing import fill_report, pack
 from notemill.llm.sizes import with_tokens
-from notemill.llm.spans import sharing
+from notemill.llm.spans import keep_first, merged, shared_parts, shared_report, sharing
 from notemill.llm.splitting import split_oversized
 from notemill.llm.themes import describe, themes
 from notemill.session import materialize, read_table
@@ -128,3 +128,34 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return shares(p9_mix(spark, d), read_table(spark, d, "mix_targets"))
+
+
+@query
+def p6_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """For every chunk whose id is divisible by 50 the five most similar of all chunks."""
+    chunks = read_table(spark, d, "chunks").select("chunk_id", "vec").dropDuplicates(["chunk_id"])
+    return similar_to(chunks.where("chunk_id % 50 = 0"), chunks, "chunk_id", "vec")
+
+
+@query
+def p6_notes(spark: SparkSession, d: str) -> DataFrame:
+    """The same for notes, which have no number: those whose path's hash is divisible by 50 ask."""
+    notes = current_notes(read_table(spark, d, "notes"), "vec")
+    return similar_to(notes.where(F.xxhash64("path") % 50 == 0), notes, "path", "vec")
+
+
+@query
+def p10_passages(spark: SparkSession, d: str) -> DataFrame:
+    return merged(shared_parts(read_table(spark, d, "documents")), "doc_id")
+
+
+@query
+def p10_shared(spark: SparkSession, d: str) -> DataFrame:
+    docs = read_table(spark, d, "documents")
+    return shared_report(docs, shared_parts(docs))
+
+
+@query
+def p10_kept(spark: SparkSession, d: str) -> DataFrame:
+    docs = read_table(spark, d, "documents")
+    return keep_first(docs, shared_parts(docs))

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from notemill.llm.bands import mix64
 from notemill.session import materialize
@@ -174,3 +175,72 @@ def sharing(df: DataFrame, key: str = "doc_id", text: str = "text", least: int =
     some = materialize(some, "passages")
     more = some.join(_several(some, "hash", "passage"), ["hash", "passage"], "left_semi").select("key")
     return settled.unionByName(more).distinct().select(F.col("key").alias(key))
+
+
+def shared_parts(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
+    """(key, start, end, later): stretches of texts that other texts have too, together all of what is shared; later says that a
+    lesser key has the stretch, so this is not its first place.
+
+    Where the passages that begin and end with an anchor are shared alike, they cover all passages through it, and these are not
+    tried, unless the anchor has another place where it is otherwise."""
+    texts, found = shared_anchors(df, key, text, least)
+    sides = F.array(*[F.struct(F.lit(i).alias("side"), F.col(c).alias("passage")) for i, c in enumerate(("after", "before"))])
+    tried = found.select("hash", "key", "pos", "len", F.explode(sides).alias("x")).select("hash", "key", "pos", "len", "x.side", "x.passage")
+    several = _several(tried.where("passage is not null"), "hash", "side", "passage")
+    seen = materialize(tried.join(several, ["hash", "side", "passage"], "left").withColumn("later", F.col("key") > F.col("first")), "sides")
+    start = F.when(F.col("side") == 0, F.col("pos")).otherwise(F.col("pos") + F.col("len") - least)
+    ends = seen.where("first is not null").select("key", start.alias("start"), (start + least).alias("end"), "later")
+    alike = seen.groupBy("hash", "key", "pos").agg(F.count("first").alias("n"), F.min("later").alias("x"), F.max("later").alias("y")).where("n < 2 or x <> y").select("hash").distinct()
+    rest = materialize(found.join(alike, "hash", "left_semi").groupBy("key").agg(F.collect_list(F.struct("hash", "pos", "len")).alias("found")), "open")
+    some = materialize(passages(texts.join(rest, "key"), texts.schema["key"].dataType.simpleString(), least), "passages")
+    through = some.join(_several(some, "hash", "passage"), ["hash", "passage"])
+    through = through.select("key", F.col("pos").alias("start"), (F.col("pos") + least).alias("end"), (F.col("key") > F.col("first")).alias("later"))
+    return ends.unionByName(through).withColumnRenamed("key", key)
+
+
+def merged(parts: DataFrame, key: str) -> DataFrame:
+    """(key, start, end): the parts of each text as stretches that don't touch."""
+    before = Window.partitionBy(key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    new = F.when(F.col("start") > F.coalesce(F.max("end").over(before), F.lit(-1)), 1).otherwise(0)
+    run = F.sum("new").over(Window.partitionBy(key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0))
+    # of parts with one start only the longest counts: fewer rows to sort
+    longest = parts.groupBy(key, "start").agg(F.max("end").alias("end"))
+    return longest.withColumn("new", new).withColumn("run", run).groupBy(key, "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
+
+
+def shared_report(df: DataFrame, parts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, chars, shared_chars, share) of every text."""
+    got = merged(parts, key).groupBy(key).agg(F.sum(F.col("end") - F.col("start")).alias("shared_chars"))
+    size = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).groupBy(key).agg(F.max(F.length(text)).alias("chars"))
+    out = size.join(got, key, "left").withColumn("shared_chars", F.coalesce("shared_chars", F.lit(0)))
+    return out.withColumn("share", F.round(F.col("shared_chars") / F.greatest("chars", F.lit(1)), 6))
+
+
+def keep_first(df: DataFrame, parts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, text, removed_chars): each text without the sentences that lie in a stretch an earlier text has."""
+    gone = merged(parts.where("later"), key).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("gone"))
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).join(gone.withColumnRenamed(key, "key"), "key", "left")
+    kind = df.schema[key].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept, removed = [], []
+            for t, gone in zip(b.column("text").to_pylist(), b.column("gone").to_pylist()):
+                out = t
+                if t and gone:
+                    ends = [i + 1 for i, c in enumerate(t) if c in ENDS and (i + 1 == len(t) or t[i + 1] not in ENDS)]
+                    bounds = sorted({0, *ends, len(t)})
+                    held = iter(gone)
+                    g = next(held)
+                    pieces = []
+                    for s, e in zip(bounds, bounds[1:]):
+                        while g is not None and g["end"] < e:
+                            g = next(held, None)
+                        if g is None or not (g["start"] <= s and e <= g["end"]):
+                            pieces.append(t[s:e])
+                    out = "".join(pieces)
+                kept.append(out)
+                removed.append(len(t) - len(out) if t else 0)
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(kept, pa.string()), pa.array(removed, pa.int32())], names=[key, "text", "removed_chars"])
+
+    return rows.mapInArrow(cut, f"`{key}` {kind}, text string, removed_chars int")
