@@ -286,7 +286,7 @@ def render_html(t: str, hold: Any) -> str:
                 out.append("\n```\n" if name == "pre" else "" if "pre" in path else "`")
             elif name in ("td", "th"):
                 out.append(" | " if out and out[-1].strip() not in ("", "|") or out and out[-1] == " " else "")
-            elif name in BLOCK:
+            elif name in BLOCK and name not in ("ul", "ol"):
                 out.append("\n")
         elif last[:1] == "/":
             name = last[1:]

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notemill.llm.bands import band_keys, differing, pack_bits
+from notemill.llm.components import components
 from notemill.llm.minmax import gram_hashes, minmax, permutations
 from notemill.session import materialize
 
@@ -118,3 +119,34 @@ def near_pairs(df: DataFrame, key: str, text: str, **options) -> DataFrame:
     equal = same.select("rep", F.col("key").alias("x")).join(same.select("rep", F.col("key").alias("y")), "rep").where("x < y")
     equal = equal.select(F.col("x").alias(f"{key}_a"), F.col("y").alias(f"{key}_b"), F.lit(1.0).alias("similarity"))
     return across.unionByName(equal).groupBy(f"{key}_a", f"{key}_b").agg(F.max("similarity").alias("similarity"))
+
+
+def groups(links: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """(key, class_id, group_id, group_size, links): for every key with a class, its class (of equal texts), its group (classes linked
+    directly or through others), the keys in it, and the different texts its own is similar to."""
+    members = materialize(members, "members")
+    found = components(links.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
+    ends = links.select(F.col("rep_a").alias("rep")).unionByName(links.select(F.col("rep_b").alias("rep")))
+    n = ends.groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+    per = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").join(n, "rep", "left")
+    per = per.select(F.col("key").alias(key), F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    size = per.groupBy("group_id").agg(F.count(F.lit(1)).alias("group_size"))
+    return per.join(size, "group_id").select(key, "class_id", "group_id", "group_size", "links")
+
+
+def vector_evidence(links: DataFrame, chunks: DataFrame, notes: DataFrame, key: str = "chunk_id", dim: int = 64) -> DataFrame:
+    """links with the cosines of the chunks' vectors and of their notes' vectors; null where one has no usable vector.
+
+    chunks: (key, note, vec); notes: (path, vec)."""
+    one = chunks.groupBy(F.col(key).alias("k")).agg(F.max(F.struct("note", "vec")).alias("c")).select("k", "c.note", "c.vec")
+    side = lambda s: one.select(F.col("k").alias(f"rep_{s}"), F.col("note").alias(f"note_{s}"), F.col("vec").alias(f"vec_{s}"))
+    owner = lambda s: notes.select(F.col("path").alias(f"note_{s}"), F.col("vec").alias(f"whole_{s}"))
+    rows = links.join(side("a"), "rep_a").join(side("b"), "rep_b").join(owner("a"), "note_a", "left").join(owner("b"), "note_b", "left")
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
+
+    def cosine(x: str, y: str) -> Column:
+        a, b = F.col(x), F.col(y)
+        n = F.sqrt(dot(a, a) * dot(b, b))
+        return F.when((F.size(a) == dim) & (F.size(b) == dim) & (n > 0), F.round(dot(a, b) / n, 5))
+
+    return rows.select("rep_a", "rep_b", "similarity", cosine("vec_a", "vec_b").alias("chunk_cosine"), cosine("whole_a", "whole_b").alias("note_cosine"))

@@ -12,7 +12,7 @@ from notemill.llm.neighbours import similar_pairs, similar_to
 from notemill.llm.history import HistoryIndex
 from notemill.llm.markup import clean_markup, kinds_found
 from notemill.llm.mixing import mix, shares
-from notemill.llm.neardup import near_pairs
+from notemill.llm.neardup import groups, near_duplicates, near_pairs, vector_evidence
 from notemill.llm.packing import fill_report, pack
 from notemill.llm.sizes import with_tokens
 from notemill.llm.spans import keep_first, merged, shared_parts, shared_report, sharing
@@ -159,3 +159,16 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
 def p10_kept(spark: SparkSession, d: str) -> DataFrame:
     docs = read_table(spark, d, "documents")
     return keep_first(docs, shared_parts(docs))
+
+
+@query
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    links, members = near_duplicates(read_table(spark, d, "chunks"), "chunk_id", "text")
+    return groups(materialize(links, "links"), members, "chunk_id")
+
+
+@query
+def p5_evidence(spark: SparkSession, d: str) -> DataFrame:
+    chunks = read_table(spark, d, "chunks")
+    links, _ = near_duplicates(chunks, "chunk_id", "text")
+    return vector_evidence(links, chunks, current_notes(read_table(spark, d, "notes"), "vec"))
