@@ -14,9 +14,10 @@ from notemill.functions.text import text_hash
 from notemill.functions.vectors import with_unit
 from notemill.operators.chunking import chunk_texts
 from notemill.operators.dedup import chunk_links, evidence, exact_groups, exact_matches, redundant_across, redundant_inside, redundant_ratio, related_notes
-from notemill.operators.folders import classify, note_vectors, suggest_tags, similar
+from notemill.operators.folders import classify, note_vectors, profiles, similar, suggest_tags
 from notemill.operators.index import image_referrers, index_diff, index_stats, resolve_images
-from notemill.operators.vector_join import pairs_above
+from notemill.operators.linkage import average_linkage
+from notemill.operators.vector_join import cosines, pairs_above, pairs_between, top_k
 from notemill.session import materialize
 from notemill.sources import vault as sources
 from notemill.sources.snapshots import Snapshots
@@ -77,8 +78,6 @@ class Engine:
         if stored is None:
             return 1.0
         unit = lambda df, out: with_unit(df, out=out, dim=self.embedder.dim, dtype=np.float64)
-        from notemill.operators.vector_join import cosines
-
         least = cosines(unit(self.probe(), "u").join(unit(stored, "v"), "key"), self.embedder.dim, "key").agg(F.min("cosine")).head()[0]
         if least is None or least < self.t["probe_min"]:
             raise EngineError("backend_incompatible", f"the index was made by another model (cosine {least})")
@@ -200,6 +199,34 @@ class Engine:
         exact = F.coalesce(F.col("ha") == F.col("hb"), F.lit(False))
         return found.select("a", "b", F.when(exact, "image_exact").otherwise("image_duplicate").alias("kind"), F.when(exact, 1.0).otherwise(F.round("cosine", 4)).alias("score"))
 
+    def dedup_images(self, queries: DataFrame, vectors: DataFrame) -> DataFrame:
+        """(image, target, kind, score, referenced_by): images (image, file_hash, vec, own: of the document) against those of the index
+        (path, vec). Equal bytes make a pair exact, but the vectors must be alike too; a document's own images are left out."""
+        d = self.embedder.dim
+        u = lambda df, key: with_unit(df.select(F.col(key).alias("key"), "vec"), dim=d, dtype=np.float64)
+        found = pairs_between(u(queries, "image"), u(vectors, "path"), self.t["image_dup"], d)
+        of = queries.select(F.col("image").alias("left"), F.col("file_hash").alias("mine"), "own")
+        at = self.table("images").select(F.col("path").alias("right"), F.col("file_hash").alias("theirs"), "referenced_by")
+        rows = found.join(of, "left").join(at, "right", "left").where(~F.coalesce(F.array_contains("own", F.col("right")), F.lit(False)))
+        exact = F.coalesce(F.col("mine") == F.col("theirs"), F.lit(False))
+        return rows.select(F.col("left").alias("image"), F.col("right").alias("target"), F.when(exact, "image_exact").otherwise("image_duplicate").alias("kind"), F.when(exact, 1.0).otherwise(F.round("cosine", 4)).alias("score"), "referenced_by")
+
+    def similar_images(self, queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
+        """(query, path, score, rank, referenced_by) for image vectors (query, vec) against those of the index (path, vec)."""
+        d = self.embedder.dim
+        found = top_k(with_unit(queries.select("query", "vec"), dim=d, dtype=np.float64), with_unit(vectors.select(F.col("path").alias("key"), "vec"), dim=d, dtype=np.float64), k, d)
+        refs = self.table("images").select("path", "referenced_by")
+        return found.select("query", F.col("key").alias("path"), F.round("score", 4).alias("score"), "rank").join(refs, "path", "left")
+
+    def propose_tags(self, k: int | None = None, distance: float = 0.35) -> DataFrame:
+        """Profiles of the average-linkage clusters of the notes, the largest first. For a bounded number of notes (see linkage)."""
+        notes = self.table("notes")
+        if k is not None and k < 1:
+            raise EngineError("bad_args", "k must be at least 1")
+        rows = with_unit(notes.select(F.col("path").alias("key"), "vec"), dim=self.embedder.dim, dtype=np.float64)
+        labels = average_linkage(rows, None if k else distance, k, self.embedder.dim).withColumnRenamed("key", "path")
+        return profiles(notes.join(labels, "path"), self.embedder.dim).orderBy(F.col("size").desc(), "label")
+
     def referrers(self) -> DataFrame:
         return image_referrers(self.table("notes").select("path", "images"))
 

@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from notemill.session import new_path
 
-PARTITIONS = 16
+PARTITIONS = 64  #: of the log; the offsets of all of them are the only thing the driver keeps
 EVENTS = "path string, change_kind string, file_hash string, seen timestamp, part int, offset bigint"
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from notemill.functions.tokens import CJK, CJK_UNITS, SYMBOL_UNITS, UNITS, WORD_CHAR_UNITS, WORD_UNITS
 
+# fixed values: what is a word or symbol, a line, a heading, a fence, the end of a sentence
 _PART = re.compile(rf"([A-Za-z0-9_]+)|([{CJK}])|([^\s{CJK}A-Za-z0-9_])")
 _LINE = re.compile("[^\n\r\v\f\x1c-\x1e\x85\N{LINE SEPARATOR}\N{PARAGRAPH SEPARATOR}]*(?:\r\n|[\n\r\v\f\x1c-\x1e\x85\N{LINE SEPARATOR}\N{PARAGRAPH SEPARATOR}]|\\Z)")
 _HEADING = re.compile(r"(#{1,6})\s+(.+?)\s*#*\s*\Z")

@@ -8,6 +8,9 @@ from pyspark.sql.window import Window
 
 from notemill.functions.text import is_page_number, join_lines, norm_line, strip
 
+# fixed value: titles that word processors put in
+STAND_IN = r"(?i)^(untitled|microsoft (word|powerpoint)\b)|\.(docx?|pdf)$"
+
 
 def page_lines(docs: DataFrame) -> DataFrame:
     """(path, pages, page, line, text, top, bottom): lines of docs (path, pages); top and bottom: place among the page's lines that
@@ -51,6 +54,6 @@ def clean_pages(docs: DataFrame) -> DataFrame:
 def pdf_title(metadata: Column, header: Column, text: Column, stem: Column) -> Column:
     """The document's title: its own, unless it is a stand-in; a short running header; the first line if short; the file's name."""
     own = strip(F.coalesce(metadata, F.lit("")))
-    stand_in = F.regexp(own, F.lit(r"(?i)^(untitled|microsoft (word|powerpoint)\b)|\.(docx?|pdf)$"))
+    stand_in = F.regexp(own, F.lit(STAND_IN))
     line = strip(F.regexp_extract(text, r"(?d)(?:\A|\n)([^\n]*\S[^\n]*)", 1))
     return F.coalesce(F.when((own != "") & ~stand_in, own), F.when((F.length(header) > 0) & (F.length(header) < 80), header), F.when((F.length(line) > 0) & (F.length(line) < 80), line), stem)

@@ -129,3 +129,11 @@ def pairs_above(rows: DataFrame, least: float, dim: int = 64) -> DataFrame:
     some = members.join(copies, "rep")
     same = some.select("rep", F.col("key").alias("a")).join(some.select("rep", F.col("key").alias("b")), "rep").where("a < b")
     return wide.unionByName(same.select("a", "b", F.lit(1.0).alias("cosine")))
+
+
+def pairs_between(left: DataFrame, right: DataFrame, least: float, dim: int = 64) -> DataFrame:
+    """(left, right, cosine) of pairs of rows (key: string, u) of two sets with at least that cosine; copies as in pairs_above."""
+    mark = lambda df, m: df.select(F.concat(F.lit(m), "key").alias("key"), "u")
+    found = pairs_above(mark(left, "\x02").unionByName(mark(right, "\x03")), least, dim)
+    found = found.where(F.col("a").startswith("\x02") & F.col("b").startswith("\x03"))
+    return found.select(F.expr("substring(a, 2)").alias("left"), F.expr("substring(b, 2)").alias("right"), "cosine")

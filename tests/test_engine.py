@@ -96,3 +96,31 @@ def test_inbox_stream(spark, tmp_path):
     run()
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted(r.title for r in rows) == ["A", "b"]
+
+
+def test_images_tags_and_command_line(engine, spark, tmp_path, capsys):
+    e, root = engine
+    v = spark.createDataFrame([("attachments/red.png", [1.0] + [0.0] * 255), ("b.png", [0.99, 0.1] + [0.0] * 254)], "path string, vec array<double>")
+    assert [(r.a, r.b, r.kind) for r in e.image_pairs(v).collect()] == [("attachments/red.png", "b.png", "image_duplicate")]
+    q = spark.createDataFrame([("new.png", "x", [1.0] + [0.0] * 255, ["b.png"])], "image string, file_hash string, vec array<double>, own array<string>")
+    got = e.dedup_images(q, v).collect()
+    assert [(r.target, r.kind) for r in got] == [("attachments/red.png", "image_duplicate")] and got[0].referenced_by
+    near = e.similar_images(q.selectExpr("image as query", "vec"), v, 1).head()
+    assert near.path == "attachments/red.png" and near.score == 1.0
+    top = e.propose_tags(distance=0.6).head()
+    assert top["size"] >= 3
+    with pytest.raises(EngineError):
+        e.propose_tags(0)
+
+    import json
+
+    from notemill.__main__ import main, plain
+
+    assert main(["--index", str(tmp_path / "none"), "--vault", str(root), "status"]) == 0
+    assert json.loads(capsys.readouterr().out)["result"]["notes"] == 0
+    assert main(["--index", str(tmp_path / "none"), "--vault", str(root), "dedup"]) == 1
+    assert main(["--index", str(tmp_path / "none"), "extract", "x"]) == 2
+    capsys.readouterr()
+    assert main(["--index", str(tmp_path / "none"), "--vault", str(root), "extract", "tool", "--max-chars", "4"]) == 0
+    assert json.loads(capsys.readouterr().out)["result"][0]["text"] == "Does"
+    assert plain({"a": spark.range(1)}) == {"a": [{"id": 0}]}
