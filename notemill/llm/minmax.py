@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
+AT_ONCE = 1 << 16  #: hashes permuted at once, so that a long text needs no more memory than a short one
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -27,9 +28,12 @@ def permutations(count: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
 def minmax(hashes: np.ndarray, perms: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Signature of 2 x permutations values: each permutation's minimum, then each one's maximum."""
     a, b = perms
-    x = hashes[None, :] * a
-    x ^= b
-    x ^= x >> np.uint32(15)
-    x *= np.uint32(0x2C1B3C6D)
-    x ^= x >> np.uint32(13)
-    return np.concatenate([x.min(axis=1), x.max(axis=1)])
+    low, high = np.full(len(a), np.iinfo(np.uint32).max, np.uint32), np.zeros(len(a), np.uint32)
+    for s in range(0, len(hashes), AT_ONCE):
+        x = hashes[None, s : s + AT_ONCE] * a
+        x ^= b
+        x ^= x >> np.uint32(15)
+        x *= np.uint32(0x2C1B3C6D)
+        x ^= x >> np.uint32(13)
+        low, high = np.minimum(low, x.min(axis=1)), np.maximum(high, x.max(axis=1))
+    return np.concatenate([low, high])

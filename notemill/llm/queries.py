@@ -172,3 +172,17 @@ def p5_evidence(spark: SparkSession, d: str) -> DataFrame:
     chunks = read_table(spark, d, "chunks")
     links, _ = near_duplicates(chunks, "chunk_id", "text")
     return vector_evidence(links, chunks, current_notes(read_table(spark, d, "notes"), "vec"))
+
+
+SQL["p6_found"] = """
+WITH cur AS (SELECT path, vec FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY indexed_at DESC NULLS LAST) AS r FROM notes WHERE path IS NOT NULL) WHERE r = 1),
+n AS (SELECT path, list_transform(vec::DOUBLE[], lambda x: x / sqrt(list_inner_product(vec::DOUBLE[], vec::DOUBLE[]))) AS u FROM cur WHERE vec IS NOT NULL AND len(vec) = 64 AND list_inner_product(vec::DOUBLE[], vec::DOUBLE[]) > 0),
+s AS (SELECT a.path, b.path AS neighbour, list_inner_product(a.u, b.u) AS s FROM n a JOIN n b ON a.path <> b.path AND list_inner_product(a.u, b.u) >= 0.90)
+SELECT path, neighbour FROM s QUALIFY row_number() OVER (PARTITION BY path ORDER BY round(s, 5) DESC, neighbour) <= 5
+"""
+
+SQL["p10_found"] = """
+WITH w AS (SELECT doc_id, md5(substring(text, unnest(range(1, length(text) - 198)), 200)) AS h FROM documents WHERE length(text) >= 200),
+m AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id))
+SELECT DISTINCT doc_id FROM w WHERE h IN (SELECT h FROM m)
+"""

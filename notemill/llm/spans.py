@@ -89,21 +89,29 @@ def anchors(points: np.ndarray, bounds: np.ndarray, least: int = LEAST) -> tuple
     return roll, start, stop
 
 
-def _slices(b: pa.RecordBatch, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Row numbers, code points and bounds of the texts of a batch that are long enough, about SLICE characters at a time."""
+def _slices(b: pa.RecordBatch, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Row numbers, code points, bounds and offsets of the texts of a batch that are long enough, about SLICE characters at a time.
+
+    A text beyond SLICE comes in stretches that overlap by more than an anchor and the passages through it; the offset is where in
+    its text a stretch begins."""
     rows: list[int] = []
+    offsets: list[int] = []
     texts: list[np.ndarray] = []
     size = 0
     for i, t in enumerate(b.column("text").to_pylist()):
         if t is not None and len(t) >= least:
-            rows.append(i)
-            texts.append(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32))
-            size += len(t)
-            if size >= SLICE:
-                yield np.array(rows), np.concatenate(texts), np.cumsum([0, *map(len, texts)])
-                rows, texts, size = [], [], 0
+            points = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+            lap = 3 * least
+            for s in range(0, max(1, len(points) - lap), max(1, SLICE - lap)):
+                rows.append(i)
+                offsets.append(s)
+                texts.append(points[s : s + SLICE])
+                size += len(texts[-1])
+                if size >= SLICE:
+                    yield np.array(rows), np.concatenate(texts), np.cumsum([0, *map(len, texts)]), np.array(offsets)
+                    rows, offsets, texts, size = [], [], [], 0
     if rows:
-        yield np.array(rows), np.concatenate(texts), np.cumsum([0, *map(len, texts)])
+        yield np.array(rows), np.concatenate(texts), np.cumsum([0, *map(len, texts)]), np.array(offsets)
 
 
 def text_anchors(df: DataFrame, kind: str, least: int) -> DataFrame:
@@ -111,7 +119,7 @@ def text_anchors(df: DataFrame, kind: str, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for rows, points, bounds in _slices(b, least):
+            for rows, points, bounds, offsets in _slices(b, least):
                 roll, start, stop = anchors(points, bounds, least)
                 text = np.searchsorted(bounds, start, side="right") - 1
                 lo, hi = bounds[text], bounds[text + 1]
@@ -119,7 +127,7 @@ def text_anchors(df: DataFrame, kind: str, least: int) -> DataFrame:
                 after = roll.of(start, np.where(right, start + least, start)).view(np.int64)
                 before = roll.of(np.where(left, stop - least, stop), stop).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(roll.of(start, stop).view(np.int64)), b.column("key").take(pa.array(rows[text])), pa.array((start - lo).astype(np.int32)), pa.array((stop - start).astype(np.int32)), pa.array(after, mask=~right), pa.array(before, mask=~left)],
+                    [pa.array(roll.of(start, stop).view(np.int64)), b.column("key").take(pa.array(rows[text])), pa.array((start - lo + offsets[text]).astype(np.int32)), pa.array((stop - start).astype(np.int32)), pa.array(after, mask=~right), pa.array(before, mask=~left)],
                     names=["hash", "key", "pos", "len", "after", "before"],
                 )
 
@@ -132,19 +140,23 @@ def passages(df: DataFrame, kind: str, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = b.column("found").to_pylist()
-            for rows, points, bounds in _slices(b, least):
+            for rows, points, bounds, offsets in _slices(b, least):
                 roll = Rolling(points)
                 names, keys, first = [], [], []
                 for j, i in enumerate(rows):
                     lo, hi = int(bounds[j]), int(bounds[j + 1])
                     for f in found[i]:
-                        a = np.arange(max(lo, lo + f["pos"] + f["len"] - least), min(lo + f["pos"], hi - least) + 1)
+                        at = lo + f["pos"] - int(offsets[j])
+                        a = np.arange(max(lo, at + f["len"] - least), min(at, hi - least) + 1)
                         first.append(a)
                         names.append(np.full(len(a), f["hash"], np.int64))
                         keys.append(np.full(len(a), i, np.int64))
                 if first:
                     a, k = np.concatenate(first), np.concatenate(keys)
-                    pos = a - bounds[np.searchsorted(bounds, a, side="right") - 1]
+                    j = np.searchsorted(bounds, a, side="right") - 1
+                    pos = a - bounds[j] + offsets[j]
+                    if not len(a):
+                        continue
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), b.column("key").take(pa.array(k)), pa.array(roll.of(a, a + least).view(np.int64)), pa.array(pos.astype(np.int32))], names=["hash", "key", "passage", "pos"])
 
     return df.mapInArrow(run, f"hash bigint, key {kind}, passage bigint, pos int")

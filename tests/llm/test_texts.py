@@ -298,8 +298,9 @@ def corpus(seed):
     return texts
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_sharing_matches_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "slice_"), [(1, 1 << 21), (2, 1 << 21), (3, 2000), (4, 700)])
+def test_sharing_matches_brute_force(spark, monkeypatch, seed, slice_):
+    monkeypatch.setattr(spans, "SLICE", slice_)
     texts = corpus(seed)
     rows = [(k, t, 1, "x") for k, t in texts.items()] + [(300, None, 1, ""), (301, "", 1, ""), (0, texts[0], 2, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string, hash int, key string")
