@@ -171,7 +171,10 @@ def shared_anchors(df: DataFrame, key: str, text: str, least: int = LEAST) -> tu
     """The texts (key, text), and those of their anchors that more than one text has."""
     texts = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
     found = materialize(text_anchors(texts, texts.schema["key"].dataType.simpleString(), least), "anchors")
-    return texts, materialize(found.join(_several(found, "hash").select("hash"), "hash", "left_semi"), "shared")
+    shared = found.join(_several(found, "hash").select("hash"), "hash", "left_semi")
+    # an anchor where stretches of a long text overlap comes from each of them
+    once = shared.groupBy("hash", "key", "pos", "len").agg(F.max("after").alias("after"), F.max("before").alias("before"))
+    return texts, materialize(once, "shared")
 
 
 def sharing(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
