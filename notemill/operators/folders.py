@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from notemill.functions.embedding import ngram_vectors
 from notemill.functions.vectors import with_unit
 from notemill.operators.vector_join import cosines, top_k
+from notemill.session import materialize
 
 FEW = 3  #: fewer notes (or users of a tag) than this make no centroid of their own
 SOURCE = "\x01"  #: between a tag and what its vector comes from
@@ -74,7 +75,7 @@ def classify(queries: DataFrame, notes: DataFrame, described: DataFrame, skip: l
     """(query, folder, score, notes, rank, margin, confident, reason) for queries (query, path, vec): the k nearest folders.
 
     A query that is itself a note of a folder is held against that folder without it."""
-    centroids = folder_centroids(notes, described, skip, dim)
+    centroids = materialize(folder_centroids(notes, described, skip, dim), "centroids")
     q = with_unit(queries.select("query", "path", "vec"), dim=dim, dtype=np.float64)
     base = with_unit(centroids.select(F.col("folder").alias("key"), "vec"), dim=dim, dtype=np.float64)
     found = top_k(q.select("query", "u"), base, k + 1, dim).select("query", F.col("key").alias("folder"), "score").join(centroids.select("folder", "n"), "folder")
@@ -131,7 +132,7 @@ def suggest_tags(queries: DataFrame, notes: DataFrame, listed: DataFrame | None,
     used = notes.where(usable(F.col("vec"), dim)).select(F.explode(parsed_tags(F.col("tags_json"))).alias("tag"), unit(F.col("vec")).alias("v"))
     by_use = vector_sum(used.join(named.select("tag"), "tag"), ["tag"], "v", dim).where(F.col("n") >= FEW).select("tag", F.col("total").alias("vec"))
     labelled = lambda df, source: df.select(F.concat("tag", F.lit(SOURCE + source)).alias("key"), "vec")
-    base = with_unit(labelled(by_text, "description").unionByName(labelled(by_use, "usage")), dim=dim, dtype=np.float64)
+    base = materialize(with_unit(labelled(by_text, "description").unionByName(labelled(by_use, "usage")), dim=dim, dtype=np.float64), "tag_vectors")
     # a tag has two vectors at most, so its better one is among the first 2k
     found = top_k(with_unit(queries.select("query", "vec"), dim=dim, dtype=np.float64), base, 2 * k, dim)
     parts = F.split("key", SOURCE)
