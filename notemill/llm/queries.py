@@ -37,7 +37,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return split_oversized(read_table(spark, d, "chunks"), "chunk_id")
+    return split_oversized(read_table(spark, d, "chunks", spread=True), "chunk_id")
 
 
 @query
@@ -81,7 +81,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p4_clean(spark: SparkSession, d: str) -> DataFrame:
-    return clean_markup(read_table(spark, d, "extracted"))
+    return clean_markup(read_table(spark, d, "extracted", spread=True))
 
 
 @query
@@ -91,7 +91,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return sharing(read_table(spark, d, "documents"))
+    return sharing(read_table(spark, d, "documents", spread=True))
 
 
 @query
@@ -110,7 +110,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
-    sized = with_tokens(read_table(spark, d, "documents"), "doc_id", "text")
+    sized = with_tokens(read_table(spark, d, "documents", spread=True), "doc_id", "text")
     return pack(sized, read_table(spark, d, "pack_profiles"))
 
 
@@ -121,7 +121,7 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    sized = with_tokens(read_table(spark, d, "documents"), "doc_id", "text", "source")
+    sized = with_tokens(read_table(spark, d, "documents", spread=True), "doc_id", "text", "source")
     return mix(sized, read_table(spark, d, "mix_targets"))
 
 
@@ -146,18 +146,18 @@ def p6_notes(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p10_passages(spark: SparkSession, d: str) -> DataFrame:
-    return merged(shared_parts(read_table(spark, d, "documents")), "doc_id")
+    return merged(shared_parts(read_table(spark, d, "documents", spread=True)), "doc_id")
 
 
 @query
 def p10_shared(spark: SparkSession, d: str) -> DataFrame:
-    docs = read_table(spark, d, "documents")
+    docs = read_table(spark, d, "documents", spread=True)
     return shared_report(docs, shared_parts(docs))
 
 
 @query
 def p10_kept(spark: SparkSession, d: str) -> DataFrame:
-    docs = read_table(spark, d, "documents")
+    docs = read_table(spark, d, "documents", spread=True)
     return keep_first(docs, shared_parts(docs))
 
 
