@@ -41,14 +41,21 @@ def _pattern(most: Column) -> Column:
     return F.replace(F.replace(F.replace(F.lit(PIECE), F.lit("MIN"), least), F.lit("LOW"), low), F.lit("MAX"), most.cast("string"))
 
 
-def _overlap(piece: Column, atoms: int) -> Column:
-    """The end of a piece, at most so many atoms, from the start of a sentence or line if one begins there, else of a word."""
+def _overlaps(pieces: Column, atoms: int) -> Column:
+    """The end of each piece, at most so many atoms, from the start of a sentence or line if one begins there, else of a word."""
     if atoms < 1:
-        return F.lit("")
-    tail = F.regexp_extract(F.right(piece, F.lit(LOOKBACK_CHARS)), rf"(?s)(?:{ATOM}){{1,{atoms}}}+\z", 0)
-    sentence = F.regexp_extract(tail, rf"(?s)(?:{SENTENCE}|{LINE})(?=[^{SPACE}]).+\z", 0)
-    word = F.regexp_extract(tail, rf"(?s)(?:(?<=[{SPACE}])|(?<=[^A-Za-z0-9_]))(?=[^{SPACE}]).+\z", 0)
-    return F.when(sentence != "", sentence).when(word != "", word).otherwise(tail)
+        return F.transform(pieces, lambda _: F.lit(""))
+
+    def tail(piece: Column) -> Column:
+        found = F.regexp_extract_all(F.right(piece, F.lit(LOOKBACK_CHARS)), F.lit(f"({ATOM})"), F.lit(1))
+        return F.array_join(F.reverse(F.slice(F.reverse(found), 1, atoms)), "")
+
+    # each of the steps is evaluated once for a piece
+    starts = lambda t: F.struct(
+        t.alias("tail"), F.regexp_extract(t, rf"(?s)(?:{SENTENCE}|{LINE})(?=[^{SPACE}]).+\z", 0).alias("sentence"), F.regexp_extract(t, rf"(?s)(?:(?<=[{SPACE}])|(?<=[^A-Za-z0-9_]))(?=[^{SPACE}]).+\z", 0).alias("word")
+    )
+    pick = lambda x: F.when(x["sentence"] != "", x["sentence"]).when(x["word"] != "", x["word"]).otherwise(x["tail"])
+    return F.transform(F.transform(F.transform(pieces, tail), starts), pick)
 
 
 def split_oversized(df: DataFrame, key: str, text: str = "text", heading: str = "heading_path", max_tokens: int = 800, overlap_tokens: int = 80) -> DataFrame:
@@ -60,7 +67,10 @@ def split_oversized(df: DataFrame, key: str, text: str = "text", heading: str =
     t = F.col("text")
     big = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(heading).alias("heading"))
     big = big.where(F.length(t) * MAX_UNITS_PER_CHAR > limit).withColumn("units", token_units(t)).where(F.col("units") > limit)
-    big = big.dropDuplicates(["key", "text"])
+    # few rows are left, which would be read as one partition, but cutting is costly: they are dealt out again
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    big = big.dropDuplicates(["key", "text"]).repartition(tasks)
     line = F.regexp_extract(t, r"\A(#{1,6}[ \t]+[^\n]{1,4000})\n", 1)
     big = big.withColumn("head", F.when(token_units(line) * 4 <= limit, line).otherwise(""))
     room = F.lit(limit - overlap_tokens * UNITS) - token_units(F.col("head"))
@@ -72,7 +82,7 @@ def split_oversized(df: DataFrame, key: str, text: str = "text", heading: str =
     big = big.withColumn("parts", cut(F.col("most")))
     fits = F.forall("parts", lambda p: token_units(p) <= F.col("room"))
     big = big.withColumn("parts", F.when(fits, F.col("parts")).otherwise(cut(sure.cast("int"))))
-    laps = F.transform("parts", lambda p: _overlap(p, overlap_tokens * UNITS // MAX_UNITS_PER_CHAR))
+    laps = _overlaps(F.col("parts"), overlap_tokens * UNITS // MAX_UNITS_PER_CHAR)
     ends = F.aggregate("parts", F.array(F.lit(0)), lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + F.length(p))))
     big = big.withColumn("laps", laps).withColumn("ends", ends).select("*", F.posexplode("parts").alias("piece", "own"))
     lap = F.when(F.col("piece") == 0, F.lit("")).otherwise(F.element_at("laps", F.greatest(F.col("piece"), F.lit(1))))
