@@ -20,7 +20,8 @@ def ngram_buckets(df: DataFrame, key: str, text: str, dim: int = 1024) -> DataFr
     two = F.transform("c", lambda x, i: F.concat(x, at(i + 1)))
     three = F.transform("c", lambda x, i: F.concat(x, at(i + 1), at(i + 2)))
     grams = F.filter(F.concat(two, three), lambda g: g.isNotNull())
-    rows = rows.select(key, F.explode(grams).alias("g")).withColumn("m", F.md5(F.col("g").cast("binary")))
+    # outer: else Spark infers a filter on the n-grams and makes them twice
+    rows = rows.select(key, F.explode_outer(grams).alias("g")).where("g is not null").withColumn("m", F.md5(F.col("g").cast("binary")))
     byte = lambda at: F.conv(F.substring("m", at, 2), 16, 10).cast("int")
     bucket = (byte(1) + 256 * byte(3)) % dim
     return rows.groupBy(key, bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))

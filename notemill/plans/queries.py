@@ -367,7 +367,7 @@ SQL["first_headings"] = rf"WITH {_D} SELECT path, nullif(regexp_extract({_NO_FEN
 
 @query
 def inline_tag_counts(spark: SparkSession, d: str) -> DataFrame:
-    tags = docs_of(spark, d).select(F.explode(inline_tags(F.col("text"))).alias("tag"))
+    tags = docs_of(spark, d).select(F.explode_outer(inline_tags(F.col("text"))).alias("tag")).where("tag is not null")
     return tags.groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
 
 
