@@ -84,7 +84,8 @@ def split_oversized(df: DataFrame, key: str, text: str = "text", heading: str =
     big = big.withColumn("parts", F.when(fits, F.col("parts")).otherwise(cut(sure.cast("int"))))
     laps = _overlaps(F.col("parts"), overlap_tokens * UNITS // MAX_UNITS_PER_CHAR)
     ends = F.aggregate("parts", F.array(F.lit(0)), lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + F.length(p))))
-    big = big.withColumn("laps", laps).withColumn("ends", ends).select("*", F.posexplode("parts").alias("piece", "own"))
+    # outer: else Spark infers a filter on the parts, pushes it down and cuts every text twice
+    big = big.withColumn("laps", laps).withColumn("ends", ends).select("*", F.posexplode_outer("parts").alias("piece", "own"))
     lap = F.when(F.col("piece") == 0, F.lit("")).otherwise(F.element_at("laps", F.greatest(F.col("piece"), F.lit(1))))
     head = F.when((F.col("piece") == 0) | (F.col("head") == ""), F.lit("")).otherwise(F.concat("head", F.lit("\n\n")))
     out = big.withColumn("lap", lap).withColumn("whole", F.concat(head, "lap", "own"))

@@ -130,7 +130,7 @@ def planted(seed, sizes, noise):
     return np.array([*x, *y], np.float32), np.array([*np.repeat(np.arange(len(sizes)), sizes), *[-1] * noise])
 
 
-@pytest.mark.parametrize("nodes", [2048, 60])
+@pytest.mark.parametrize("nodes", [4096, 60])
 def test_themes_found(spark, nodes):
     x, truth = planted(3, [260, 180, 120], 20)
     got = {r.path: r.theme for r in themes.themes(table(spark, x, ODD), "path", "vec", nodes=nodes).collect()}
