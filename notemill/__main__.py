@@ -36,7 +36,9 @@ def parser() -> argparse.ArgumentParser:
 def plain(value: Any) -> Any:
     """DataFrames as lists of rows: a report is for reading, and comes to the driver."""
     if isinstance(value, DataFrame):
-        return [json.loads(x) for x in value.toJSON().collect()]
+        from notemill.sources.vault import json_lines
+
+        return [json.loads(r["value"]) for r in json_lines(value).collect()]
     return {k: plain(v) for k, v in value.items()} if isinstance(value, dict) else value
 
 
