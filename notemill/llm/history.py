@@ -99,7 +99,12 @@ class HistoryIndex:
     """The accepted records' text hashes, vectors and band keys, in a folder all executors share."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, dim: int = 64, least: float = 0.95) -> None:
-        self.spark, self.path, self.dim, self.least, self.parts = spark, path or new_path(spark, "history"), dim, least, 0
+        self.spark, self.path, self.dim, self.least = spark, path or new_path(spark, "history"), dim, least
+        self.parts = 0  # an index that is there already is taken up: its complete parts, whose keys were written last
+        at = spark._jvm.org.apache.hadoop.fs.Path
+        fs = at(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        while fs.exists(at(f"{self.path}/part={self.parts}/keys/_SUCCESS")):
+            self.parts += 1
 
     def _read(self, name: str, schema: str) -> DataFrame:
         if not self.parts:

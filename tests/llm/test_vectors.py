@@ -213,6 +213,7 @@ def test_batches_against_history(spark):
     steps.append(first)
     got = {}
     for b in (1, 2, 3, 4, None):
+        steps = HistoryIndex(spark, steps.path)  # opened anew, as by another session
         got |= {r.item_id: r.verdict for r in steps.check(df.where(F.col("batch_no").eqNullSafe(F.lit(b)))).collect()}
     assert got == want
 
