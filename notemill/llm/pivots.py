@@ -10,57 +10,52 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from notemill.functions.vectors import binary, matrix, unit_rows
+from notemill.functions.vectors import binary, matrix, with_unit
 from notemill.session import materialize
 
 MAX_PIVOTS = 4096  #: pivots collected to the driver: at most this many vectors, whatever the input
 ROWS_PER_PIVOT = 200  #: up to MAX_PIVOTS there is a pivot for so many rows
 
 
-def fit_pivots(df: DataFrame, key: str, vec: str, dim: int, pivots: int | None = None) -> np.ndarray:
-    """A bounded sample as pivots: the rows least by a hash of their key, so it doesn't depend on the order of rows.
+def distinct_entries(df: DataFrame, key: str, vec: str, dim: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of the rows with a usable vector: themselves as a table (key, h, u: packed unit vector); (rep, key) of those whose vector is
+    repeated; and (rep, u), each vector once.
+
+    Copies are found by digest, in short columns; they are a table of their own, so that Spark knows its size when it plans joins."""
+    units = with_unit(df.select(F.col(key).alias("key"), F.col(vec).alias("vec")), dim=dim)
+    rows = materialize(units.withColumn("h", F.unhex(F.md5("u"))), "units")
+    copies = rows.groupBy("h").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    members = materialize(rows.select("h", "key").join(materialize(copies, "copies"), "h").select("rep", "key"), "members")
+    entries = rows.join(members.where("key <> rep").select("key"), "key", "left_anti").select(F.col("key").alias("rep"), "u")
+    return rows, members, entries
+
+
+def fit_pivots(entries: DataFrame, dim: int, pivots: int | None = None) -> np.ndarray:
+    """A bounded sample of the distinct vectors (rep, u) as pivots: those least by a hash of rep, so it doesn't depend on the order of
+    rows, and however many copies a vector has it is one pivot at most.
 
     The sample is only the index's coordinate system; every row is indexed."""
     if pivots is None:
-        pivots = int(min(MAX_PIVOTS, max(32, df.count() // ROWS_PER_PIVOT)))
-    spare = df.where(F.col(vec).isNotNull()).select(vec, F.xxhash64(key).alias("h")).orderBy("h", vec).limit(2 * pivots + 64)
-    got = spare.select(vec).toArrow()
-    if not got.num_rows:
-        return np.zeros((0, dim), np.float32)
-    x = unit_rows(got.column(0), dim)[1].astype(np.float32)
-    return np.unique(x, axis=0)[:pivots] if len(x) < pivots else x[:pivots]
-
-
-def permute(df: DataFrame, pivots: np.ndarray, vec: str, dim: int, prefix: int) -> DataFrame:
-    """Rows with a usable vector; vec is replaced by u (packed unit vector) and perm (packed uint16: the nearest pivots in order)."""
-    keep = [f for f in df.schema.fields if f.name != vec]
-    names = [f.name for f in keep]
-    schema = T.StructType([*keep, T.StructField("u", T.BinaryType(), False), T.StructField("perm", T.BinaryType(), False)])
+        pivots = int(min(MAX_PIVOTS, max(32, entries.count() // ROWS_PER_PIVOT)))
+    drawn = entries.select("rep", F.xxhash64("rep").alias("h")).orderBy("h", "rep").limit(pivots)  # no vectors are sorted
+    got = entries.join(F.broadcast(drawn), "rep").orderBy("h", "rep").select("u").toArrow()
+    return matrix(got.column(0), np.dtype(np.float32), dim)
+
+
+def permute(df: DataFrame, pivots: np.ndarray, dim: int, prefix: int) -> DataFrame:
+    """df, which has u, with perm (packed uint16: the nearest pivots in order)."""
+    schema = T.StructType([*df.schema.fields, T.StructField("perm", T.BinaryType(), False)])
     prefix = min(prefix, len(pivots))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, x = unit_rows(b.column(b.schema.get_field_index(vec)), dim)
-            x = x.astype(np.float32)
-            s = x @ pivots.T
+            s = matrix(b.column(b.schema.get_field_index("u")), np.dtype(np.float32), dim) @ pivots.T
             top = np.argpartition(-s, prefix - 1, axis=1)[:, :prefix] if prefix < s.shape[1] else np.tile(np.arange(s.shape[1]), (len(s), 1))
             order = np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable")
             perm = np.take_along_axis(top, order, 1).astype(np.uint16)
-            kept = pa.Table.from_batches([b.select(names)]).take(pa.array(rows)).combine_chunks()
-            yield from kept.append_column("u", binary(x)).append_column("perm", binary(perm)).to_batches()
-
-    return df.where(F.col(vec).isNotNull()).mapInArrow(run, schema)
-
-
-def distinct_entries(permuted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of rows (key, u, perm): themselves as a table; (rep, key) of those whose vector is repeated; and (rep, u, perm), each vector once.
+            yield from pa.Table.from_batches([b]).append_column("perm", binary(perm)).to_batches()
 
-    Copies are found by digest, in short columns; they are a table of their own, so that Spark knows its size when it plans joins."""
-    rows = materialize(permuted.withColumn("h", F.unhex(F.md5("u"))), "permuted")
-    copies = rows.groupBy("h").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = materialize(rows.select("h", "key").join(materialize(copies, "copies"), "h").select("rep", "key"), "members")
-    entries = rows.join(members.where("key <> rep").select("key"), "key", "left_anti").select(F.col("key").alias("rep"), "u", "perm")
-    return rows, members, entries
+    return df.mapInArrow(run, schema)
 
 
 def pivot_at(i: int) -> Column:

@@ -162,10 +162,11 @@ def themes(df: DataFrame, key: str, vec: str, least: float = 0.35, dim: int = 64
     spark = df.sparkSession
     data = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(vec).alias("vec"))
     kind = data.schema["key"].dataType.simpleString()
-    base = fit_pivots(data, "key", "vec", dim)
+    rows, _, entries = distinct_entries(data, "key", "vec", dim)
+    base = fit_pivots(entries, dim)
     if not len(base):
         return spark.createDataFrame([], f"{key} {kind}, theme int, cosine double, persistence double")
-    rows, _, entries = distinct_entries(permute(data, base, "vec", dim, min(PREFIX, len(base))))
+    entries = materialize(permute(entries, base, dim, min(PREFIX, len(base))), "permuted")
     edges = neighbour_edges(post(entries, min(LISTS, len(base)), BLOCK, "rep"), dim, NEIGHBOURS)
     ids = rows.select(F.xxhash64("u").alias("node")).distinct()
     ids = materialize(ids, "nodes")

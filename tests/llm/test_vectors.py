@@ -7,6 +7,7 @@ from notemill.llm.components import components
 from notemill.llm.hierarchy import clusters, spanning
 from notemill.llm.history import EMPTY_TEXT, HistoryIndex
 from notemill.llm.neighbours import footrule, similar_pairs, similar_to
+from notemill.llm.pivots import distinct_entries, fit_pivots
 
 SCHEMA = "path string, vec array<float>, u int, key string, cell int, rep string"
 
@@ -61,6 +62,24 @@ def test_similar_pairs(spark, block):
     assert all(r.cosine >= 0.9 for r in got.collect())
 
 
+def test_pivots_are_distinct_however_many_copies(spark):
+    x = vectors(5)
+    near = x[0] + 0.2 * np.random.default_rng(6).standard_normal((60, 64)).astype(np.float32)
+    x[840:] = near * np.linalg.norm(x[0]) / np.linalg.norm(near, axis=1)[:, None]
+    x[300:600] = x[0]  # a third of the rows
+    df = table(spark, x, ODD).where("path is not null")
+    rows, members, entries = distinct_entries(df, "path", "vec", 64)
+    base = fit_pivots(entries, 64, 48)
+    assert len(base) == 48 and len(np.unique(base, axis=0)) == 48
+    assert (rows.count(), members.count(), entries.count()) == (900, 301, 600)
+    assert len(fit_pivots(entries, 64, 5000)) == 600
+    found = {(r.path, r.neighbour) for r in similar_pairs(df, "path", "vec", 5, 0.9, pivots=48).collect()}
+    want = brute(x, 0.9, 5)
+    close = {w for w in want if w[0] >= "p0840"}
+    assert len(close) == 300 and len(found & close) >= 0.97 * len(close)
+    assert len(found & want) >= 0.97 * len(want) and len(found - want) <= 0.03 * len(want)
+
+
 def test_similar_to_recall_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK", 200)
     monkeypatch.setattr(neighbours, "ASK_BLOCK", 5)
