@@ -7,7 +7,8 @@ smoothed along the order in which paths appear, fused by their geometric mean, a
 and formulas keep a recognisable Markdown form.
 
 Defined results: null texts hold no markup and stay null; empty ones stay empty; frontmatter that is not JSON counts as null; its
-keys and numbers are not looked at; a row delivered twice comes out twice from clean_markup, once from kinds_found."""
+keys and numbers are not looked at; kinds are looked for under all tags, also where clean text has code or nothing; a pre, code, script
+or style without its closing tag holds and drops nothing; a row delivered twice comes out twice from clean_markup, once from kinds_found."""
 
 from __future__ import annotations
 
@@ -32,6 +33,7 @@ DUNDER = frozenset("init name main call str repr len iter next enter exit file d
 _NAMES = "|".join(sorted([*BLOCK, *INLINE], key=lambda x: (-len(x), x)))
 _ATTRIBUTE = r"""\s+[A-Za-z_:@][\w:.\-]*(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'=<>`]+))?"""
 TAG = re.compile(rf"<(/?)({_NAMES})((?:{_ATTRIBUTE})*)\s*/?>", re.I)
+LEADING_TAGS = re.compile(rf"^(?:[ \t]*{TAG.pattern})+[ \t]*", re.I | re.M)
 COMMENT = re.compile(r"<!--.*?-->", re.S)
 REFERENCE = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
 FENCE = re.compile(r"^(```|~~~)[^\n]*\n(?:.*?\n)??\1[^\n]*$", re.S | re.M)
@@ -103,7 +105,12 @@ def _is_emphasis(m: re.Match) -> bool:
 
 
 def convert(text: str, clean: bool = True) -> tuple[set[str], str]:
-    """The kinds of markup in text, and (if asked for) the text without them."""
+    """The kinds of markup in text, and (if asked for) the text without them.
+
+    Kinds are looked for in the text with its tags blanked, whether it is cleaned or not: rendering drops nodes and holds code."""
+    found: set[str] | None = None
+    if clean and TAG.search(text):
+        found = convert(text, clean=False)[0]
     kinds: set[str] = set()
     t, held = hold_code(text)
 
@@ -129,7 +136,7 @@ def convert(text: str, clean: bool = True) -> tuple[set[str], str]:
         swap(AUTOLINK, "markdown", lambda m: hold(m.group(1)))
         if TAG.search(t):
             kinds.add("html")
-            t = render_html(t, hold) if clean else TAG.sub(" ", t)
+            t = render_html(t, hold) if clean else TAG.sub(" ", LEADING_TAGS.sub("", t))
     if "&" in t and ";" in t:
         swap(REFERENCE, "html", lambda m: _reference(m).replace("\xa0", " "), lambda m: _reference(m) is not None)
     if "%%" in t:
@@ -169,6 +176,7 @@ def convert(text: str, clean: bool = True) -> tuple[set[str], str]:
         swap(QUOTE, "markdown", "")
     if not clean or not kinds:
         return kinds, text
+    kinds = kinds if found is None else found
     t = re.sub(r"[ \t]+$", "", release(t, held), flags=re.M)
     return kinds, re.sub(r"\n{3,}", "\n\n", t).strip("\n")
 
@@ -212,10 +220,25 @@ def latex(t: str, kinds: set[str], hold: Any) -> str:
 #: ---- HTML by tag paths
 
 
-def nodes(t: str) -> list[tuple[tuple[str, ...], str]]:
-    """Text nodes with the tag path from the root; unpaired tags close where their parent does."""
+HOLDING = frozenset(("pre", "code", "script", "style"))  #: elements whose text is held or dropped; without both of their tags they aren't there
+
+
+def nodes(t: str, passed: frozenset[int] = frozenset()) -> list[tuple[tuple[str, ...], str]]:
+    """Text nodes with the tag path from the root; unpaired tags close where their parent does.
+
+    passed: where tags begin that are passed over, those of HOLDING without a closing tag."""
     out: list[tuple[tuple[str, ...], str]] = []
     stack: list[str] = []
+    begun: list[int] = []  # where the tags of the stack begin
+    open_: set[int] = set()
+
+    def pop(name: str) -> None:
+        while (top := stack.pop()) != name:
+            if top in HOLDING:
+                open_.add(begun[-1])
+            begun.pop()
+        begun.pop()
+
     at = 0
     for m in TAG.finditer(t):
         if m.start() > at:
@@ -224,21 +247,23 @@ def nodes(t: str) -> list[tuple[tuple[str, ...], str]]:
         name = m.group(2).lower()
         if m.group(1):
             if name in stack:
-                while stack.pop() != name:
-                    pass
+                pop(name)
+            elif name in HOLDING:
+                continue
             out.append(((*stack, "/" + name), ""))
         elif name in VOID:
             out.append(((*stack, name), ""))
-        else:
+        elif m.start() not in passed:
             if name in ("li", "p", "td", "th", "tr", "dd", "dt", "option") and name in stack:
                 inner = stack[len(stack) - stack[::-1].index(name) :]
                 if not {"ul", "ol", "table", "dl"} & set(inner):
-                    while stack.pop() != name:
-                        pass
+                    pop(name)
             stack.append(name)
+            begun.append(m.start())
             out.append(((*stack, "+"), ""))
     out.append((tuple(stack), t[at:]))
-    return out
+    open_.update(b for name, b in zip(stack, begun) if name in HOLDING)
+    return nodes(t, passed | open_) if open_ else out
 
 
 PAGE_PATHS = 4  #: fewer distinct paths than this below <body> or <html> are no page, and all their nodes are content

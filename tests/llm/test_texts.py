@@ -109,6 +109,26 @@ def test_structure_stays():
     assert convert("**b** ```x``` $a^2$ and `**kept**`")[1] == "b ```x``` $a^2$ and `**kept**`"
 
 
+@pytest.mark.parametrize("tag", ["code", "pre", "script", "style"])
+def test_kinds_under_tags_and_unclosed_tags(tag):
+    inside = "[[n]] $x_1$ **b**"
+    kinds, clean = convert(f"a <{tag}>{inside}</{tag}> z")
+    assert kinds == convert(f"a <{tag}>{inside}</{tag}> z", clean=False)[0] == {"html", "wiki", "latex", "markdown"}
+    assert (inside in clean) == (tag in ("code", "pre")) and clean.startswith("a") and clean.endswith("z")
+    for text in (f"a <{tag}> [[n]] **b** z", f"a <div><p><{tag}>[[n]] **b**</p> z</div>", f"a <b><{tag}>[[n]] **b**</b></{tag}> z"):
+        kinds, clean = convert(text)
+        assert kinds == {"html", "wiki", "markdown"} and clean.split() == ["a", "n", "b", "z"]
+
+
+def test_kinds_in_dropped_nodes_and_at_line_starts():
+    long = "A sentence with commas, and clauses; it goes on. " * 6
+    page = f"<html><body><nav><ul><li><a>[[Go]]</a></li></ul></nav><h1>T</h1><p>{long}</p><div>{long}</div><footer><em>y</em></footer></body></html>"
+    kinds, clean = convert(page)
+    assert kinds == {"html", "wiki"} and "Go" not in clean
+    assert convert("<div>== H ==</div>")[0] == {"html", "wiki"} and convert("<p>> q</p>")[0] == {"html", "markdown"}
+    assert convert("<table><tr><td>a</td><td>b</td></tr><tr><td>-</td><td>-</td></tr></table>")[0] == {"html"}
+
+
 def test_tag_path_ratios_pick_the_content():
     long = "A sentence with commas, and clauses; it goes on. " * 6
     menu = "".join(f"<li><a href='{i}'>Go</a></li>" for i in range(20))
