@@ -172,6 +172,14 @@ def grams(t):
     return {t[i : i + 5] for i in range(len(t) - 4)} if len(t) >= 150 else None
 
 
+def test_all_bands_of_the_signature_are_used(spark):
+    a = np.random.default_rng(104).choice(list("abcdefghijklmnopqrstuvwxyz"), 204)
+    b = a.copy()
+    b[[20, 45, 70, 95, 120, 145, 170]] = list("0123456")  # similarity 165 / 235, and the first of the bands shared is the 24th
+    df = spark.createDataFrame([(0, "".join(a)), (1, "".join(b))], "chunk_id long, text string")
+    assert [(x.chunk_id_a, x.chunk_id_b, round(x.similarity, 4)) for x in near_pairs(df, "chunk_id", "text").collect()] == [(0, 1, 0.7021)]
+
+
 def test_near_pairs_match_brute_force(spark):
     r = random.Random(7)
     words = ["".join(r.choices("abcdefghijklmnop", k=r.randint(3, 8))) for _ in range(300)]
