@@ -2,8 +2,9 @@
 
 A vector's set is the sides of random hyperplanes it lies on; minwise hashes of that set are cut into bands. The index keeps the
 band keys, each with a sketch of the vector, in files partitioned by a hash of the key, and vectors and text hashes likewise. A
-batch reads the keys of its own buckets only, compares sketches in the join, and verifies what is left by exact cosine; then the
-keys of the accepted records are appended. History is never signed again. Equal vectors have one entry.
+batch reads the keys and text hashes of its own buckets only, compares sketches in the join, and verifies what is left by exact cosine,
+reading the vectors' buckets that the candidates are in; then the keys of the accepted records are appended. History is never signed
+again. Equal vectors have one entry. A batch of many more items than BUCKETS / BANDS needs all buckets of the keys.
 
 A pair of cosine 0.95 shares a band with probability 0.996, one of 0.97 with 0.9998.
 
@@ -26,7 +27,7 @@ from notemill.llm.bands import band_keys, differing, pack_bits
 from notemill.session import materialize, new_path
 
 PLANES, ROWS, BANDS, SEED = 256, 6, 16, 11
-BUCKETS = 16
+BUCKETS = 256  #: a bound on the list of buckets a batch asks for
 EMPTY_TEXT = "da39a3ee5e6b4b0d3255bfef95601890afd80709"  # fixed value: SHA-1 of no bytes
 _VECTORS, _KEYS, _HASHES = "ref bigint, u binary, bucket int", "band bigint, ref bigint, s1 bigint, s2 bigint, bucket int", "text_hash string, bucket int"
 
@@ -95,6 +96,11 @@ def _bucket(c: str) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
 
 
+def _buckets(df: DataFrame, c: str) -> list[int]:
+    """The buckets that df's values of c are in: at most BUCKETS."""
+    return [r[0] for r in df.select(_bucket(c)).distinct().collect()]
+
+
 class HistoryIndex:
     """The accepted records' text hashes, vectors and band keys, in a folder all executors share."""
 
@@ -103,38 +109,44 @@ class HistoryIndex:
         self.parts = 0  # an index that is there already is taken up: its complete parts, whose keys were written last
         at = spark._jvm.org.apache.hadoop.fs.Path
         fs = at(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.other: set[int] = set()  # parts written with another number of buckets are read whole
         while fs.exists(at(f"{self.path}/part={self.parts}/keys/_SUCCESS")):
+            if not fs.exists(at(f"{self.path}/part={self.parts}/buckets={BUCKETS}")):
+                self.other.add(self.parts)
             self.parts += 1
 
-    def _read(self, name: str, schema: str) -> DataFrame:
+    def _read(self, name: str, schema: str, buckets: list[int] | None = None) -> DataFrame:
+        """A table of all parts; buckets: only the files of these."""
         if not self.parts:
             return self.spark.createDataFrame([], schema)
-        return reduce(DataFrame.unionByName, [self.spark.read.schema(schema).parquet(f"{self.path}/part={i}/{name}") for i in range(self.parts)])
+        tables = [self.spark.read.schema(schema).parquet(f"{self.path}/part={i}/{name}") for i in range(self.parts)]
+        if buckets is not None and len(buckets) < BUCKETS:
+            tables = [t if i in self.other else t.where(F.col("bucket").isin(buckets)) for i, t in enumerate(tables)]
+        return reduce(DataFrame.unionByName, tables)
 
-    @property
-    def vectors(self) -> DataFrame:
-        return self._read("vectors", _VECTORS)
+    def vectors(self, buckets: list[int] | None = None) -> DataFrame:
+        return self._read("vectors", _VECTORS, buckets)
 
-    @property
-    def keys(self) -> DataFrame:
-        return self._read("keys", _KEYS)
+    def keys(self, buckets: list[int] | None = None) -> DataFrame:
+        return self._read("keys", _KEYS, buckets)
 
-    @property
-    def hashes(self) -> DataFrame:
-        return self._read("hashes", _HASHES)
+    def hashes(self, buckets: list[int] | None = None) -> DataFrame:
+        return self._read("hashes", _HASHES, buckets)
 
     def append(self, records: DataFrame, signed: DataFrame | None = None) -> None:
         """Adds records (text_hash, u) to the index; u is a packed unit vector or null. signed: their keys, if made already.
 
         A part counts once its three tables are complete, so a failed append leaves nothing behind that is read."""
         at = f"{self.path}/part={self.parts}"
-        write = lambda df, name: df.write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/{name}")
+        write = lambda df, name: df.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/{name}")
         hashes = records.select(usable_hash(F.col("text_hash")).alias("text_hash")).where("text_hash is not null").distinct()
         write(hashes.withColumn("bucket", _bucket("text_hash")), "hashes")
         vectors = records.where("u is not null").groupBy(F.xxhash64("u").alias("ref")).agg(F.first("u").alias("u"))
         write(vectors.withColumn("bucket", _bucket("ref")), "vectors")
         if signed is None:
             signed = vector_keys(self.spark.read.schema(_VECTORS).parquet(f"{at}/vectors"), self.dim)
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{at}/buckets={BUCKETS}")
+        folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
         write(signed.withColumn("bucket", _bucket("band")), "keys")
         self.parts += 1
 
@@ -150,17 +162,16 @@ class HistoryIndex:
         vectors = base.where("u is not null").groupBy("ref").agg(F.first("u").alias("u"))
         keys = materialize(vector_keys(vectors, self.dim), "keys")
         near = differing("a", "b") <= most_differing(self.least)
-        # against history: only the buckets of this batch's keys are read
-        mine = keys.withColumn("bucket", _bucket("band"))
-        hits = mine.alias("a").join(self.keys.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.band") == F.col("b.band")) & near)
-        hits = hits.select(F.col("a.ref").alias("x"), F.col("b.ref").alias("y")).distinct()
-        old = verified(materialize(hits, "hits"), vectors, self.vectors, self.least, self.dim).select(F.col("x").alias("ref"), F.lit(True).alias("old_near")).distinct()
+        # against history: only the buckets of this batch's keys, candidates and hashes are read
+        hits = keys.alias("a").join(self.keys(_buckets(keys, "band")).alias("b"), (F.col("a.band") == F.col("b.band")) & near)
+        hits = materialize(hits.select(F.col("a.ref").alias("x"), F.col("b.ref").alias("y")).distinct(), "hits")
+        old = verified(hits, vectors, self.vectors(_buckets(hits, "y")), self.least, self.dim).select(F.col("x").alias("ref"), F.lit(True).alias("old_near")).distinct()
         # among the items themselves
         pairs = keys.alias("a").join(keys.alias("b"), (F.col("a.band") == F.col("b.band")) & (F.col("a.ref") < F.col("b.ref")) & near)
         pairs = pairs.select(F.col("a.ref").alias("x"), F.col("b.ref").alias("y")).distinct()
         pairs = verified(materialize(pairs, "pairs"), vectors, vectors, self.least, self.dim)
         edges = materialize(pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))), "edges")
-        seen = self.hashes.select("text_hash", F.lit(True).alias("old_exact"))
+        seen = self.hashes(_buckets(base.where("text_hash is not null"), "text_hash")).select("text_hash", F.lit(True).alias("old_exact"))
         state = base.select("key", "o", "text_hash", "ref").join(seen, "text_hash", "left").join(old, "ref", "left")
         state = state.select("key", "o", "text_hash", "ref", F.coalesce("old_exact", F.lit(False)).alias("old_exact"), F.coalesce("old_near", F.lit(False)).alias("old_near"))
         state = state.withColumn("status", F.when(F.col("old_exact") | F.col("old_near"), F.lit(-1)).otherwise(F.lit(0)))

@@ -240,6 +240,28 @@ def test_batches_against_history(spark):
     assert HistoryIndex(spark).check(df, append=False).where("verdict = 'accepted'").count() > 0
 
 
+def test_a_batch_reads_its_own_buckets(spark):
+    read = []
+
+    class Watched(HistoryIndex):
+        def _read(self, name, *rest):
+            read.append((name, super()._read(name, *rest)))
+            return read[-1][1]
+
+    x = np.random.default_rng(8).standard_normal((600, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    index = Watched(spark)
+    index.append(spark.createDataFrame([(f"h{i}", bytearray(v.tobytes())) for i, v in enumerate(x)], "text_hash string, u binary"))
+    items = spark.createDataFrame([(1, 1, None, "H7", None, 1, "x"), (2, 1, None, None, x[9].tolist(), 1, "x")], ITEM)
+    assert {r.item_id: r.verdict for r in index.check(items).collect()} == {1: "exact", 2: "near"}
+    whole = {"keys": 9600, "vectors": 600, "hashes": 600}
+    assert {n for n, _ in read} == set(whole) and all(df.count() < 0.2 * whole[n] for n, df in read)
+
+    again = HistoryIndex(spark, index.path)
+    again.other = {0}  # as if written with another number of buckets
+    assert {r.item_id: r.verdict for r in again.check(items, append=False).collect()} == {1: "exact", 2: "near"}
+
+
 def test_long_chains_and_one_hash_for_all(spark):
     e = np.eye(64)
     step = np.arccos(0.97)
