@@ -1,12 +1,15 @@
 """Heading-aware chunks of texts.
 
-The estimate of tokens is additive over parts that no word spans, so a text is measured once, part by part, in sixtieths of a token,
-and all packing is done on these numbers."""
+The estimate of tokens is additive over parts that no word spans, so a text is measured once, part by part, in sixtieths of a token.
+Every packing step is then a search in prefix sums for the next place to cut."""
 
 from __future__ import annotations
 
+import os.path
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate, groupby
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -15,20 +18,17 @@ from pyspark.sql import functions as F
 
 from notemill.functions.tokens import CJK, CJK_UNITS, SYMBOL_UNITS, UNITS, WORD_CHAR_UNITS, WORD_UNITS
 
-# fixed values: what is a word or symbol, a line, a heading, a fence, the end of a sentence
 _PART = re.compile(rf"([A-Za-z0-9_]+)|([{CJK}])|([^\s{CJK}A-Za-z0-9_])")
-_LINE = re.compile("[^\n\r\v\f\x1c-\x1e\x85\N{LINE SEPARATOR}\N{PARAGRAPH SEPARATOR}]*(?:\r\n|[\n\r\v\f\x1c-\x1e\x85\N{LINE SEPARATOR}\N{PARAGRAPH SEPARATOR}]|\\Z)")
-_HEADING = re.compile(r"(#{1,6})\s+(.+?)\s*#*\s*\Z")
-_FENCE = re.compile(r"\s*(```|~~~)")
-_SENTENCE = re.compile(r"(?<=[。！？!?；;])|(?<=\.)(?=\s)|(?<=\n)")
+_SENTENCE_END = re.compile(r"[。！？!?；;\n]|\.(?=\s)")
+_MARKS = ("```", "~~~")  # fixed values: what opens and closes code
+DEEPEST = 6  # fixed value: levels of headings
+GAP, HEAD, CODE, TEXT = range(4)  #: kinds of lines
 
 
-class Block(NamedTuple):
-    text: str
+class Span(NamedTuple):
     start: int
     end: int
     units: int
-    code: bool = False
 
 
 class Chunk(NamedTuple):
@@ -56,102 +56,101 @@ def tokens(n: int) -> int:
     return -(-n // UNITS)
 
 
-def parse(text: str) -> Iterator[tuple[tuple[str, ...], str, list[Block]]]:
-    """(headings above, heading line, blocks) of each section; a block is a paragraph or a fenced code block."""
-    above: list[tuple[int, str]] = []
-    line_of, blocks = "", []
-    open_at, mark = -1, ""  # of the block being read; mark: the fence that ends it
-
-    def close(end: int) -> None:
-        nonlocal open_at, mark
-        if open_at >= 0:
-            body = text[open_at:end].strip("\n")
-            if mark or body.strip():
-                blocks.append(Block(body, open_at, end, units(body), bool(mark)))
-        open_at, mark = -1, ""
-
-    for m in _LINE.finditer(text):
-        line, at, end = m.group(), m.start(), m.end()
-        if at == end:
-            continue
-        if mark:
-            if line.strip().startswith(mark):
-                close(end)
-            continue
-        fence = _FENCE.match(line)
-        head = None if fence else _HEADING.match(line.rstrip("\n"))
-        if fence:
-            close(at)
-            open_at, mark = at, fence.group(1)
-        elif head:
-            close(at)
-            yield tuple(t for _, t in above), line_of, blocks
-            depth = len(head.group(1))
-            above = [x for x in above if x[0] < depth]  # depths rise along it, so these are its first ones
-            above.append((depth, head.group(2).strip()))
-            line_of, blocks = line.strip(), []
-        elif not line.strip():
-            close(at)
-        elif open_at < 0:
-            open_at = at
-    close(len(text))
-    yield tuple(t for _, t in above), line_of, blocks
-
-
-def cut(block: Block, most: int, hard: int) -> list[Block]:
-    """A block of more than most tokens as runs of whole sentences, or of characters where a sentence is beyond hard tokens."""
-    n = tokens(block.units)
-    if n <= most or block.code and n <= hard:
-        return [block]
-    runs: list[list] = []  # [start, end, units], offsets in the block
-    at = 0
-    for s in _SENTENCE.split(block.text):
-        if s:
-            u = units(s)
-            if runs and tokens(runs[-1][2] + u) <= most:
-                runs[-1][1:] = [at + len(s), runs[-1][2] + u]
-            else:
-                runs.append([at, at + len(s), u])
-            at += len(s)
-    out = []
-    for a, b, u in runs:
-        step = b - a if tokens(u) <= hard else max(1, (b - a) * most // tokens(u))
-        for x in range(a, b, step):
-            y = min(x + step, b)
-            piece = block.text[x:y]
-            out.append(Block(piece, block.start + x, block.start + y, units(piece)))
+def title_of(line: str) -> tuple[int, str]:
+    """(depth, title) of a heading line; depth 0 if it is none."""
+    bare = line.rstrip("\n")
+    rest = bare.lstrip("#")
+    depth = len(bare) - len(rest)
+    if not 1 <= depth <= DEEPEST or len(rest) < 2 or not rest[0].isspace():
+        return 0, ""
+    name = rest.strip()
+    return depth, name.rstrip("#").rstrip() or name[:1]
+
+
+def labels(lines: list[str]) -> list[tuple[int, int]]:
+    """(kind, number) of each line: the lines of one block have one label. A fence that isn't closed goes on to the end."""
+    out: list[tuple[int, int]] = []
+    fence = None
+    for i, line in enumerate(lines):
+        bare = line.strip()
+        if fence is not None:
+            out.append((CODE, fence[1]))
+            if bare.startswith(fence[0]):
+                fence = None
+        elif bare.startswith(_MARKS):
+            fence = bare[:3], i
+            out.append((CODE, i))
+        elif title_of(line)[0]:
+            out.append((HEAD, i))
+        else:
+            out.append((TEXT if bare else GAP, 0))
     return out
 
 
+def runs(sizes: list[int], room: int) -> Iterator[tuple[int, int]]:
+    """Consecutive runs [i, j) of sizes, each as long as fits into room, but of one size at least."""
+    total = [0, *accumulate(sizes)]
+    i = 0
+    while i < len(sizes):
+        j = max(i + 1, bisect_right(total, total[i] + room) - 1)
+        yield i, j
+        i = j
+
+
+def divided(text: str, start: int, most: int, hard: int) -> Iterator[Span]:
+    """A block as runs of sentences; a run beyond hard is cut by characters."""
+    at = sorted({0, len(text), *(m.end() for m in _SENTENCE_END.finditer(text))})
+    sizes = [units(text[a:b]) for a, b in zip(at, at[1:])]
+    for i, j in runs(sizes, most * UNITS):
+        a, b, u = at[i], at[j], sum(sizes[i:j])
+        step = b - a if tokens(u) <= hard else max(1, (b - a) * most // tokens(u))
+        cuts = [*range(a, b, step), b]
+        yield from (Span(start + x, start + y, u if step == b - a else units(text[x:y])) for x, y in zip(cuts, cuts[1:]))
+
+
+def sections(text: str, most: int, hard: int) -> Iterator[tuple[tuple[str, ...], str, list[Span], list[str]]]:
+    """(headings above, heading line, spans, their texts) of each section that has any."""
+    lines = text.splitlines(keepends=True)
+    starts = [0, *accumulate(map(len, lines))]
+    above: list[str | None] = [None] * DEEPEST
+    line, spans, bodies = "", [], []
+    at = 0
+    for (kind, _), group in groupby(labels(lines)):
+        first, at = at, at + len(list(group))
+        if kind == HEAD:
+            if spans:
+                yield tuple(t for t in above if t is not None), line, spans, bodies
+            depth, title = title_of(lines[first])
+            above[depth - 1 :] = [title, *[None] * (DEEPEST - depth)]
+            line, spans, bodies = lines[first].strip(), [], []
+        elif kind != GAP:
+            body = "".join(lines[first:at]).strip("\n")
+            room, n = most - tokens(units(line)), units(body)
+            whole = tokens(n) <= (max(hard, room) if kind == CODE else room)  # code is divided beyond hard only
+            own = [Span(starts[first], starts[at], n)] if whole else list(divided(body, starts[first], room, hard))
+            spans += own
+            bodies += [body] if whole else [body[s.start - starts[first] : s.end - starts[first]] for s in own]
+    if spans:
+        yield tuple(t for t in above if t is not None), line, spans, bodies
+
+
 def chunks_of(text: str, least: int = 300, most: int = 800, hard: int = 1024) -> list[Chunk]:
-    """Blocks packed greedily within sections, then small chunks merged with the one before where both fit."""
+    """Spans packed greedily within sections, then small chunks merged with the one before where both fit."""
     packed: list[Chunk] = []
-    for path, line, blocks in parse(text):
+    for path, line, spans, bodies in sections(text, most, hard):
         top = units(line)
-        group: list[Block] = []
-        total = 0
-
-        def emit() -> None:
-            body = "\n\n".join(b.text for b in group)
-            packed.append(Chunk(path, f"{line}\n\n{body}" if line else body, group[0].start, group[-1].end, top + total))
-
-        for b in (p for x in blocks for p in cut(x, most - tokens(top), hard)):
-            if group and tokens(total + b.units) + tokens(top) > most:
-                emit()
-                group, total = [], 0
-            group.append(b)
-            total += b.units
-        if group:
-            emit()
-    out: list[Chunk] = []
-    for c in packed:
-        if out and min(tokens(c.units), tokens(out[-1].units)) < least and tokens(c.units + out[-1].units) <= most:
-            p = out.pop()
-            common = 0
-            while common < min(len(p.path), len(c.path)) and p.path[common] == c.path[common]:
-                common += 1
-            c = Chunk(p.path[:common], p.text + "\n\n" + c.text, min(p.start, c.start), max(p.end, c.end), p.units + c.units)
-        out.append(c)
+        for i, j in runs([s.units for s in spans], (most - tokens(top)) * UNITS):
+            packed.append(Chunk(path, "\n\n".join(([line] if line else []) + bodies[i:j]), spans[i].start, spans[j - 1].end, top + sum(s.units for s in spans[i:j])))
+    groups: list[list[int]] = []  # [from, to, units] of packed
+    for i, c in enumerate(packed):
+        if groups and min(tokens(c.units), tokens(groups[-1][2])) < least and tokens(groups[-1][2] + c.units) <= most:
+            groups[-1][1:] = [i + 1, groups[-1][2] + c.units]
+        else:
+            groups.append([i, i + 1, c.units])
+    out = []
+    for i, j, n in groups:
+        of = packed[i:j]
+        out.append(Chunk(tuple(os.path.commonprefix([c.path for c in of])), "\n\n".join(c.text for c in of), min(c.start for c in of), max(c.end for c in of), n))
     return out
 
 
