@@ -14,7 +14,10 @@ from notemill.functions.vectors import binary, matrix, with_unit
 from notemill.session import materialize
 
 MAX_PIVOTS = 4096  #: pivots collected to the driver: at most this many vectors, whatever the input
-ROWS_PER_PIVOT = 200  #: up to MAX_PIVOTS there is a pivot for so many rows
+ROWS_PER_PIVOT = 200  #: there is a pivot for so many rows; beyond MAX_PIVOTS of them lists get longer, and pivots of their own
+LONG = 6000  #: a list of more rows than this (some 800 are meant) has pivots of its own
+SUBLISTS, SUBPREFIX = 3, 12  #: of these, the lists each of its rows is posted in, and the pivots of its new permutation
+SHARE = 4000  #: rows of such a list that one task permutes
 
 
 def distinct_entries(df: DataFrame, key: str, vec: str, dim: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -42,6 +45,17 @@ def fit_pivots(entries: DataFrame, dim: int, pivots: int | None = None) -> np.nd
     return matrix(got.column(0), np.dtype(np.float32), dim)
 
 
+def nearest_pivots(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
+    """The numbers of each row's nearest pivots, in order."""
+    prefix = min(prefix, len(pivots))
+    out = np.empty((len(x), prefix), np.int64)
+    for i in range(0, len(x), 4096):
+        s = x[i : i + 4096] @ pivots.T
+        top = np.argpartition(-s, prefix - 1, axis=1)[:, :prefix] if prefix < s.shape[1] else np.tile(np.arange(s.shape[1]), (len(s), 1))
+        out[i : i + 4096] = np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1)
+    return out
+
+
 def permute(df: DataFrame, pivots: np.ndarray, dim: int, prefix: int) -> DataFrame:
     """df, which has u, with perm (packed uint16: the nearest pivots in order)."""
     schema = T.StructType([*df.schema.fields, T.StructField("perm", T.BinaryType(), False)])
@@ -49,10 +63,7 @@ def permute(df: DataFrame, pivots: np.ndarray, dim: int, prefix: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = matrix(b.column(b.schema.get_field_index("u")), np.dtype(np.float32), dim) @ pivots.T
-            top = np.argpartition(-s, prefix - 1, axis=1)[:, :prefix] if prefix < s.shape[1] else np.tile(np.arange(s.shape[1]), (len(s), 1))
-            order = np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable")
-            perm = np.take_along_axis(top, order, 1).astype(np.uint16)
+            perm = nearest_pivots(matrix(b.column(b.schema.get_field_index("u")), np.dtype(np.float32), dim), pivots, prefix).astype(np.uint16)
             yield from pa.Table.from_batches([b]).append_column("perm", binary(perm)).to_batches()
 
     return df.mapInArrow(run, schema)
@@ -64,26 +75,64 @@ def pivot_at(i: int) -> Column:
     return F.conv(F.concat(F.substring(two, 3, 2), F.substring(two, 1, 2)), 16, 10).cast("int")
 
 
-def post(df: DataFrame, lists: int, block: int, key: str) -> DataFrame:
-    """Each row in the inverted lists of its nearest pivots, as blocks: columns cell, a, b, side and df's.
-
-    A list longer than block rows is divided by a hash of the key into several, and each pair of its blocks a <= b is a
-    group of its own, so no group exceeds two blocks by much, however dense a list is. The lists' lengths (at most one
-    per pivot) are collected first."""
-    posted = df.withColumn("cell", F.explode(F.array(*[pivot_at(i) for i in range(lists)])))
-    counts = posted.groupBy("cell").count().collect()  # bounded by MAX_PIVOTS
-    parts = {r["cell"]: -(-r["count"] // block) for r in counts if r["count"] > block}
-    n = F.lit(1)
-    if parts:
-        n = F.coalesce(F.create_map(*[F.lit(x) for kv in parts.items() for x in kv])[F.col("cell")], F.lit(1))
-    mine = F.pmod(F.xxhash64(key, F.lit(7)), n).cast("int")
+def _refined(posted: DataFrame, cells: list[tuple[int, int]], dim: int) -> DataFrame:
+    """Rows of long lists (cell, rep, u, perm; cells: theirs and their lengths) in shorter ones, by pivots drawn from each list alone.
+
+    So at any size a list is as long as meant, and a list that is long because its rows are alike is told apart by pivots among them.
+    A list's pivots, one for ROWS_PER_PIVOT rows by a hash, meet each share of its rows in a task; none is collected."""
+    n = F.create_map(*[F.lit(int(x)) for cell, rows in cells for x in (cell, -(-rows // SHARE))])[F.col("cell")]
+    kind = posted.schema["rep"].dataType.simpleString()
+    rows = posted.where(F.col("cell").isin([c for c, _ in cells]))
+    drawn = rows.where(F.pmod(F.xxhash64("rep", "cell"), F.lit(ROWS_PER_PIVOT)) == 0)
+    drawn = drawn.select("cell", F.explode(F.sequence(F.lit(0), n - 1)).alias("share"), F.xxhash64("rep").alias("h"), "u")
+    rows = rows.select("cell", F.pmod(F.xxhash64("rep", F.lit(3)), n).cast("int").alias("share"), "rep", "u")
+    meets = drawn.select("cell", "share", F.lit(None).cast(kind).alias("rep"), "u", "h").unionByName(rows.withColumn("h", F.lit(None).cast("bigint")))
+    names = ["cell", "rep", "u", "perm"]
+
+    def kernel(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches).combine_chunks()
+        pivot = np.asarray(t.column("h").is_valid())
+        x = matrix(t.column("u"), np.dtype(np.float32), dim)
+        at = np.flatnonzero(pivot)
+        base = x[at[np.argsort(np.asarray(t.column("h").combine_chunks().fill_null(0))[at], kind="stable")]]
+        mine = t.filter(pa.array(~pivot)).combine_chunks()
+        x = x[~pivot]
+        cell = int(key[0].as_py() if hasattr(key[0], "as_py") else key[0])
+        if not len(base):
+            base = x[:1]
+        perm = nearest_pivots(x, base, SUBPREFIX).astype(np.uint16)
+        for i in range(min(SUBLISTS, perm.shape[1])):
+            # a list's number: its own within that of the list it divides
+            number = -((cell + 1) << 16) - perm[:, i].astype(np.int64) - 1
+            yield pa.RecordBatch.from_arrays([pa.array(number), mine.column("rep").combine_chunks(), mine.column("u").combine_chunks(), binary(perm)], names=names)
+
+    return meets.groupBy("cell", "share").applyInArrow(kernel, f"cell bigint, rep {kind}, u binary, perm binary")
+
+
+def lists_of(df: DataFrame, lists: int, dim: int) -> DataFrame:
+    """(cell, rep, u, perm): each row of df (rep, u, perm) in the inverted lists of its nearest pivots, long lists divided."""
+    posted = df.select(F.explode(F.array(*[pivot_at(i).cast("bigint") for i in range(lists)])).alias("cell"), "rep", "u", "perm")
+    cells = [(r["cell"], r["count"]) for r in posted.groupBy("cell").count().where(F.col("count") > LONG).collect()]  # bounded by MAX_PIVOTS
+    if not cells:
+        return posted
+    return posted.where(~F.col("cell").isin([c for c, _ in cells])).unionByName(materialize(_refined(posted, cells, dim), "refined"))
+
+
+def post(df: DataFrame, lists: int, block: int, dim: int) -> DataFrame:
+    """Each row of df (rep, u, perm) in the lists of its nearest pivots, as blocks: columns cell, a, b, side, rep, u, perm.
+
+    A list longer than block rows even so is divided by a hash of rep into several blocks, and each pair of its blocks a <= b is a
+    group of its own, so no group exceeds two blocks by much, however dense a list is."""
+    posted = lists_of(df, lists, dim)
+    long = materialize(posted.groupBy("cell").count().where(F.col("count") > block).select("cell", F.ceil(F.col("count") / block).cast("int").alias("n")), "long")
+    posted = posted.join(long, "cell", "left").withColumn("n", F.coalesce("n", F.lit(1)))
     return (
-        posted.withColumn("mine", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+        posted.withColumn("mine", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("n")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
         .withColumn("a", F.least("mine", "other"))
         .withColumn("b", F.greatest("mine", "other"))
         .withColumn("side", F.when(F.col("a") == F.col("b"), 2).otherwise((F.col("mine") == F.col("b")).cast("int")))
-        .drop("mine", "other")
+        .drop("mine", "other", "n")
     )
 
 

@@ -1,14 +1,18 @@
 """Problem 3: themes of notes, by hierarchical density clustering.
 
-Each vector's neighbours are looked for among the rows in the lists of its nearest pivots. A list's block gives the edges of its
-mutual-reachability neighbour graph's minimum spanning forest (an edge that is not in it can't be in the whole graph's). Borůvka
-rounds on the union of these edges contract the graph, distributed, until at most NODES components are left; their condensed
-hierarchy, bounded in size, is cut by stability. The themes chosen give directions (mean vectors over all their members), and
-every row is then held against these: it belongs to the theme whose direction it reaches `least` with. Two themes whose directions
-are close are one. The most persistent members, those that leave the theme at the greatest density, are its exemplars.
+Each vector's neighbours are looked for among the rows in the lists of its nearest pivots. A row's core distance is that to the
+NEIGHBOURS-th of them, over all its lists; an edge to a neighbour weighs their mutual reachability distance, the greatest of the
+edge and both core distances. Forests of the edges are taken within partitions first, for an edge that is in no forest of a part is in
+none of the whole. The hierarchy is then built from the densest level up (see hierarchy.py): rows become components, components of
+`least_rows` rows become clusters, clusters merge. Of each branch the clusters with the greatest stability are the themes, a row
+belongs to the theme whose branch it joined, at the density it joined it, and rows that joined above all themes belong to none. The
+most persistent members, those that joined at the greatest density, are a theme's exemplars.
+
+A row that the hierarchy puts into a theme stays in it if its cosine with the theme's mean direction is at least `least`; no row is
+put into a theme by its cosine.
 
 Defined results: rows without a usable vector belong to no theme; equal vectors are one node of the hierarchy, and all of their rows
-members; where there are too few rows for two themes, what is left is one theme or none; an empty table gives none."""
+members; where the whole collection is one branch it is no theme itself, unless nothing in it divides; an empty table gives none."""
 
 from __future__ import annotations
 
@@ -18,181 +22,131 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from notemill.functions.vectors import matrix
-from notemill.llm.hierarchy import clusters, spanning
+from notemill.llm.hierarchy import LEVELS, condensed, spanning
 from notemill.llm.pivots import distinct_entries, fit_pivots, permute, post, unpack
 from notemill.session import materialize
 
-LISTS, BLOCK, PREFIX = 2, 3000, 4
+LISTS, BLOCK, PREFIX = 4, 3000, 4
 NEIGHBOURS = 8  #: that set a row's core distance
-NODES = 4096  #: components left when the hierarchy is built: a bound on the last step, whatever the input (and 8 million pairs of them)
-LEAST_SHARE, LEAST_ROWS = 0.02, 5  #: a theme has this share of all rows, and so many rows, at least
-CLOSE = 0.5  #: cosine of the directions of two themes that are one
+LEAST_ROWS = 25  #: different vectors that make a theme, however many there are in all
+SUMS = 4096  #: themes whose vectors a task adds up at once
 
 
-def _nearest(x: np.ndarray, y: np.ndarray, same: bool, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, distance) of the k nearest in y of each row of x, and each row's distance to the last of them."""
+def _nearest(x: np.ndarray, y: np.ndarray, same: bool, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, distance) of the k nearest in y of each row of x."""
     k = min(k, len(y) - same)
-    ii, jj, dd, core = [], [], [], np.zeros(len(x))
+    ii, jj, dd = [], [], []
     for s in range(0, len(x), 1000):
         sim = x[s : s + 1000] @ y.T
         rows = np.arange(sim.shape[0])
         if same:
             sim[rows, rows + s] = -2
         top = np.argpartition(-sim, k - 1, axis=1)[:, :k]
-        d = 1 - np.take_along_axis(sim, top, 1).astype(np.float64)
-        core[s : s + 1000] = d.max(axis=1)
         ii.append(np.repeat(rows + s, k))
         jj.append(top.ravel())
-        dd.append(d.ravel())
-    return np.concatenate(ii), np.concatenate(jj), np.concatenate(dd), core
+        dd.append(1 - np.take_along_axis(sim, top, 1).astype(np.float64).ravel())
+    return np.concatenate(ii), np.concatenate(jj), np.concatenate(dd)
 
 
-def neighbour_edges(posted: DataFrame, dim: int, k: int) -> DataFrame:
-    """(a, b, w): the edges of each block's spanning forest, weighted by mutual reachability distance."""
+def neighbours(posted: DataFrame, dim: int, k: int) -> DataFrame:
+    """(node, other, d): each row's k nearest in each of its blocks, with their distances."""
 
     def kernel(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(batches).combine_chunks()
         x, _p = unpack(t, dim)
         node, side = np.asarray(t.column("node")), np.asarray(t.column("side"))
-        i = j = np.zeros(0, np.int64)
-        w = np.zeros(0)
-        if len(side) > 1 and side[0] == 2:
-            i, j, d, core = _nearest(x, x, True, k)
-            w = np.maximum(d, np.maximum(core[i], core[j]))
-        elif len(set(side.tolist())) == 2:
-            l, r = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            i, j, d, core = _nearest(x[l], x[r], False, k)
-            w = np.maximum(d, core[i])
-            i, j = l[i], r[j]
-        keep = spanning(len(node), i, j, w)
-        yield pa.RecordBatch.from_arrays([pa.array(node[i[keep]]), pa.array(node[j[keep]]), pa.array(w[keep])], names=["a", "b", "w"])
-
-    return posted.withColumn("node", F.xxhash64("u")).select("cell", "a", "b", "side", "node", "u", "perm").groupBy("cell", "a", "b").applyInArrow(kernel, "a bigint, b bigint, w double")
-
-
-def _lightest(edges: DataFrame) -> DataFrame:
-    """Each pair once, the lesser node first, with its least weight."""
-    return edges.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("w").alias("w"))
-
-
-def contract(edges: DataFrame, nodes: DataFrame, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Borůvka rounds until at most so many components are left that have edges: (edges, (comp, weight, core), (node, comp))."""
-    edges = materialize(_lightest(edges), "edges")
-    comps = nodes.select(F.col("node").alias("comp"), F.lit(1).cast("long").alias("weight"))
-    labels = nodes.select("node", F.col("node").alias("comp"))
-    while True:
-        ends = edges.select(F.col("a").alias("x"), F.struct("w", "a", "b").alias("e")).unionByName(edges.select(F.col("b").alias("x"), F.struct("w", "a", "b").alias("e")))
-        least = ends.groupBy("x").agg(F.min("e").alias("e"))
-        up = materialize(least.select("x", F.when(F.col("x") == F.col("e.a"), F.col("e.b")).otherwise(F.col("e.a")).alias("y")), "least")
-        if up.count() <= most:
-            return edges, comps, labels
-        # of two that chose each other the lesser is the root
-        back = up.select(F.col("x").alias("y"), F.col("y").alias("z"))
-        up = up.join(back, "y", "left").select("x", F.when((F.col("z") == F.col("x")) & (F.col("x") < F.col("y")), F.col("x")).otherwise(F.col("y")).alias("y"))
-        while True:
-            up = materialize(up, "up")
-            onward = up.select(F.col("x").alias("y"), F.col("y").alias("z"))
-            nxt = up.join(onward, "y", "left").select("x", F.coalesce("z", "y").alias("z"), "y")
-            nxt = materialize(nxt, "jump")
-            if nxt.where("z <> y").isEmpty():
-                break
-            up = nxt.select("x", F.col("z").alias("y"))
-        to = lambda df, c: df.join(up.select(F.col("x").alias(c), F.col("y").alias("root")), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
-        edges = materialize(_lightest(to(to(edges, "a"), "b")), "edges")
-        labels = materialize(to(labels, "comp"), "labels")
-        comps = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("weight"))
-
-
-def _hierarchy(edges: DataFrame, comps: DataFrame, least: float) -> DataFrame:
-    """(comp, cluster, persistence): one task, of at most NODES components and their pairs."""
-    held = edges.select(F.col("a").alias("comp")).unionByName(edges.select(F.col("b").alias("comp"))).distinct()
-    rows = edges.select("a", "b", "w", F.lit(0).cast("long").alias("weight"))
-    rows = rows.unionByName(comps.join(held, "comp", "left_semi").select(F.col("comp").alias("a"), F.col("comp").alias("b"), F.lit(0.0).alias("w"), "weight"))
-
-    def kernel(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, w, weight = (np.asarray(c.combine_chunks()) for c in pa.Table.from_batches(batches).select(["a", "b", "w", "weight"]).columns)
-        node = weight > 0
-        ids, at = np.unique(a[node], return_index=True)
-        i, j, w = np.searchsorted(ids, a[~node]), np.searchsorted(ids, b[~node]), w[~node]
-        keep = spanning(len(ids), i, j, w)
-        label, left = clusters(weight[node][at].astype(float), i[keep], j[keep], w[keep], least)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(label.astype(np.int32)), pa.array(left.astype(float))], names=["comp", "cluster", "persistence"])
+        l, r = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        whole = np.arange(len(side))
+        pairs = [(whole, whole, True)] if len(side) > 1 and side[0] == 2 else [(l, r, False), (r, l, False)] if len(l) and len(r) else []
+        for a, b, same in pairs:
+            i, j, d = _nearest(x[a], x[b], same, k)
+            yield pa.RecordBatch.from_arrays([pa.array(node[a[i]]), pa.array(node[b[j]]), pa.array(d)], names=["node", "other", "d"])
+
+    return posted.withColumn("node", F.xxhash64("u")).select("cell", "a", "b", "side", "node", "u", "perm").groupBy("cell", "a", "b").applyInArrow(kernel, "node bigint, other bigint, d double")
+
+
+def reachability(found: DataFrame, k: int) -> DataFrame:
+    """(a, b, level) of the edges of the mutual-reachability graph, from rows' neighbours (node, other, d) of all their lists."""
+    # hashed by node, so that both groupings and no more than that move the rows once
+    once = found.where("node <> other").repartition("node").groupBy("node", "other").agg(F.min("d").alias("d"))
+    near = F.slice(F.sort_array(F.collect_list(F.struct("d", "other"))), 1, k)  # a row has k neighbours in each of its blocks
+    rows = materialize(once.groupBy("node").agg(near.alias("near")).select("node", "near", F.element_at("near", -1)["d"].alias("core")), "cores")
+    edges = rows.select("node", "core", F.explode("near").alias("n")).select("node", "core", F.col("n.other").alias("other"), F.col("n.d").alias("d"))
+    edges = edges.join(rows.select(F.col("node").alias("other"), F.col("core").alias("theirs")), "other")
+    level = F.greatest(F.ceil(F.greatest("d", "core", "theirs") * LEVELS).cast("int"), F.lit(0))
+    edges = edges.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), level.alias("level")).where(F.col("level") <= LEVELS)
+
+    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a, c, w = (np.asarray(b.column(n)) for n in ("a", "b", "level"))
+            ids, at = np.unique(np.concatenate([a, c]), return_inverse=True)
+            keep = spanning(len(ids), at[: len(a)], at[len(a) :], w)
+            yield b.take(pa.array(keep))
 
-    return rows.groupBy(F.lit(0).alias("all")).applyInArrow(kernel, "comp bigint, cluster int, persistence double")
+    return edges.mapInArrow(forest, "a bigint, b bigint, level int")
 
 
-def _directions(labelled: DataFrame, label: str, dim: int) -> dict[int, np.ndarray]:
-    """Sum of the vectors u of each label: added up on the executors, then one vector per label and partition."""
+def _means(members: DataFrame, dim: int) -> DataFrame:
+    """(theme, mean): the packed mean direction of each theme's rows (theme, u), added up before they are moved."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([s.tolist() for s in sums.values()], pa.list_(pa.float64()))], names=["theme", "sums"])
+
         for b in batches:
-            x, l = matrix(b.column("u"), np.dtype(np.float32), dim).astype(np.float64), np.asarray(b.column(label))
+            x, l = matrix(b.column("u"), np.dtype(np.float32), dim).astype(np.float64), np.asarray(b.column("theme"))
             for v in np.unique(l):
                 sums[int(v)] = sums.get(int(v), 0) + x[l == v].sum(axis=0)
+            if len(sums) > SUMS:
+                yield out()
+                sums = {}
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tolist() for s in sums.values()], pa.list_(pa.float64()))], names=["label", "sums"])
+            yield out()
+
+    def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.asarray(b.column("sums").flatten()).reshape(-1, dim)
+            x = x / np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
+            yield pa.RecordBatch.from_arrays([b.column("theme"), pa.array([v.tobytes() for v in x], pa.binary())], names=["theme", "mean"])
 
-    part = labelled.select("u", label).mapInArrow(add, "label int, sums array<double>")
-    total = part.groupBy("label").agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(dim)]).alias("sums")).collect()  # bounded by 1 / LEAST_SHARE
-    return {r["label"]: np.array(r["sums"]) for r in total}
+    part = members.select("theme", "u").mapInArrow(add, "theme bigint, sums array<double>")
+    total = part.groupBy("theme").agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(dim)]).alias("sums"))
+    return total.mapInArrow(unit, "theme bigint, mean binary")
 
 
-def _assign(rows: DataFrame, directions: np.ndarray, least: float, dim: int) -> DataFrame:
-    """rows (with u) and theme, cosine: the theme whose direction a row is nearest to, if it reaches least."""
-    schema = T.StructType([*rows.schema.fields, T.StructField("theme", T.IntegerType()), T.StructField("cosine", T.DoubleType())])
+def _cosines(rows: DataFrame, kind: str, dim: int) -> DataFrame:
+    """rows (key, theme, persistence, u, mean) with the cosine in place of u and mean."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = matrix(b.column(b.schema.get_field_index("u")), np.dtype(np.float32), dim).astype(np.float64) @ directions.T
-            best = s.argmax(axis=1) if len(s) else np.zeros(0, int)
-            c = s[np.arange(len(s)), best]
-            t = pa.Table.from_batches([b]).append_column("theme", pa.array(best.astype(np.int32))).append_column("cosine", pa.array(c))
-            yield from t.filter(pa.array(c >= least)).combine_chunks().to_batches()
+            x, m = matrix(b.column("u"), np.dtype(np.float32), dim).astype(np.float64), matrix(b.column("mean"), np.dtype(np.float64), dim)
+            yield pa.RecordBatch.from_arrays([*b.select(["key", "theme", "persistence"]).columns, pa.array((x * m).sum(axis=1))], names=["key", "theme", "persistence", "cosine"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.select("key", "theme", "persistence", "u", "mean").mapInArrow(run, f"key {kind}, theme bigint, persistence double, cosine double")
 
 
-def themes(df: DataFrame, key: str, vec: str, least: float = 0.35, dim: int = 64, nodes: int = NODES) -> DataFrame:
-    """(key, theme, cosine, persistence): the members of each theme; theme numbers are 0, 1, ... by falling size."""
+def themes(df: DataFrame, key: str, vec: str, least: float = 0.35, dim: int = 64, least_rows: int = LEAST_ROWS, **options: int) -> DataFrame:
+    """(key, theme, cosine, persistence): the members of each theme. theme is an opaque number, persistence the cosine at which a row joined."""
     spark = df.sparkSession
     data = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(vec).alias("vec"))
     kind = data.schema["key"].dataType.simpleString()
     rows, _, entries = distinct_entries(data, "key", "vec", dim)
     base = fit_pivots(entries, dim)
     if not len(base):
-        return spark.createDataFrame([], f"{key} {kind}, theme int, cosine double, persistence double")
+        return spark.createDataFrame([], f"{key} {kind}, theme bigint, cosine double, persistence double")
     entries = materialize(permute(entries, base, dim, min(PREFIX, len(base))), "permuted")
-    edges = neighbour_edges(post(entries, min(LISTS, len(base)), BLOCK, "rep"), dim, NEIGHBOURS)
-    ids = rows.select(F.xxhash64("u").alias("node")).distinct()
-    ids = materialize(ids, "nodes")
-    total = ids.count()
-    edges, comps, labels = contract(edges, ids, nodes)
-    found = materialize(_hierarchy(edges, comps, max(LEAST_ROWS, LEAST_SHARE * total)), "hierarchy")
-    labels = materialize(labels.join(found.where("cluster >= 0"), "comp").select("node", "cluster", "persistence"), "labelled")
-    node = rows.select("key", "u").withColumn("node", F.xxhash64("u"))
-    sums = _directions(node.join(labels, "node"), "cluster", dim)
-    unit = lambda v: v / max(np.linalg.norm(v), 1e-12)
-    at: np.ndarray = np.zeros((0, dim))
-    for _ in range(2):
-        merged: list[np.ndarray] = []
-        for v in sorted(sums.values(), key=lambda v: -np.linalg.norm(v)):
-            near = [m for m in range(len(merged)) if unit(merged[m]) @ unit(v) >= CLOSE]
-            if near:
-                merged[near[0]] = merged[near[0]] + v
-            else:
-                merged.append(v)
-        if not merged:
-            return spark.createDataFrame([], f"{key} {kind}, theme int, cosine double, persistence double")
-        at = np.array([unit(v) for v in merged])
-        sums = _directions(_assign(rows.select("key", "u"), at, least, dim), "theme", dim)
-    at = np.array([unit(sums[i]) for i in sorted(sums, key=lambda i: -np.linalg.norm(sums[i]))])
-    out = _assign(node, at, least, dim).join(labels.select("node", "persistence"), "node", "left")
-    return out.select(F.col("key").alias(key), "theme", "cosine", F.coalesce("persistence", F.lit(0.0)).alias("persistence"))
+    posted = post(entries, min(LISTS, len(base)), BLOCK, dim)
+    edges = materialize(reachability(neighbours(posted, dim, NEIGHBOURS), NEIGHBOURS), "edges")
+    labels = condensed(edges, least_rows, **options)
+    node = rows.select("key", "u", F.xxhash64("u").alias("node"))
+    members = node.join(labels, "node").select("key", "u", "theme", (1 - F.col("level") / LEVELS).alias("persistence"))
+    members = materialize(members, "members")
+    return _cosines(members.join(_means(members, dim), "theme"), kind, dim).where(F.col("cosine") >= least).select(F.col("key").alias(key), "theme", "cosine", "persistence")
 
 
 def tag_names(tags_json: Column) -> Column:

@@ -4,10 +4,11 @@ from pyspark.sql import functions as F
 
 from notemill.llm import neighbours, themes
 from notemill.llm.components import components
-from notemill.llm.hierarchy import clusters, spanning
+from notemill.llm.hierarchy import LEVELS, condensed, spanning
 from notemill.llm.history import EMPTY_TEXT, HistoryIndex
 from notemill.llm.neighbours import footrule, similar_pairs, similar_to
-from notemill.llm.pivots import distinct_entries, fit_pivots
+from notemill.functions.vectors import with_unit
+from notemill.llm.pivots import distinct_entries, fit_pivots, lists_of, permute, pivot_at
 
 SCHEMA = "path string, vec array<float>, u int, key string, cell int, rep string"
 
@@ -80,6 +81,45 @@ def test_pivots_are_distinct_however_many_copies(spark):
     assert len(found & want) >= 0.97 * len(want) and len(found - want) <= 0.03 * len(want)
 
 
+def test_long_lists_are_divided_by_pivots_of_their_own(spark):
+    """A clump of rows that are all alike, longer than lists are meant to be: told apart by pivots among them, in bounded lists."""
+    r = np.random.default_rng(1)
+    v = r.standard_normal(64)
+    clump = np.repeat(v / np.linalg.norm(v) + 0.05 * r.standard_normal((1500, 64)), 5, axis=0) + 0.02 * r.standard_normal((7500, 64))
+    x = np.concatenate([r.standard_normal((2500, 64)), clump]).astype(np.float32)
+    _, _, entries = distinct_entries(table(spark, x).select(F.col("path").alias("key"), "vec"), "key", "vec", 64)
+    base = fit_pivots(entries, 64, 6)
+    rows = permute(entries, base, 64, 6)
+    plain = rows.withColumn("cell", F.explode(F.array(*[pivot_at(i) for i in range(4)]))).groupBy("cell").count().agg(F.max("count")).head()[0]
+    posted = lists_of(rows, 4, 64)
+    longest = posted.groupBy("cell").count().agg(F.max("count")).head()[0]
+    assert plain > 6000 and longest < 4000
+    assert posted.select("rep").distinct().count() == 10_000
+    got = {}
+    for p in similar_pairs(table(spark, x), "path", "vec", k=5, min_cosine=0.8, pivots=6).collect():
+        got.setdefault(p.path, set()).add(p.neighbour)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    hit = total = 0
+    for i in range(2500, 10_000, 75):
+        s = u @ u[i]
+        s[i] = -2
+        want = {f"p{j:04d}" for j in np.argsort(-s)[:4] if s[j] >= 0.8}
+        hit, total = hit + len(want & got.get(f"p{i:04d}", set())), total + len(want)
+    assert total > 390 and hit / total >= 0.9
+
+
+def test_compared_rows_stay_the_same_as_the_table_grows(spark):
+    """Rows of a list that one row meets, by the lists' lengths, over synthetic rows and few pivots (as beyond MAX_PIVOTS)."""
+    met = []
+    for n in (10_000, 40_000, 160_000):
+        rows = spark.range(n).select(F.col("id").alias("rep"), F.randn(1).alias("x"), F.randn(2).alias("y"), F.randn(3).alias("z"), F.randn(4).alias("w"))
+        entries = with_unit(rows.select("rep", F.array(*[F.col(c).cast("float") for c in "xyzw"]).alias("vec")), dim=4)
+        base = np.eye(4, dtype=np.float32)
+        c = lists_of(permute(entries, base, 4, 2), 2, 4).groupBy("cell").count()
+        met.append(c.agg(F.sum(F.col("count") * F.col("count"))).head()[0] / n)
+    assert met[2] < 1.5 * met[0]
+
+
 def test_similar_to_recall_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK", 200)
     monkeypatch.setattr(neighbours, "ASK_BLOCK", 5)
@@ -132,13 +172,62 @@ def test_spanning_is_minimal():
         assert (w[keep].sum(), len(keep)) == (cost, count)
 
 
-def test_clusters_of_two_groups():
-    # two dense chains, joined far apart, and a straggler
-    i, j = np.array([0, 1, 2, 4, 5, 6, 3, 8]), np.array([1, 2, 3, 5, 6, 7, 4, 7])
-    d = np.array([0.1, 0.1, 0.1, 0.2, 0.2, 0.2, 0.9, 0.8])
-    label, left = clusters(np.ones(9), i, j, d, 3)
-    assert len(set(label[:4])) == 1 and len(set(label[4:8])) == 1 and label[0] != label[4] and min(label[0], label[4]) >= 0
-    assert left[0] > left[8]
+def groups_by_hand(edges, least):
+    """Chosen clusters of a graph as sets of nodes, by following every component from level to level."""
+    nodes = {n for a, b, _ in edges for n in (a, b)}
+    comp = {n: frozenset([n]) for n in nodes}
+    state = {}  # a component that is a cluster: [name, stability, below, since]
+    tree, joined = {}, {}
+    for l in sorted({e[2] for e in edges}):
+        before = set(comp.values())
+        for a, b, w in edges:
+            if w == l and comp[a] != comp[b]:
+                both = comp[a] | comp[b]
+                comp.update((n, both) for n in both)
+        for c in set(comp.values()) - before:
+            parts = [p for p in before if p <= c]
+            big = [p for p in parts if p in state]
+            now = {p: state[p][1] + len(p) * (l - state[p][3]) for p in big}
+            if len(big) == 1:
+                state[c] = [state[big[0]][0], now[big[0]], state[big[0]][2], l]
+            elif len(c) >= least:
+                state[c] = [(l, c), 0.0, sum(max(now[p], state[p][2]) for p in big), l]
+                for p in big:
+                    tree[state[p][0]] = ((l, c), now[p] >= state[p][2])
+            if c in state:
+                for p in parts:
+                    if p not in state:
+                        joined.update((n, state[c][0]) for n in p)
+    live = [c for c in set(comp.values()) if c in state]
+    for c in live:
+        name, stable, below, since = state[c]
+        tree[name] = (None, stable + len(c) * (LEVELS - since) >= below and not (len(live) == 1 and below > 0))
+    out = {}
+    for n, name in joined.items():
+        best = None
+        while name is not None:
+            up, ok = tree[name]
+            best = name if ok else best
+            name = up
+        if best is not None:
+            out.setdefault(best, set()).add(n)
+    return {frozenset(v) for v in out.values()}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_hierarchy_is_the_same_in_one_task_and_by_joins(spark, seed):
+    r = np.random.default_rng(seed)
+    n = 90
+    at = np.concatenate([r.normal(c, s, n // 3) for c, s in ((0, 1), (12, 2), (40, 1))])
+    pairs = [(int(a) * 7 - 50, int(b) * 7 - 50, int(min(LEVELS, abs(at[a] - at[b]) * 6 + r.integers(0, 5))) // 8 * 8) for a in range(n) for b in range(a + 1, n) if abs(at[a] - at[b]) < 9]
+    edges = spark.createDataFrame(pairs, "a long, b long, level int")
+    want = groups_by_hand(pairs, 6)
+    assert len(want) >= 2
+    for at_once in (2_000_000, 40, 0):
+        got = {}
+        for x in condensed(edges, 6, at_once).collect():
+            got.setdefault(x.theme, set()).add(x.node)
+        assert {frozenset(v) for v in got.values()} == want, at_once
 
 
 def planted(seed, sizes, noise):
@@ -149,15 +238,26 @@ def planted(seed, sizes, noise):
     return np.array([*x, *y], np.float32), np.array([*np.repeat(np.arange(len(sizes)), sizes), *[-1] * noise])
 
 
-@pytest.mark.parametrize("nodes", [4096, 60])
-def test_themes_found(spark, nodes):
+@pytest.mark.parametrize("at_once", [2_000_000, 450])
+def test_themes_found(spark, at_once):
     x, truth = planted(3, [260, 180, 120], 20)
-    got = {r.path: r.theme for r in themes.themes(table(spark, x, ODD), "path", "vec", nodes=nodes).collect()}
-    label = np.array([got.get(f"p{i:04d}", -1) for i in range(len(x))])
+    got = {r.path: r.theme for r in themes.themes(table(spark, x, ODD), "path", "vec", at_once=at_once).collect()}
     assert set(got) <= {f"p{i:04d}" for i in range(len(x))}
-    best = sum(max(np.bincount(label[truth == t][label[truth == t] >= 0], minlength=1)) for t in range(3))
-    assert best >= 0.95 * 560 and len({v for v in got.values()}) == 3
-    assert (label[truth == -1] >= 0).sum() <= 4
+    label = [got.get(f"p{i:04d}") for i in range(len(x))]
+    of = [{label[i] for i in np.flatnonzero(truth == t)} for t in range(3)]
+    assert all(len(v - {None}) == 1 for v in of) and len({v for v in label if v}) == 3
+    assert sum(label[i] is not None for i in np.flatnonzero(truth >= 0)) >= 0.98 * 560
+    assert sum(label[i] is not None for i in np.flatnonzero(truth == -1)) <= 1
+
+
+def test_a_small_theme_beside_large_ones(spark):
+    x, truth = planted(5, [1500, 1400, 45], 40)
+    x = np.concatenate([x, np.repeat(x[:1], 300, axis=0)])  # many copies of one vector are one node
+    got = {r.path: r.theme for r in themes.themes(table(spark, x), "path", "vec").collect()}
+    small = [got.get(f"p{i:04d}") for i in np.flatnonzero(truth == 2)]
+    assert len(set(small) - {None}) == 1 and small.count(None) <= 2
+    assert not set(small) & {got.get(f"p{i:04d}") for i in np.flatnonzero((truth == 0) | (truth == 1))} - {None} and len(set(got.values())) == 3
+    assert {got[f"p{i:04d}"] for i in range(len(truth), len(x))} == {got["p0000"]}
 
 
 def test_theme_descriptions(spark):
