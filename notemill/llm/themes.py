@@ -27,9 +27,9 @@ from pyspark.sql.window import Window
 from notemill.functions.vectors import matrix
 from notemill.llm.hierarchy import LEVELS, condensed, spanning
 from notemill.llm.pivots import distinct_entries, fit_pivots, permute, post, unpack
-from notemill.session import materialize
+from notemill.session import drop_table, materialize
 
-LISTS, BLOCK, PREFIX = 4, 3000, 4
+LISTS, BLOCK, PREFIX = 3, 3000, 4
 NEIGHBOURS = 8  #: that set a row's core distance
 LEAST_ROWS = 25  #: different vectors that make a theme, however many there are in all
 SUMS = 4096  #: themes whose vectors a task adds up at once
@@ -142,6 +142,7 @@ def themes(df: DataFrame, key: str, vec: str, least: float = 0.35, dim: int = 64
     entries = materialize(permute(entries, base, dim, min(PREFIX, len(base))), "permuted")
     posted = post(entries, min(LISTS, len(base)), BLOCK, dim)
     edges = materialize(reachability(neighbours(posted, dim, NEIGHBOURS), NEIGHBOURS), "edges")
+    drop_table(spark, entries.inputFiles()[0].rpartition("/")[0])  # not read again
     labels = condensed(edges, least_rows, **options)
     node = rows.select("key", "u", F.xxhash64("u").alias("node"))
     members = node.join(labels, "node").select("key", "u", "theme", (1 - F.col("level") / LEVELS).alias("persistence"))
