@@ -1,10 +1,15 @@
 """Problem 7: each batch checked against everything accepted before, through a persisted index of minwise band keys.
 
 A vector's set is the sides of random hyperplanes it lies on; minwise hashes of that set are cut into bands. The index keeps the
-band keys, each with a sketch of the vector, in files partitioned by a hash of the key, and vectors and text hashes likewise. A
-batch reads the keys and text hashes of its own buckets only, compares sketches in the join, and verifies what is left by exact cosine,
-reading the vectors' buckets that the candidates are in; then the keys of the accepted records are appended. History is never signed
-again. Equal vectors have one entry. A batch of many more items than BUCKETS / BANDS needs all buckets of the keys.
+band keys, each with a sketch of the vector, in files partitioned by a hash of the key, and vectors and text hashes likewise. Batches
+are taken one after the other: each probes the buckets of its own keys, compares sketches in the join, verifies what is left by exact
+cosine, reading the buckets of the candidates' vectors only, and appends the keys of what it accepts, which the next batch probes.
+History is never signed again. The history's side of a join stays where it is while the batch is small enough to be broadcast
+(counted first); only a larger one is joined by a shuffle.
+
+Every append is a part of its own; a part has a bucket for about BUCKET_KEYS of its keys, so that the longer the history the smaller
+the share of it that a batch reads (all of it only once a batch has more keys than there are buckets). FAN parts of one size are
+merged into one, so there are few parts and a record is rewritten a logarithmic number of times.
 
 A pair of cosine 0.95 shares a band with probability 0.996, one of 0.97 with 0.9998.
 
@@ -15,6 +20,7 @@ an empty batch or empty history is no special case; extra columns are ignored.""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
@@ -22,12 +28,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notemill.functions.vectors import matrix, with_unit
+from notemill.functions.vectors import matrix, with_unit_or_null
 from notemill.llm.bands import band_keys, differing, pack_bits
 from notemill.session import materialize, new_path
 
 PLANES, ROWS, BANDS, SEED = 256, 6, 16, 11
-BUCKETS = 256  #: a bound on the list of buckets a batch asks for
+BUCKET_KEYS = 50_000  #: keys in a bucket, about
+MOST_BUCKETS = 4096  #: a bound on the list of buckets that a batch asks for
+FAN = 8  #: parts of one size that are merged
+SENT = 200_000  #: rows of a batch's keys, hashes or candidates, of some 40 bytes, that are sent to all executors; more are joined by a shuffle
+AT_ONCE = 50_000  #: items that depend on one another, decided in one task; more are decided in rounds
 EMPTY_TEXT = "da39a3ee5e6b4b0d3255bfef95601890afd80709"  # fixed value: SHA-1 of no bytes
 _VECTORS, _KEYS, _HASHES = "ref bigint, u binary, bucket int", "band bigint, ref bigint, s1 bigint, s2 bigint, bucket int", "text_hash string, bucket int"
 
@@ -51,7 +61,7 @@ def _functions(dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def vector_keys(vectors: DataFrame, dim: int) -> DataFrame:
-    """(band, ref, s1, s2): a row for each band of each vector of (ref, u)."""
+    """(band, ref, s1, s2, n): a row for each band of each vector of (ref, u, n)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes, order = _functions(dim)
@@ -61,10 +71,10 @@ def vector_keys(vectors: DataFrame, dim: int) -> DataFrame:
                 signs, sig = sign_minhash(matrix(part.column("u"), np.dtype(np.float32), dim), planes, order)
                 s1, s2 = pack_bits(signs)
                 keys = band_keys(sig, ROWS)
-                ref = np.repeat(np.asarray(part.column("ref")), BANDS)
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (keys.ravel(), ref, np.repeat(s1, BANDS), np.repeat(s2, BANDS))], names=["band", "ref", "s1", "s2"])
+                values = (keys.ravel(), *(np.repeat(np.asarray(v), BANDS) for v in (part.column("ref"), s1, s2, part.column("n"))))
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], names=["band", "ref", "s1", "s2", "n"])
 
-    return vectors.select("ref", "u").mapInArrow(sign, "band bigint, ref bigint, s1 bigint, s2 bigint")
+    return vectors.select("ref", "u", "n").mapInArrow(sign, "band bigint, ref bigint, s1 bigint, s2 bigint, n int")
 
 
 def most_differing(cosine: float) -> int:
@@ -74,17 +84,17 @@ def most_differing(cosine: float) -> int:
 
 
 def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, least: float, dim: int) -> DataFrame:
-    """The pairs (x, y) of refs whose vectors, in left and right (ref, u), have at least that cosine.
+    """The pairs (x, y, old) of refs whose vectors, in left and right (ref, u), have at least that cosine.
 
     Should two vectors have one ref, each is compared."""
 
     def cosine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             u, v = (matrix(b.column(c), np.dtype(np.float32), dim).astype(np.float64) for c in ("u", "v"))
-            yield b.select(["x", "y"]).filter(pa.array((u * v).sum(axis=1) >= least))
+            yield b.select(["x", "y", "old"]).filter(pa.array((u * v).sum(axis=1) >= least))
 
     got = pairs.join(left.select(F.col("ref").alias("x"), "u"), "x").join(right.select(F.col("ref").alias("y"), F.col("u").alias("v")), "y")
-    return got.select("x", "y", "u", "v").mapInArrow(cosine, "x bigint, y bigint").distinct()
+    return got.select("x", "y", "old", "u", "v").mapInArrow(cosine, "x bigint, y bigint, old boolean").distinct()
 
 
 def usable_hash(h: Column) -> Column:
@@ -92,117 +102,226 @@ def usable_hash(h: Column) -> Column:
     return F.when(low != EMPTY_TEXT, low)
 
 
-def _bucket(c: str) -> Column:
-    return F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
+def _place(c: str, buckets: int = MOST_BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
 
 
-def _buckets(df: DataFrame, c: str) -> list[int]:
-    """The buckets that df's values of c are in: at most BUCKETS."""
-    return [r[0] for r in df.select(_bucket(c)).distinct().collect()]
+def _sent(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= SENT else df
 
 
 class HistoryIndex:
     """The accepted records' text hashes, vectors and band keys, in a folder all executors share."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, dim: int = 64, least: float = 0.95) -> None:
-        self.spark, self.path, self.dim, self.least = spark, path or new_path(spark, "history"), dim, least
-        self.parts = 0  # an index that is there already is taken up: its complete parts, whose keys were written last
-        at = spark._jvm.org.apache.hadoop.fs.Path
-        fs = at(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self.other: set[int] = set()  # parts written with another number of buckets are read whole
-        while fs.exists(at(f"{self.path}/part={self.parts}/keys/_SUCCESS")):
-            if not fs.exists(at(f"{self.path}/part={self.parts}/buckets={BUCKETS}")):
-                self.other.add(self.parts)
-            self.parts += 1
-
-    def _read(self, name: str, schema: str, buckets: list[int] | None = None) -> DataFrame:
-        """A table of all parts; buckets: only the files of these."""
-        if not self.parts:
+    def __init__(self, spark: SparkSession, path: str | None = None, dim: int = 64, least: float = 0.95, bucket_keys: int = BUCKET_KEYS) -> None:
+        self.spark, self.path, self.dim, self.least, self.bucket_keys = spark, path or new_path(spark, "history"), dim, least, bucket_keys
+        self._hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._hadoop(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._parts: list[tuple[int, int]] | None = None
+
+    # parts: folders part=FIRST-LAST of the appends they hold, complete once their keys, which are written last, are
+
+    def parts(self) -> list[tuple[int, int]]:
+        """The complete parts that hold every append once; a merged one stands for those it was made of."""
+        if self._parts is None:
+            names = [s.getPath().getName() for s in self._fs.listStatus(self._hadoop(self.path))] if self._fs.exists(self._hadoop(self.path)) else []
+            found = [tuple(int(x) for x in n.removeprefix("part=").split("-")) for n in names if n.startswith("part=")]
+            whole = [p for p in found if self._fs.exists(self._hadoop(f"{self._at(p)}/keys/_SUCCESS"))]
+            self._parts, n = [], 0
+            while longest := max((p for p in whole if p[0] == n), default=None):
+                self._parts.append(longest)
+                n = longest[1] + 1
+        return self._parts
+
+    def _at(self, part: tuple[int, int]) -> str:
+        return f"{self.path}/part={part[0]}-{part[1]}"
+
+    def _buckets(self, part: tuple[int, int]) -> int:
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._hadoop(self._at(part)))]
+        return max(int(n.removeprefix("buckets=")) for n in names if n.startswith("buckets="))
+
+    def _read(self, name: str, schema: str, asked: DataFrame | None = None, c: str = "", rows: int = 0) -> DataFrame:
+        """A table of all parts; asked: only the buckets that its values of c (so many rows) are in."""
+        parts = self.parts()
+        if not parts:
             return self.spark.createDataFrame([], schema)
-        tables = [self.spark.read.schema(schema).parquet(f"{self.path}/part={i}/{name}") for i in range(self.parts)]
-        if buckets is not None and len(buckets) < BUCKETS:
-            tables = [t if i in self.other else t.where(F.col("bucket").isin(buckets)) for i, t in enumerate(tables)]
+        buckets = {p: self._buckets(p) for p in parts}
+        places: list[int] | None = None
+        if asked is not None and rows < 8 * max(buckets.values()):  # more rows than that are in all buckets anyway
+            places = [r[0] for r in asked.select(_place(c)).distinct().collect()]  # at most MOST_BUCKETS, of which parts' numbers are divisors
+        tables = []
+        for p in parts:
+            t = self.spark.read.schema(schema).parquet(f"{self._at(p)}/{name}")
+            of = None if places is None else {x % buckets[p] for x in places}
+            tables.append(t if of is None or len(of) == buckets[p] else t.where(F.col("bucket").isin(sorted(of))))
         return reduce(DataFrame.unionByName, tables)
 
-    def vectors(self, buckets: list[int] | None = None) -> DataFrame:
-        return self._read("vectors", _VECTORS, buckets)
-
-    def keys(self, buckets: list[int] | None = None) -> DataFrame:
-        return self._read("keys", _KEYS, buckets)
-
-    def hashes(self, buckets: list[int] | None = None) -> DataFrame:
-        return self._read("hashes", _HASHES, buckets)
-
-    def append(self, records: DataFrame, signed: DataFrame | None = None) -> None:
-        """Adds records (text_hash, u) to the index; u is a packed unit vector or null. signed: their keys, if made already.
-
-        A part counts once its three tables are complete, so a failed append leaves nothing behind that is read."""
-        at = f"{self.path}/part={self.parts}"
-        write = lambda df, name: df.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/{name}")
+    def vectors(self, *asked) -> DataFrame:  # noqa: ANN002
+        return self._read("vectors", _VECTORS, *asked)
+
+    def keys(self, *asked) -> DataFrame:  # noqa: ANN002
+        return self._read("keys", _KEYS, *asked)
+
+    def hashes(self, *asked) -> DataFrame:  # noqa: ANN002
+        return self._read("hashes", _HASHES, *asked)
+
+    def _write(self, part: tuple[int, int], hashes: DataFrame, vectors: DataFrame, signed: DataFrame | None, rows: int) -> None:
+        """A part. It counts once its three tables are complete, so a failed append leaves nothing behind that is read."""
+        at, n = self._at(part), 1
+        while n < MOST_BUCKETS and n * self.bucket_keys < rows * BANDS:
+            n *= 2
+
+        def write(df: DataFrame, name: str, c: str) -> None:
+            df = df.withColumn("bucket", _place(c, n))
+            df = (df.repartition("bucket") if n > 1 else df.coalesce(1)).sortWithinPartitions("bucket", c)
+            df.write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/{name}")
+
+        self._fs.delete(self._hadoop(at), True)
+        self._fs.mkdirs(self._hadoop(f"{at}/buckets={n}"))
+        with ThreadPoolExecutor(2) as both:  # two small jobs at a time
+            for w in [both.submit(write, hashes, "hashes", "text_hash"), both.submit(write, vectors, "vectors", "ref")]:
+                w.result()
+        write(signed if signed is not None else vector_keys(self.spark.read.schema(_VECTORS).parquet(f"{at}/vectors").withColumn("n", F.lit(0)), self.dim).drop("n"), "keys", "band")
+        self._parts = None
+
+    def append(self, records: DataFrame, signed: DataFrame | None = None, rows: int | None = None) -> None:
+        """Adds records (text_hash, u) to the index; u is a packed unit vector or null. signed: their keys, if made already; rows: how
+        many they are, about."""
+        number = self.parts()[-1][1] + 1 if self.parts() else 0
         hashes = records.select(usable_hash(F.col("text_hash")).alias("text_hash")).where("text_hash is not null").distinct()
-        write(hashes.withColumn("bucket", _bucket("text_hash")), "hashes")
         vectors = records.where("u is not null").groupBy(F.xxhash64("u").alias("ref")).agg(F.first("u").alias("u"))
-        write(vectors.withColumn("bucket", _bucket("ref")), "vectors")
-        if signed is None:
-            signed = vector_keys(self.spark.read.schema(_VECTORS).parquet(f"{at}/vectors"), self.dim)
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{at}/buckets={BUCKETS}")
-        folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
-        write(signed.withColumn("bucket", _bucket("band")), "keys")
-        self.parts += 1
+        self._write((number, number), hashes, vectors, signed, records.count() if rows is None else rows)
+        self._merge()
+
+    def _merge(self) -> None:
+        """While the last FAN parts are of one size they become one; readers see either them or it."""
+        size = lambda p: int(np.log2(max(1, self._fs.getContentSummary(self._hadoop(self._at(p))).getLength())) // np.log2(FAN))
+        while len(last := self.parts()[-FAN:]) == FAN and len({size(p) for p in last}) == 1:
+            bare = lambda name, schema, by: reduce(DataFrame.unionByName, [self.spark.read.schema(schema).parquet(f"{self._at(p)}/{name}") for p in last]).drop("bucket").dropDuplicates(by)
+            vectors = bare("vectors", _VECTORS, ["ref"])
+            self._write((last[0][0], last[-1][1]), bare("hashes", _HASHES, ["text_hash"]), vectors, bare("keys", _KEYS, ["band", "ref"]), vectors.count())
+            for p in last:
+                self._fs.delete(self._hadoop(self._at(p)), True)
+
+    # batches
 
     def check(self, items: DataFrame, key: str = "item_id", append: bool = True) -> DataFrame:
-        """(key, batch_no, verdict) of items (key, batch_no, arrived_at, text_hash, vec), one batch or several at once.
+        """(key, batch_no, verdict) of items (key, batch_no, arrived_at, text_hash, vec).
 
-        Verdicts are those of taking items one after the other by batch_no, then key: exact, near or accepted."""
+        Verdicts are those of taking items one after the other by batch_no, then key: exact, near or accepted. Each batch probes
+        what those before it appended; with append=False nothing is appended and all are one batch."""
         order = F.struct(F.coalesce("batch_no", F.lit(2**31 - 1)).alias("n"), F.col(key).alias("k"))
         rows = items.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), order.alias("o"), usable_hash(F.col("text_hash")).alias("text_hash"), "vec", F.xxhash64(key, "batch_no", "text_hash", "vec").alias("rid"), "arrived_at")
         kept = rows.groupBy("key").agg(F.min(F.struct(F.col("o.n").alias("n"), F.coalesce("arrived_at", F.to_timestamp(F.lit("9999-01-01"))).alias("at"), "rid", "o", "text_hash", "vec")).alias("r")).select("key", "r.o", "r.text_hash", "r.vec")
-        packed = with_unit(kept.select("key", "vec"), dim=self.dim)
-        base = materialize(kept.drop("vec").join(packed, "key", "left").withColumn("ref", F.xxhash64("u")).withColumn("ref", F.when(F.col("u").isNotNull(), F.col("ref"))), "items")
-        vectors = base.where("u is not null").groupBy("ref").agg(F.first("u").alias("u"))
-        keys = materialize(vector_keys(vectors, self.dim), "keys")
+        packed = with_unit_or_null(kept, dim=self.dim).withColumn("ref", F.when(F.col("u").isNotNull(), F.xxhash64("u"))).withColumn("n", F.col("o.n"))
+        base = materialize(packed, "items")
+        sizes = {r["n"]: r["count"] for r in base.groupBy("n").count().collect()}  # a row per batch
+        signed = materialize(vector_keys(base.where("u is not null").groupBy("n", "ref").agg(F.first("u").alias("u")), self.dim), "keys")
+        out = []
+        for n in sorted(sizes) if append else [None]:
+            of = F.lit(True) if n is None else F.col("n") == n
+            out.append(self._batch(base.where(of), signed.where(of).drop("n").distinct() if n is None else signed.where(of).drop("n"), sum(sizes.values()) if n is None else sizes[n], append))
+        verdicts = reduce(DataFrame.unionByName, out) if out else self.spark.createDataFrame([], f"key {base.schema['key'].dataType.simpleString()}, n int, verdict string")
+        return verdicts.select(F.col("key").alias(key), F.col("n").alias("batch_no"), "verdict")
+
+    def _batch(self, base: DataFrame, keys: DataFrame, rows: int, append: bool) -> DataFrame:
+        """(key, n, verdict) of one batch (key, o, n, text_hash, u, ref) with its keys; appends what is accepted."""
         near = differing("a", "b") <= most_differing(self.least)
-        # against history: only the buckets of this batch's keys, candidates and hashes are read
-        hits = keys.alias("a").join(self.keys(_buckets(keys, "band")).alias("b"), (F.col("a.band") == F.col("b.band")) & near)
-        hits = materialize(hits.select(F.col("a.ref").alias("x"), F.col("b.ref").alias("y")).distinct(), "hits")
-        old = verified(hits, vectors, self.vectors(_buckets(hits, "y")), self.least, self.dim).select(F.col("x").alias("ref"), F.lit(True).alias("old_near")).distinct()
-        # among the items themselves
-        pairs = keys.alias("a").join(keys.alias("b"), (F.col("a.band") == F.col("b.band")) & (F.col("a.ref") < F.col("b.ref")) & near)
-        pairs = pairs.select(F.col("a.ref").alias("x"), F.col("b.ref").alias("y")).distinct()
-        pairs = verified(materialize(pairs, "pairs"), vectors, vectors, self.least, self.dim)
-        edges = materialize(pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))), "edges")
-        seen = self.hashes(_buckets(base.where("text_hash is not null"), "text_hash")).select("text_hash", F.lit(True).alias("old_exact"))
-        state = base.select("key", "o", "text_hash", "ref").join(seen, "text_hash", "left").join(old, "ref", "left")
-        state = state.select("key", "o", "text_hash", "ref", F.coalesce("old_exact", F.lit(False)).alias("old_exact"), F.coalesce("old_near", F.lit(False)).alias("old_near"))
-        state = state.withColumn("status", F.when(F.col("old_exact") | F.col("old_near"), F.lit(-1)).otherwise(F.lit(0)))
-        state = self._settle(materialize(state, "state"), edges)
+        n_keys = rows * BANDS
+        there = self.keys(keys, "band", n_keys).select("band", "ref", "s1", "s2", F.lit(True).alias("old"))
+        there = there.unionByName(keys.withColumn("old", F.lit(False)))
+        met = there.alias("b").join(_sent(keys, n_keys).alias("a"), (F.col("a.band") == F.col("b.band")) & near & (F.col("old") | (F.col("a.ref") < F.col("b.ref"))))
+        hits = materialize(met.select(F.col("a.ref").alias("x"), F.col("b.ref").alias("y"), "old").distinct(), "hits")
+        n_hits = hits.count()
+        own = base.where("u is not null").groupBy("ref").agg(F.first("u").alias("u"))
+        asked = hits.where("old").select(F.col("y").alias("ref")).distinct()
+        of = self.vectors(asked, "ref", n_hits).select("ref", "u").join(_sent(asked, n_hits), "ref", "left_semi")
+        both = of.unionByName(own.join(hits.where("not old").select(F.col("y").alias("ref")), "ref", "left_semi")).distinct()
+        found = materialize(verified(hits, own, both, self.least, self.dim), "found")
+        state = materialize(self._state(base, found, rows), "state")
+        edges = found.where("not old").select("x", "y")
+        edges = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        state = materialize(self._decided(state, edges), "verdicts")
         if append:
             new = state.where("verdict = 'accepted'").select("key").join(base.select("key", "text_hash", "u", "ref"), "key")
-            new = materialize(new, "accepted")
-            self.append(new.select("text_hash", "u"), keys.join(new.select("ref").distinct(), "ref", "left_semi").select("band", "ref", "s1", "s2"))
-        return state.select(F.col("key").alias(key), F.col("o.n").alias("batch_no"), "verdict")
+            self.append(new.select("text_hash", "u"), keys.join(new.where("ref is not null").select("ref").distinct(), "ref", "left_semi").select("band", "ref", "s1", "s2"), rows)
+        return state.select("key", F.col("o.n").alias("n"), "verdict")
+
+    def _state(self, base: DataFrame, found: DataFrame, rows: int) -> DataFrame:
+        """(key, o, text_hash, ref, h, r, old_exact, old_near, tied): what history says of each item, and whether another item of the
+        batch has its hash or a vector that is near.
+
+        h and r stand for hash and vector: rows without one get a name of their own, so they don't meet in one task."""
+        alone = F.concat(F.lit(" "), F.col("key").cast("string"))
+        state = base.select("key", "o", "text_hash", "ref", F.coalesce("text_hash", alone).alias("h"), F.coalesce(F.col("ref").cast("string"), alone).alias("r"))
+        mine = base.where("text_hash is not null").groupBy("text_hash").agg((F.count(F.lit(1)) > 1).alias("several"))
+        seen = self.hashes(mine, "text_hash", rows).select("text_hash").join(_sent(mine.select("text_hash"), rows), "text_hash", "left_semi").distinct()
+        by_hash = mine.join(seen.withColumn("old_exact", F.lit(True)), "text_hash", "left").where("several or old_exact").withColumnRenamed("text_hash", "h")
+        several = base.where("ref is not null").groupBy("ref").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("ref", F.lit(False).alias("old"), F.lit(True).alias("beside"))
+        met = found.select(F.col("x").alias("ref"), "old", (~F.col("old")).alias("beside")).unionByName(found.where("not old").select(F.col("y").alias("ref"), "old", F.lit(True).alias("beside")))
+        by_ref = met.unionByName(several).groupBy("ref").agg(F.max("old").alias("old_near"), F.max("beside").alias("beside")).select(F.col("ref").cast("string").alias("r"), "old_near", "beside")
+        state = state.join(by_hash, "h", "left").join(by_ref, "r", "left")
+        is_ = lambda c: F.coalesce(c, F.lit(False))
+        return state.select("key", "o", "text_hash", "ref", "h", "r", is_("old_exact").alias("old_exact"), is_("old_near").alias("old_near"), (is_("several") | is_("beside")).alias("tied"))
+
+    def _decided(self, state: DataFrame, edges: DataFrame) -> DataFrame:
+        """(key, o, verdict). Items that no other item of the batch can match are decided by history alone."""
+        alone = state.where("not tied").select("key", "o", F.when(F.col("old_exact"), "exact").when(F.col("old_near"), "near").otherwise("accepted").alias("verdict"))
+        rest = state.where("tied").drop("tied")
+        n = rest.count()
+        if not n:
+            return alone
+        return alone.unionByName(self._in_turn(rest, edges) if n <= AT_ONCE else self._settle(rest, edges))
+
+    def _in_turn(self, state: DataFrame, edges: DataFrame) -> DataFrame:
+        """Verdicts of a bounded number of items, one after the other, in one task."""
+        at = state.select("ref").where("ref is not null").distinct()
+        near = edges.join(F.broadcast(at), edges["x"] == at["ref"]).groupBy("x").agg(F.collect_set("y").alias("around"))  # refs of these items only
+        rows = state.join(near, state["ref"] == near["x"], "left").select("key", "o", "text_hash", "ref", "old_exact", "old_near", "around")
+        kind = state.schema["key"].dataType.simpleString()
+        order = state.schema["o"].dataType.simpleString()
+
+        def kernel(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(batches).combine_chunks()
+            items = sorted(enumerate(t.to_pylist()), key=lambda x: (x[1]["o"]["n"], x[1]["o"]["k"]))
+            hashes: set[str] = set()
+            refs: set[int] = set()
+            out = [""] * len(items)
+            for i, r in items:
+                if r["old_exact"] or r["text_hash"] is not None and r["text_hash"] in hashes:
+                    out[i] = "exact"
+                elif r["old_near"] or r["ref"] is not None and (r["ref"] in refs or not refs.isdisjoint(r["around"] or ())):
+                    out[i] = "near"
+                else:
+                    out[i] = "accepted"
+                    hashes.add(r["text_hash"])
+                    refs.add(r["ref"])
+            yield pa.RecordBatch.from_arrays([t.column("key").combine_chunks(), t.column("o").combine_chunks(), pa.array(out)], names=["key", "o", "verdict"])
+
+        return rows.groupBy(F.lit(0).alias("all")).applyInArrow(kernel, f"key {kind}, o {order}, verdict string")
 
     def _settle(self, state: DataFrame, edges: DataFrame) -> DataFrame:
         """Statuses 0 (open) become 1 (accepted) or -1, in rounds: an item is settled once all that precede it and match it are.
 
         A round settles every item without an open predecessor, so there are as many rounds as links in the longest chain."""
+        state = materialize(state.withColumn("status", F.when(F.col("old_exact") | F.col("old_near"), -1).otherwise(0)), "state")
+        around = materialize(edges.select(F.col("x").cast("string").alias("r"), F.col("y").cast("string").alias("y")), "around")
 
         def bounds(state: DataFrame) -> DataFrame:
             taken = lambda by: state.where("status >= 0").groupBy(by).agg(F.min(F.when(F.col("status") == 1, F.col("o"))).alias("taken"), F.min(F.when(F.col("status") == 0, F.col("o"))).alias("open"))
-            by_hash = taken("text_hash").where("text_hash is not null").select("text_hash", F.col("taken").alias("h_taken"), F.col("open").alias("h_open"))
-            by_ref = taken("ref").where("ref is not null")
-            around = edges.join(by_ref.withColumnRenamed("ref", "y"), "y").select(F.col("x").alias("ref"), "taken", "open")
-            by_ref = by_ref.unionByName(around).groupBy("ref").agg(F.min("taken").alias("v_taken"), F.min("open").alias("v_open"))
-            return state.join(by_hash, "text_hash", "left").join(by_ref, "ref", "left")
+            by_hash = taken("h").select("h", F.col("taken").alias("h_taken"), F.col("open").alias("h_open"))
+            by_ref = taken("r")
+            beside = around.join(by_ref.withColumnRenamed("r", "y"), "y").select("r", "taken", "open")
+            by_ref = by_ref.unionByName(beside).groupBy("r").agg(F.min("taken").alias("v_taken"), F.min("open").alias("v_open"))
+            return state.join(by_hash, "h", "left").join(by_ref, "r", "left")
 
-        columns = ["key", "o", "text_hash", "ref", "old_exact", "old_near"]
+        columns = ["key", "o", "h", "r", "old_exact", "old_near"]
         false = F.lit(False)
+        before = lambda c: F.coalesce(F.col(c) < F.col("o"), false)
         while True:
-            before = lambda c: F.coalesce(F.col(c) < F.col("o"), false)
             status = F.when(F.col("status") != 0, F.col("status")).when(before("h_taken") | before("v_taken"), -1).when(before("h_open") | before("v_open"), 0).otherwise(1)
             state = materialize(bounds(state).select(*columns, status.alias("status")), "state")
             if state.where("status = 0").isEmpty():
                 break
-        before = lambda c: F.coalesce(F.col(c) < F.col("o"), false)
         verdict = F.when(F.col("old_exact") | before("h_taken"), "exact").when(F.col("old_near") | before("v_taken"), "near").otherwise("accepted")
-        return materialize(bounds(state).select(*columns, verdict.alias("verdict")), "verdicts")
+        return bounds(state).select("key", "o", verdict.alias("verdict"))

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from notemill.llm import neighbours, themes
+from notemill.llm import history, neighbours, themes
 from notemill.llm.components import components
 from notemill.llm.hierarchy import LEVELS, condensed, spanning
 from notemill.llm.history import EMPTY_TEXT, HistoryIndex
@@ -307,7 +307,7 @@ def verdicts(known, items):
     return out
 
 
-def test_batches_against_history(spark):
+def test_batches_against_history(spark, monkeypatch):
     r = np.random.default_rng(4)
     unit = lambda v: v / np.linalg.norm(v)
     base = [unit(v) for v in r.standard_normal((60, 64))]
@@ -336,30 +336,40 @@ def test_batches_against_history(spark):
         got |= {r.item_id: r.verdict for r in steps.check(df.where(F.col("batch_no").eqNullSafe(F.lit(b)))).collect()}
     assert got == want
 
+    assert len(steps.parts()) == 6
+    monkeypatch.setattr(history, "SENT", 0)  # joined by shuffles
+    monkeypatch.setattr(history, "AT_ONCE", 0)  # decided in rounds
+    monkeypatch.setattr(history, "FAN", 2)  # parts merged at once
+    rounds = HistoryIndex(spark)
+    rounds.append(first)
+    assert {r.item_id: r.verdict for r in rounds.check(df).collect()} == want
+    assert len(rounds.parts()) < 6 and rounds.parts()[-1][1] == 5
+    assert rounds.vectors().count() == rounds.vectors().select("ref").distinct().count() == len(known) - 1 + sum(v == "accepted" and items[i][3] is not None and any(items[i][3]) for i, v in want.items())
+
     assert HistoryIndex(spark).check(df.limit(0)).count() == 0
     assert HistoryIndex(spark).check(df, append=False).where("verdict = 'accepted'").count() > 0
 
 
-def test_a_batch_reads_its_own_buckets(spark):
-    read = []
-
-    class Watched(HistoryIndex):
-        def _read(self, name, *rest):
-            read.append((name, super()._read(name, *rest)))
-            return read[-1][1]
-
-    x = np.random.default_rng(8).standard_normal((600, 64)).astype(np.float32)
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    index = Watched(spark)
-    index.append(spark.createDataFrame([(f"h{i}", bytearray(v.tobytes())) for i, v in enumerate(x)], "text_hash string, u binary"))
-    items = spark.createDataFrame([(1, 1, None, "H7", None, 1, "x"), (2, 1, None, None, x[9].tolist(), 1, "x")], ITEM)
-    assert {r.item_id: r.verdict for r in index.check(items).collect()} == {1: "exact", 2: "near"}
-    whole = {"keys": 9600, "vectors": 600, "hashes": 600}
-    assert {n for n, _ in read} == set(whole) and all(df.count() < 0.2 * whole[n] for n, df in read)
-
-    again = HistoryIndex(spark, index.path)
-    again.other = {0}  # as if written with another number of buckets
-    assert {r.item_id: r.verdict for r in again.check(items, append=False).collect()} == {1: "exact", 2: "near"}
+def test_what_a_batch_reads_goes_by_the_batch(spark):
+    """The rows of history that a batch of two reads, with history ten times as long: as many, since it has ten times the buckets."""
+    count = {}
+    for n in (800, 8000):
+        read = []
+
+        class Watched(HistoryIndex):
+            def _read(self, name, *rest):
+                read.append((name, super()._read(name, *rest)))
+                return read[-1][1]
+
+        x = np.random.default_rng(8).standard_normal((n, 64)).astype(np.float32)
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        index = Watched(spark, bucket_keys=100)
+        index.append(spark.createDataFrame([(f"h{i}", bytearray(v.tobytes())) for i, v in enumerate(x)], "text_hash string, u binary"))
+        items = spark.createDataFrame([(1, 1, None, "H7", None, 1, "x"), (2, 1, None, None, x[9].tolist(), 1, "x")], ITEM)
+        assert {r.item_id: r.verdict for r in index.check(items).collect()} == {1: "exact", 2: "near"}
+        count[n] = {name: df.count() for name, df in read}
+        assert set(count[n]) == {"keys", "vectors", "hashes"}
+    assert all(count[8000][t] < 2 * count[800][t] + 60 for t in count[800]) and count[8000]["keys"] < 0.05 * 8000 * 16
 
 
 def test_long_chains_and_one_hash_for_all(spark):
