@@ -16,7 +16,7 @@ from notemill.llm.neardup import groups, near_duplicates, near_pairs, vector_evi
 from notemill.llm.packing import fill_report, pack
 from notemill.llm.sizes import with_tokens
 from notemill.llm.spans import keep_first, merged, shared_parts, shared_report, sharing
-from notemill.llm.splitting import split_oversized
+from notemill.llm.splitting import cut_right, split_oversized
 from notemill.llm.themes import describe, themes
 from notemill.session import materialize, read_table
 
@@ -42,7 +42,8 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return p1_pieces(spark, d).select("chunk_id").distinct()
+    """Chunks that came out in pieces, all of which are right: the pieces' texts are made and measured."""
+    return cut_right(p1_pieces(spark, d), "chunk_id")
 
 
 SQL["p1_found"] = r"""

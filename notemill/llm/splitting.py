@@ -1,10 +1,13 @@
 """Problem 1: oversized texts cut into overlapping pieces at natural boundaries, by one regular expression with bounded quantifiers.
 
 The expression's unit is an atom: a CJK character, up to six characters of a word, or another character, each with the white
-space after it. An atom has at most 1.3 estimated tokens, so a bound on atoms is a bound on tokens. Alternatives ordered by the
-strength of the boundary they end at take as many atoms as the bound allows: the end of the text, a paragraph, a list item, a
-sentence, a line, a word; the last one cuts anywhere. The bound is first set by the text's own density; where a piece then
-exceeds the limit, the text is cut again with the bound that holds for any text.
+space after it. An atom has at most 1.3 estimated tokens, so a bound on atoms is a bound on tokens. A text is first written as its
+shape, one letter for each atom that says which boundary the atom ends at: p a paragraph, i a line before a list item, s a sentence,
+l a line, w a word, c none. On the shape, alternatives ordered by the strength of the boundary take as many letters as the bound
+allows; the last one cuts anywhere. Letters have no inner structure, so the expression takes no stack, whatever the bound. The bound
+is first set by the text's own density; where a piece then exceeds the limit, the text is cut again with the bound that holds for any
+text. An overlap is a look back over the shape: at most as many atoms as are sure to be within overlap_tokens (so most overlaps have
+fewer tokens: prose about three quarters), from the first start of a sentence or line among them, else of a word.
 
 Defined results: null and blank texts and texts within the limit give no row; repeated rows (same key and text) give one set of
 pieces; a null heading_path stays null; extra columns are dropped; white space belongs to the piece before it."""
@@ -17,22 +20,30 @@ from pyspark.sql import functions as F
 from notemill.functions.tokens import CJK, MAX_UNITS_PER_CHAR, SPACE, UNITS, token_units, tokens
 
 ATOM = f"(?>[{CJK}]|[A-Za-z0-9_]{{1,6}}|[^{SPACE}{CJK}A-Za-z0-9_])[{SPACE}]*+"
-PARAGRAPH = r"(?<=\n[ \t]{0,8}\n[ \t]{0,8})"
-LIST_ITEM = r"(?<=\n[ \t]{0,8})(?=[-*+•] |[0-9]{1,3}[.)] )"
-SENTENCE = rf"(?<=[。！？!?；;][{SPACE}]{{0,4}}|\.[{SPACE}]{{1,4}})"
-LINE = r"(?<=\n[ \t]{0,8})"
-WORD = "(?:(?<![A-Za-z0-9_])|(?![A-Za-z0-9_]))"
-STRONG = [PARAGRAPH, LIST_ITEM, SENTENCE, LINE]
+MARKS = "\ue0f1\ue0f2\ue0f3\ue0f4\ue0f5"  #: private characters that stand for boundaries while a shape is made; a text's own don't count
+PARAGRAPH, LIST_ITEM, SENTENCE, LINE, INNER = MARKS
+NEXT = f"(?=[^{SPACE}{MARKS}])"  #: a boundary is where white space has ended
+BOUNDARIES = [
+    (PARAGRAPH, rf"(?<=\n[ \t]{{0,8}}\n[ \t]{{0,8}}){NEXT}"),
+    (LIST_ITEM, rf"(?<=\n[ \t]{{0,8}})(?=[-*+•] |[0-9]{{1,3}}[.)] )"),
+    (SENTENCE, rf"(?<=[。！？!?；;][{SPACE}]{{0,4}}|\.[{SPACE}]{{1,4}}){NEXT}"),
+    (LINE, rf"(?<=\n[ \t]{{0,8}}){NEXT}"),
+]
+LETTERS = "pislc"
 #: MIN, LOW and MAX stand for the bounds: a strong boundary in the upper half of a piece goes before a stronger one in the lower
-PIECE = (
-    f"[{SPACE}]*+(?:(?:{ATOM}){{1,MAX}}+\\z|"
-    + "|".join(f"(?:{ATOM}){{MIN,MAX}}{b}" for b in STRONG)
-    + "|"
-    + "|".join(f"(?:{ATOM}){{LOW,MAX}}{b}" for b in [*STRONG, WORD])
-    + f"|(?:{ATOM}){{1,MAX}}"
-    + ")"
-)
-LOOKBACK_CHARS = 600  #: an overlap is looked for in so many characters before a cut
+PIECE = "|".join([r".{1,MAX}\z", *(f".{{MIN,MAX}}(?<={b})" for b in LETTERS[:4]), *(f".{{LOW,MAX}}(?<={b})" for b in (*LETTERS[:4], "[^c]")), ".{1,MAX}"])
+
+
+def shape(text: Column) -> Column:
+    """A letter for each atom of text, in order."""
+    out = F.translate(text, MARKS, "?" * len(MARKS))
+    for mark, pattern in BOUNDARIES:
+        out = F.regexp_replace(out, pattern, mark)
+    out = F.regexp_replace(out, r"[A-Za-z0-9_]{6}(?=[A-Za-z0-9_])", INNER)  # from the beginning of each word on
+    out = F.regexp_replace(out, f"(?>[A-Za-z0-9_]++|[^{SPACE}{MARKS}])[{SPACE}]*+", "w")
+    for mark, letter in zip(MARKS[:4], LETTERS):  # the strongest of the boundaries at one place, in place of the letter before it
+        out = F.regexp_replace(out, f"w[{MARKS[:4]}]*?{mark}[{MARKS[:4]}]*+", letter)
+    return F.regexp_replace(F.translate(out, INNER, "c"), "[^pislwc]++", "")
 
 
 def _pattern(most: Column) -> Column:
@@ -41,21 +52,21 @@ def _pattern(most: Column) -> Column:
     return F.replace(F.replace(F.replace(F.lit(PIECE), F.lit("MIN"), least), F.lit("LOW"), low), F.lit("MAX"), most.cast("string"))
 
 
-def _overlaps(pieces: Column, atoms: int) -> Column:
-    """The end of each piece, at most so many atoms, from the start of a sentence or line if one begins there, else of a word."""
-    if atoms < 1:
-        return F.transform(pieces, lambda _: F.lit(""))
+def _texts(atoms: str, parts: Column) -> Column:
+    """The text of each part of a shape; parts follow one another."""
+    to = F.aggregate(parts, F.array(F.lit(1)), lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + F.length(p))))
+    return F.transform(parts, lambda p, i: F.array_join(F.slice(F.col(atoms), F.get(to, i), F.length(p)), ""))
 
-    def tail(piece: Column) -> Column:
-        found = F.regexp_extract_all(F.right(piece, F.lit(LOOKBACK_CHARS)), F.lit(f"({ATOM})"), F.lit(1))
-        return F.array_join(F.reverse(F.slice(F.reverse(found), 1, atoms)), "")
 
-    # each of the steps is evaluated once for a piece
-    starts = lambda t: F.struct(
-        t.alias("tail"), F.regexp_extract(t, rf"(?s)(?:{SENTENCE}|{LINE})(?=[^{SPACE}]).+\z", 0).alias("sentence"), F.regexp_extract(t, rf"(?s)(?:(?<=[{SPACE}])|(?<=[^A-Za-z0-9_]))(?=[^{SPACE}]).+\z", 0).alias("word")
-    )
-    pick = lambda x: F.when(x["sentence"] != "", x["sentence"]).when(x["word"] != "", x["word"]).otherwise(x["tail"])
-    return F.transform(F.transform(F.transform(pieces, tail), starts), pick)
+def _laps(parts: Column, most: int) -> Column:
+    """How many atoms at the end of each part are repeated: at most so many, from the start of a sentence or line, else of a word."""
+
+    def one(p: Column) -> Column:
+        tail = F.right(p, F.lit(most))
+        sentence, word = F.regexp_extract(tail, "[pisl](.+)$", 1), F.regexp_extract(tail, "[^c](.+)$", 1)
+        return F.length(F.when(sentence != "", sentence).when(word != "", word).otherwise(tail))
+
+    return F.transform(parts, one) if most >= 1 else F.transform(parts, lambda _: F.lit(0))
 
 
 def split_oversized(df: DataFrame, key: str, text: str = "text", heading: str = "heading_path", max_tokens: int = 800, overlap_tokens: int = 80) -> DataFrame:
@@ -73,23 +84,33 @@ def split_oversized(df: DataFrame, key: str, text: str = "text", heading: str =
     big = big.dropDuplicates(["key", "text"]).repartition(tasks)
     line = F.regexp_extract(t, r"\A(#{1,6}[ \t]+[^\n]{1,4000})\n", 1)
     big = big.withColumn("head", F.when(token_units(line) * 4 <= limit, line).otherwise(""))
-    room = F.lit(limit - overlap_tokens * UNITS) - token_units(F.col("head"))
-    atoms = F.size(F.regexp_extract_all(t, F.lit(f"({ATOM})"), F.lit(1)))
-    dense = F.greatest(F.col("units") / atoms, F.lit(1.0)) * 1.1
-    sure = F.greatest(F.lit(1), F.floor(F.col("room") / MAX_UNITS_PER_CHAR))
-    big = big.withColumn("room", room).withColumn("most", F.greatest(sure, F.floor(F.col("room") / dense)).cast("int"))
-    cut = lambda most: F.regexp_extract_all(t, _pattern(most), F.lit(0))
-    big = big.withColumn("parts", cut(F.col("most")))
-    fits = F.forall("parts", lambda p: token_units(p) <= F.col("room"))
-    big = big.withColumn("parts", F.when(fits, F.col("parts")).otherwise(cut(sure.cast("int"))))
-    laps = _overlaps(F.col("parts"), overlap_tokens * UNITS // MAX_UNITS_PER_CHAR)
+    big = big.withColumn("room", F.lit(limit - overlap_tokens * UNITS) - token_units(F.col("head")))
+    big = big.withColumn("atoms", F.regexp_extract_all(t, F.lit(f"((?>\\A[{SPACE}]++)?{ATOM})"), F.lit(1))).withColumn("shape", shape(t))
+    dense = F.greatest(F.col("units") / F.size("atoms"), F.lit(1.0)) * 1.1
+    sure = F.greatest(F.lit(1), F.floor(F.col("room") / MAX_UNITS_PER_CHAR)).cast("int")
+    cut = lambda most: F.regexp_extract_all("shape", _pattern(most), F.lit(0))
+    first = cut(F.greatest(sure, F.floor(F.col("room") / dense).cast("int")))
+    big = big.withColumn("parts", first).withColumn("own", _texts("atoms", F.col("parts")))
+    fits = F.forall("own", lambda p: token_units(p) <= F.col("room"))
+    big = big.withColumn("fits", fits).withColumn("parts", F.when(F.col("fits"), F.col("parts")).otherwise(cut(sure)))
+    big = big.withColumn("own", F.when(F.col("fits"), F.col("own")).otherwise(_texts("atoms", F.col("parts"))))
     ends = F.aggregate("parts", F.array(F.lit(0)), lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + F.length(p))))
+    chars = F.aggregate("own", F.array(F.lit(0)), lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + F.length(p))))
+    big = big.withColumn("laps", _laps(F.col("parts"), overlap_tokens * UNITS // MAX_UNITS_PER_CHAR)).withColumn("ends", ends).withColumn("chars", chars)
+    before = lambda i: F.array_join(F.slice("atoms", F.get("ends", i) - F.get("laps", i - 1) + 1, F.get("laps", i - 1)), "")
+    lap = F.transform("own", lambda _, i: F.when(i == 0, F.lit("")).otherwise(before(i)))
     # outer: else Spark infers a filter on the parts, pushes it down and cuts every text twice
-    big = big.withColumn("laps", laps).withColumn("ends", ends).select("*", F.posexplode_outer("parts").alias("piece", "own"))
-    lap = F.when(F.col("piece") == 0, F.lit("")).otherwise(F.element_at("laps", F.greatest(F.col("piece"), F.lit(1))))
+    big = big.withColumn("lap", lap).select("key", "heading", "head", "chars", F.posexplode_outer(F.arrays_zip("own", "lap")).alias("piece", "p"), F.size("own").alias("pieces"))
     head = F.when((F.col("piece") == 0) | (F.col("head") == ""), F.lit("")).otherwise(F.concat("head", F.lit("\n\n")))
-    out = big.withColumn("lap", lap).withColumn("whole", F.concat(head, "lap", "own"))
+    out = big.withColumn("whole", F.concat(head, "p.lap", "p.own"))
     return out.select(
-        F.col("key").alias(key), "piece", F.size("parts").alias("pieces"), F.col("heading").alias("heading_path"), F.col("whole").alias("text"), tokens(F.col("whole")).alias("tokens"),
-        F.element_at("ends", F.col("piece") + 1).alias("start_pos"), F.element_at("ends", F.col("piece") + 2).alias("end_pos"), F.length("lap").alias("overlap"),
+        F.col("key").alias(key), "piece", "pieces", F.col("heading").alias("heading_path"), F.col("whole").alias("text"), tokens(F.col("whole")).alias("tokens"),
+        F.element_at("chars", F.col("piece") + 1).alias("start_pos"), F.element_at("chars", F.col("piece") + 2).alias("end_pos"), F.length("p.lap").alias("overlap"),
     )
+
+
+def cut_right(pieces: DataFrame, key: str, max_tokens: int = 800) -> DataFrame:
+    """(key) of the texts whose pieces, as they are, keep the limit, follow one another without a gap and hold their own part and overlap."""
+    whole = F.col("end_pos") - F.col("start_pos")
+    per = pieces.groupBy(key).agg(F.max("tokens").alias("most"), F.count(F.lit(1)).alias("n"), F.sum(whole).alias("chars"), F.max("end_pos").alias("end"), F.min(F.length("text") - whole - F.col("overlap")).alias("rest"))
+    return per.where((F.col("most") <= max_tokens) & (F.col("n") >= 2) & (F.col("chars") >= F.col("end")) & (F.col("rest") >= 0)).select(key)

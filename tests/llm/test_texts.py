@@ -14,7 +14,7 @@ from notemill.llm.markup import clean_markup, convert, kinds_found
 from notemill.llm.minmax import gram_hashes, minmax, permutations
 from notemill.llm.neardup import groups, near_duplicates, near_pairs, vector_evidence
 from notemill.llm.sizes import encoder, with_tokens, VOCABULARY
-from notemill.llm.splitting import split_oversized
+from notemill.llm.splitting import cut_right, split_oversized
 
 CJK = r"\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\uac00-\ud7af"
 
@@ -73,6 +73,21 @@ def test_pieces_of_anything(spark, parts):
     assert all(estimate(r.text) <= 60 for r in got)
 
 
+def test_pieces_of_large_limits_and_wide_overlaps(spark):
+    """No limit of the expression's own, and overlaps as wide as asked for."""
+    texts = {1: "Some words make a sentence of this text. " * 4000, 2: "?!#" * 20_000, 3: "a" * 150_000, 4: "漢" * 30_000}
+    df = spark.createDataFrame([(k, None, t) for k, t in texts.items()], "id int, heading_path string, text string")
+    for most, lap in ((8192, 400), (3000, 1000), (1600, 400)):
+        got = split_oversized(df, "id", max_tokens=most, overlap_tokens=lap).collect()
+        assert cut_right(split_oversized(df, "id", max_tokens=most, overlap_tokens=lap), "id", most).count() == 4
+        for k, t in texts.items():
+            mine = sorted((r for r in got if r.id == k), key=lambda r: r.piece)
+            assert "".join(t[r.start_pos : r.end_pos] for r in mine) == t
+            assert all(r.tokens <= most and estimate(t[r.start_pos - r.overlap : r.start_pos]) <= lap for r in mine)
+        prose = [r for r in got if r.id == 1 and r.piece]
+        assert min(r.overlap for r in prose) > 2 * lap and all(texts[1][r.start_pos - r.overlap :].startswith("Some") for r in prose)
+
+
 # problem 4
 
 MARKUP = {
