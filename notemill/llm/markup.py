@@ -1,10 +1,10 @@
 """Problem 4: leftover HTML, wiki, LaTeX and Markdown markup: which kinds a text holds, and its clean text.
 
 Code (closed fences and backtick spans) is set aside first. What looks like markup but isn't (comparisons, type parameters,
-placeholders, sums of money, paths, arithmetic, names with underscores) stays as it is. HTML is read as text nodes with the path of
-tags from the root. Tag-path ratios choose the content nodes of a page: for each path, text length and punctuation per node,
-smoothed along the order in which paths appear, fused by their geometric mean, and held against a threshold. Headings, lists, code
-and formulas keep a recognisable Markdown form.
+placeholders, sums of money, paths, arithmetic, names with underscores) stays as it is. HTML, a page's or any fragment's, is read as
+text nodes with the path of tags from the root. Kinds are looked for in these nodes. Tag-path ratios choose the nodes with content:
+for each path, text length and punctuation per node, smoothed along the order in which paths appear, fused by their geometric mean,
+and held against a threshold. Headings, lists, code and formulas keep a recognisable Markdown form.
 
 Defined results: null texts hold no markup and stay null; empty ones stay empty; frontmatter that is not JSON counts as null; its
 keys and numbers are not looked at; kinds are looked for under all tags, also where clean text has code or nothing; a pre, code, script
@@ -27,13 +27,14 @@ from pyspark.sql import functions as F
 # fixed values: the names of HTML elements, by kind
 BLOCK = "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noframes noscript ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split()
 INLINE = "a abbr acronym applet area audio b base basefont bdi bdo bgsound big blink br button canvas caption cite code col colgroup data datalist del dfn em embed font frame i iframe image img input ins isindex kbd keygen label link listing map mark marquee meta meter nobr object output param picture plaintext portal progress q rb rp rt rtc ruby s samp script select slot small source spacer span strike strong style sub sup svg template textarea time track tt u var video wbr xmp".split()
+_BLOCKS = frozenset(BLOCK)
 VOID = frozenset("area base basefont bgsound br col embed frame hr image img input isindex keygen link meta param source spacer track wbr".split())
+# fixed values: special names of a programming language, which look like emphasis
 DUNDER = frozenset("init name main call str repr len iter next enter exit file doc dict class new del all version getitem setitem eq hash slots".split())
 
 _NAMES = "|".join(sorted([*BLOCK, *INLINE], key=lambda x: (-len(x), x)))
 _ATTRIBUTE = r"""\s+[A-Za-z_:@][\w:.\-]*(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'=<>`]+))?"""
 TAG = re.compile(rf"<(/?)({_NAMES})((?:{_ATTRIBUTE})*)\s*/?>", re.I)
-LEADING_TAGS = re.compile(rf"^(?:[ \t]*{TAG.pattern})+[ \t]*", re.I | re.M)
 COMMENT = re.compile(r"<!--.*?-->", re.S)
 REFERENCE = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
 FENCE = re.compile(r"^(```|~~~)[^\n]*\n(?:.*?\n)??\1[^\n]*$", re.S | re.M)
@@ -46,6 +47,7 @@ WIKI_HEADING = re.compile(r"^(={2,6})(?!=)[ \t]*(.+?)[ \t]*(?<!=)\1[ \t]*$", re.
 DRIVE = re.compile(r"(?<![A-Za-z])[A-Za-z]:\\[^\s\"'<>|]*|(?<!\\)\\\\[\w.\-]+\\[^\s\"'<>|]*")
 DISPLAY = re.compile(r"(?<!\\)\$\$(?!\$)(.+?)\$\$|\\\[(.+?)\\\]", re.S)
 INLINE_MATH = re.compile(r"(?<![\\$\w])\$(?![\s$(])((?:[^$\n\\]|\\.)+?)(?<!\s)\$(?![\w$])|\\\((.+?)\\\)", re.S)
+#: what follows the first of two dollar signs where they are sums of money: a number alone, with a unit, a word or another sum after it
 MONEY = re.compile(r"[\d.,]+(?:[kKmMbB]|\s+(?:[^\W\d_]{2,}|[-–—]))(?!\w*\s*[=+*/^\\])|[\d.,]+\s*[-–—/,;]\s*$")
 ENVIRONMENT = re.compile(r"\\(begin|end)\{([A-Za-z]+\*?)\}")
 COMMAND = re.compile(r"(?<!\\)\\[A-Za-z]+\*?(?=[\[{])|(?<![\\\w])\\[A-Za-z]+\*?(?!\w*\\)")
@@ -136,7 +138,8 @@ def convert(text: str, clean: bool = True) -> tuple[set[str], str]:
         swap(AUTOLINK, "markdown", lambda m: hold(m.group(1)))
         if TAG.search(t):
             kinds.add("html")
-            t = render_html(t, hold) if clean else TAG.sub(" ", LEADING_TAGS.sub("", t))
+            found_nodes = nodes(t)
+            t = render_html(found_nodes, hold) if clean else bare(found_nodes)
     if "&" in t and ";" in t:
         swap(REFERENCE, "html", lambda m: _reference(m).replace("\xa0", " "), lambda m: _reference(m) is not None)
     if "%%" in t:
@@ -266,31 +269,49 @@ def nodes(t: str, passed: frozenset[int] = frozenset()) -> list[tuple[tuple[str,
     return nodes(t, passed | open_) if open_ else out
 
 
-PAGE_PATHS = 4  #: fewer distinct paths than this below <body> or <html> are no page, and all their nodes are content
 SMOOTH = 1  #: paths to either side that a path's ratios are averaged with
 THRESHOLD = 0.25  #: of the standard deviation of the fused ratios
+KEPT = frozenset("h1 h2 h3 h4 h5 h6 pre title li td th dt dd caption figcaption summary".split())  #: structure, which short texts don't speak against
+AROUND = frozenset("nav header footer aside menu form button select".split())  #: parts of a page in which it is no structure of the content
+_PUNCTUATION = frozenset(",.;:!?，。；：！？、")
 
 
-def content_paths(found: list[tuple[tuple[str, ...], str]]) -> set[tuple[str, ...]] | None:
-    """The tag paths with content, by tag-path ratios; None if the text isn't a page (then all of it is content)."""
+def tag_path(path: tuple[str, ...]) -> tuple[str, ...]:
+    """The path that a node's text counts for: elements within a line belong to the block they stand in."""
+    return tuple(x for x in path if x in _BLOCKS)
+
+
+def content_paths(found: list[tuple[tuple[str, ...], str]]) -> set[tuple[str, ...]]:
+    """The tag paths with content, by tag-path ratios: length and punctuation of the text per node of a path, smoothed over the paths
+    beside it, fused by their geometric mean, and held against a share of their standard deviation. Text in no block is content."""
     size: dict[tuple[str, ...], list[int]] = {}
     for path, s in found:
-        if s.strip() and path and path[0] in ("html", "body"):
-            n = size.setdefault(path, [0, 0, 0])
+        if (bare := s.strip()) and tag_path(path):
+            n = size.setdefault(tag_path(path), [0, 0, 0])
             n[0] += 1
-            n[1] += len(s.strip())
-            n[2] += sum(c in ",.;:!?，。；：！？、" for c in s)
-    if len(size) < PAGE_PATHS:
-        return None
+            n[1] += len(bare)
+            n[2] += sum(c in _PUNCTUATION for c in bare)
+    if not size:
+        return {()}
     order = list(size)
-    ratios = np.array([[size[p][1] / size[p][0], size[p][2] / size[p][0]] for p in order])
-    near = [ratios[max(0, i - SMOOTH) : i + SMOOTH + 1].mean(axis=0) for i in range(len(order))]
-    fused = np.sqrt(np.prod((np.array(near) + ratios) / 2, axis=1))
-    return {p for p, f in zip(order, fused) if f >= THRESHOLD * fused.std() or p[-1] in ("h1", "h2", "h3", "h4", "h5", "h6", "pre", "code", "title")}
+    ratios = np.array([[size[p][1] / size[p][0], (size[p][2] + 1) / size[p][0]] for p in order])
+    near = np.array([ratios[max(0, i - SMOOTH) : i + SMOOTH + 1].mean(axis=0) for i in range(len(order))])
+    fused = np.sqrt(((near + ratios) / 2).prod(axis=1))
+    least = THRESHOLD * fused.std()
+    return {(), *(p for p, f in zip(order, fused) if f >= least or (p[-1] in KEPT and not AROUND & set(p)))}
+
+
+def bare(found: list[tuple[tuple[str, ...], str]]) -> str:
+    """The nodes' texts in order, with a space where there were tags, but none at the beginning of a line."""
+    out: list[str] = []
+    for _, s in found:
+        out.append(s if not out or out[-1][-1:] in ("", "\n", " ") else " " + s)
+        if not s:
+            out.pop()
+    return "".join(out)
 
 
-def render_html(t: str, hold: Any) -> str:
-    found = nodes(t)
+def render_html(found: list[tuple[tuple[str, ...], str]], hold: Any) -> str:
     content = content_paths(found)
     out: list[str] = []
     for path, s in found:
@@ -298,7 +319,7 @@ def render_html(t: str, hold: Any) -> str:
         if s:
             if {"script", "style"} & set(path):
                 continue
-            if content is not None and s.strip() and path and path[0] in ("html", "body") and path not in content:
+            if s.strip() and tag_path(path) not in content:
                 continue
             out.append(hold(html.unescape(s)) if "pre" in path or last == "code" else s)
         elif last == "+":
