@@ -1,7 +1,7 @@
 """Problem 7: each batch checked against everything accepted before, through a persisted index of minwise band keys.
 
 A vector's set is the sides of random hyperplanes it lies on; minwise hashes of that set are cut into bands. The index keeps the
-band keys, each with a sketch of the vector, in files partitioned by a hash of the key, and vectors and text hashes likewise. Batches
+band keys, each with a sketch of the vector, and beside them the text hashes, in files partitioned by a hash of the key, and the vectors likewise. Batches
 are taken one after the other: each probes the buckets of its own keys, compares sketches in the join, verifies what is left by exact
 cosine, reading the buckets of the candidates' vectors only, and appends the keys of what it accepts, which the next batch probes.
 History is never signed again. The history's side of a join stays where it is while the batch is small enough to be broadcast
@@ -36,10 +36,11 @@ PLANES, ROWS, BANDS, SEED = 256, 6, 16, 11
 BUCKET_KEYS = 50_000  #: keys in a bucket, about
 MOST_BUCKETS = 4096  #: a bound on the list of buckets that a batch asks for
 FAN = 8  #: parts of one size that are merged
-SENT = 200_000  #: rows of a batch's keys, hashes or candidates, of some 40 bytes, that are sent to all executors; more are joined by a shuffle
-AT_ONCE = 50_000  #: items that depend on one another, decided in one task; more are decided in rounds
+SENT = 200_000  #: keys of a batch, of some 40 bytes, that are sent to all executors; more are joined by a shuffle
+AT_ONCE = 50_000  #: items of a batch that one task decides in their order, from what was found; a larger batch is decided in rounds
 EMPTY_TEXT = "da39a3ee5e6b4b0d3255bfef95601890afd80709"  # fixed value: SHA-1 of no bytes
-_VECTORS, _KEYS, _HASHES = "ref bigint, u binary, bucket int", "band bigint, ref bigint, s1 bigint, s2 bigint, bucket int", "text_hash string, bucket int"
+_SCHEMAS = {"vectors": "ref bigint, u binary", "keys": "band bigint, ref bigint, s1 bigint, s2 bigint, h string"}  # a text hash has a key of its own
+_BY = {"vectors": "ref", "keys": "band"}
 
 
 def sign_minhash(x: np.ndarray, planes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,6 +111,16 @@ def _sent(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= SENT else df
 
 
+def _hash_keys(df: DataFrame, *keep: str) -> DataFrame:
+    """(band, ref, s1, s2, h, keep...): a key for each text hash of df."""
+    none = F.lit(0).cast("bigint")
+    return df.where("text_hash is not null").select(F.xxhash64("text_hash").alias("band"), none.alias("ref"), none.alias("s1"), none.alias("s2"), F.col("text_hash").alias("h"), *keep).distinct()
+
+
+def _with_h(keys: DataFrame) -> DataFrame:
+    return keys.withColumn("h", F.lit(None).cast("string"))
+
+
 class HistoryIndex:
     """The accepted records' text hashes, vectors and band keys, in a folder all executors share."""
 
@@ -117,91 +128,91 @@ class HistoryIndex:
         self.spark, self.path, self.dim, self.least, self.bucket_keys = spark, path or new_path(spark, "history"), dim, least, bucket_keys
         self._hadoop = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._hadoop(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._parts: list[tuple[int, int]] | None = None
-
-    # parts: folders part=FIRST-LAST of the appends they hold, complete once their keys, which are written last, are
-
-    def parts(self) -> list[tuple[int, int]]:
-        """The complete parts that hold every append once; a merged one stands for those it was made of."""
-        if self._parts is None:
-            names = [s.getPath().getName() for s in self._fs.listStatus(self._hadoop(self.path))] if self._fs.exists(self._hadoop(self.path)) else []
-            found = [tuple(int(x) for x in n.removeprefix("part=").split("-")) for n in names if n.startswith("part=")]
-            whole = [p for p in found if self._fs.exists(self._hadoop(f"{self._at(p)}/keys/_SUCCESS"))]
-            self._parts, n = [], 0
-            while longest := max((p for p in whole if p[0] == n), default=None):
-                self._parts.append(longest)
-                n = longest[1] + 1
-        return self._parts
-
-    def _at(self, part: tuple[int, int]) -> str:
-        return f"{self.path}/part={part[0]}-{part[1]}"
-
-    def _buckets(self, part: tuple[int, int]) -> int:
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._hadoop(self._at(part)))]
-        return max(int(n.removeprefix("buckets=")) for n in names if n.startswith("buckets="))
-
-    def _read(self, name: str, schema: str, asked: DataFrame | None = None, c: str = "", rows: int = 0) -> DataFrame:
-        """A table of all parts; asked: only the buckets that its values of c (so many rows) are in."""
-        parts = self.parts()
+
+    # parts: of each table a folder part=FIRST-LAST (of the appends it holds); a part counts once done/FIRST-LAST-BUCKETS is there
+
+    def parts(self) -> list[tuple[int, int, int]]:
+        """(first, last, buckets) of the parts that together hold every append once; a merged one stands for those it was made of."""
+        done = self._hadoop(f"{self.path}/done")
+        found = [tuple(int(x) for x in s.getPath().getName().split("-")) for s in self._fs.listStatus(done)] if self._fs.exists(done) else []
+        out, n = [], 0
+        while longest := max((p for p in found if p[0] == n), key=lambda p: p[1], default=None):
+            out.append(longest)
+            n = longest[1] + 1
+        return out
+
+    def _at(self, name: str, part: tuple[int, ...]) -> str:
+        return f"{self.path}/{name}/part={part[0]}-{part[1]}"
+
+    def _scan(self, name: str, parts: list[tuple[int, int, int]]) -> DataFrame:
         if not parts:
-            return self.spark.createDataFrame([], schema)
-        buckets = {p: self._buckets(p) for p in parts}
-        places: list[int] | None = None
-        if asked is not None and rows < 8 * max(buckets.values()):  # more rows than that are in all buckets anyway
-            places = [r[0] for r in asked.select(_place(c)).distinct().collect()]  # at most MOST_BUCKETS, of which parts' numbers are divisors
-        tables = []
-        for p in parts:
-            t = self.spark.read.schema(schema).parquet(f"{self._at(p)}/{name}")
-            of = None if places is None else {x % buckets[p] for x in places}
-            tables.append(t if of is None or len(of) == buckets[p] else t.where(F.col("bucket").isin(sorted(of))))
-        return reduce(DataFrame.unionByName, tables)
+            return self.spark.createDataFrame([], _SCHEMAS[name] + ", part string, bucket int")
+        read = self.spark.read.schema(_SCHEMAS[name] + ", part string, bucket int").option("basePath", f"{self.path}/{name}")
+        return read.parquet(*[self._at(name, p) for p in parts])
+
+    def _read(self, name: str, asked: DataFrame | None = None, rows: int = 0) -> DataFrame:
+        """A table; asked: only the buckets that its values of the table's key (so many rows) are in."""
+        parts = self.parts()
+        table = self._scan(name, parts)
+        # more rows than eight to a bucket are in all of them anyway
+        large = [p for p in parts if p[2] > 1 and rows < 8 * p[2]]
+        if asked is not None and large:
+            places = [r[0] for r in asked.select(_place(_BY[name])).distinct().collect()]  # at most MOST_BUCKETS, of which parts' numbers are divisors
+            hit = F.lit(False)
+            for p in large:
+                hit = hit | ((F.col("part") == f"{p[0]}-{p[1]}") & F.col("bucket").isin(sorted({x % p[2] for x in places})))
+            rest = [f"{p[0]}-{p[1]}" for p in parts if p not in large]
+            table = table.where(hit | F.col("part").isin(rest) if rest else hit)
+        return table.drop("part", "bucket")
 
     def vectors(self, *asked) -> DataFrame:  # noqa: ANN002
-        return self._read("vectors", _VECTORS, *asked)
+        return self._read("vectors", *asked)
 
     def keys(self, *asked) -> DataFrame:  # noqa: ANN002
-        return self._read("keys", _KEYS, *asked)
-
-    def hashes(self, *asked) -> DataFrame:  # noqa: ANN002
-        return self._read("hashes", _HASHES, *asked)
+        return self._read("keys", *asked)
 
-    def _write(self, part: tuple[int, int], hashes: DataFrame, vectors: DataFrame, signed: DataFrame | None, rows: int) -> None:
-        """A part. It counts once its three tables are complete, so a failed append leaves nothing behind that is read."""
-        at, n = self._at(part), 1
+    def _write(self, first: int, last: int, vectors: DataFrame, keys: DataFrame | None, hashes: DataFrame | None, rows: int) -> None:
+        """A part, from vectors (ref, u) and keys; keys None: made of the vectors and hashes. A failed write leaves nothing that is read."""
+        n = 1
         while n < MOST_BUCKETS and n * self.bucket_keys < rows * BANDS:
             n *= 2
 
-        def write(df: DataFrame, name: str, c: str) -> None:
-            df = df.withColumn("bucket", _place(c, n))
-            df = (df.repartition("bucket") if n > 1 else df.coalesce(1)).sortWithinPartitions("bucket", c)
-            df.write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/{name}")
-
-        self._fs.delete(self._hadoop(at), True)
-        self._fs.mkdirs(self._hadoop(f"{at}/buckets={n}"))
-        with ThreadPoolExecutor(2) as both:  # two small jobs at a time
-            for w in [both.submit(write, hashes, "hashes", "text_hash"), both.submit(write, vectors, "vectors", "ref")]:
-                w.result()
-        write(signed if signed is not None else vector_keys(self.spark.read.schema(_VECTORS).parquet(f"{at}/vectors").withColumn("n", F.lit(0)), self.dim).drop("n"), "keys", "band")
-        self._parts = None
-
-    def append(self, records: DataFrame, signed: DataFrame | None = None, rows: int | None = None) -> None:
-        """Adds records (text_hash, u) to the index; u is a packed unit vector or null. signed: their keys, if made already; rows: how
-        many they are, about."""
-        number = self.parts()[-1][1] + 1 if self.parts() else 0
-        hashes = records.select(usable_hash(F.col("text_hash")).alias("text_hash")).where("text_hash is not null").distinct()
+        def write(df: DataFrame, name: str) -> None:
+            df = df.withColumn("bucket", _place(_BY[name], n))
+            df = (df.repartition("bucket") if n > 1 else df.coalesce(1)).sortWithinPartitions("bucket", _BY[name])
+            df.write.mode("overwrite").partitionBy("bucket").parquet(self._at(name, (first, last)))
+
+        if keys is None:
+            write(vectors, "vectors")
+            there = self.spark.read.schema(_SCHEMAS["vectors"]).parquet(self._at("vectors", (first, last))).withColumn("n", F.lit(0))
+            write(_with_h(vector_keys(there, self.dim).drop("n")).unionByName(_hash_keys(hashes)), "keys")
+        else:
+            with ThreadPoolExecutor(2) as both:  # two small jobs at once
+                for w in [both.submit(write, vectors, "vectors"), both.submit(write, keys, "keys")]:
+                    w.result()
+        self._fs.create(self._hadoop(f"{self.path}/done/{first}-{last}-{n}"), True).close()
+
+    def append(self, records: DataFrame, keys: DataFrame | None = None, rows: int | None = None) -> None:
+        """Adds records (text_hash, u) to the index; u is a packed unit vector or null. keys: those of the records, if made already;
+        rows: how many they are, about."""
+        parts = self.parts()
+        number = parts[-1][1] + 1 if parts else 0
+        hashes = records.select(usable_hash(F.col("text_hash")).alias("text_hash"))
         vectors = records.where("u is not null").groupBy(F.xxhash64("u").alias("ref")).agg(F.first("u").alias("u"))
-        self._write((number, number), hashes, vectors, signed, records.count() if rows is None else rows)
+        self._write(number, number, vectors, keys, hashes, records.count() if rows is None else rows)
         self._merge()
 
     def _merge(self) -> None:
         """While the last FAN parts are of one size they become one; readers see either them or it."""
-        size = lambda p: int(np.log2(max(1, self._fs.getContentSummary(self._hadoop(self._at(p))).getLength())) // np.log2(FAN))
+        size = lambda p: int(np.log2(max(1, self._fs.getContentSummary(self._hadoop(self._at("keys", p))).getLength())) // np.log2(FAN))
         while len(last := self.parts()[-FAN:]) == FAN and len({size(p) for p in last}) == 1:
-            bare = lambda name, schema, by: reduce(DataFrame.unionByName, [self.spark.read.schema(schema).parquet(f"{self._at(p)}/{name}") for p in last]).drop("bucket").dropDuplicates(by)
-            vectors = bare("vectors", _VECTORS, ["ref"])
-            self._write((last[0][0], last[-1][1]), bare("hashes", _HASHES, ["text_hash"]), vectors, bare("keys", _KEYS, ["band", "ref"]), vectors.count())
+            whole = lambda name, by: self._scan(name, last).drop("part", "bucket").dropDuplicates(by)
+            vectors = whole("vectors", ["ref"])
+            self._write(last[0][0], last[-1][1], vectors, whole("keys", ["band", "ref", "h"]), None, vectors.count())
             for p in last:
-                self._fs.delete(self._hadoop(self._at(p)), True)
+                self._fs.delete(self._hadoop(f"{self.path}/done/{p[0]}-{p[1]}-{p[2]}"), False)
+                for name in _SCHEMAS:
+                    self._fs.delete(self._hadoop(self._at(name, p)), True)
 
     # batches
 
@@ -213,73 +224,49 @@ class HistoryIndex:
         order = F.struct(F.coalesce("batch_no", F.lit(2**31 - 1)).alias("n"), F.col(key).alias("k"))
         rows = items.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), order.alias("o"), usable_hash(F.col("text_hash")).alias("text_hash"), "vec", F.xxhash64(key, "batch_no", "text_hash", "vec").alias("rid"), "arrived_at")
         kept = rows.groupBy("key").agg(F.min(F.struct(F.col("o.n").alias("n"), F.coalesce("arrived_at", F.to_timestamp(F.lit("9999-01-01"))).alias("at"), "rid", "o", "text_hash", "vec")).alias("r")).select("key", "r.o", "r.text_hash", "r.vec")
-        packed = with_unit_or_null(kept, dim=self.dim).withColumn("ref", F.when(F.col("u").isNotNull(), F.xxhash64("u"))).withColumn("n", F.col("o.n"))
+        batch = F.col("o.n") if append else F.lit(0)
+        packed = with_unit_or_null(kept, dim=self.dim).withColumn("ref", F.when(F.col("u").isNotNull(), F.xxhash64("u"))).withColumn("n", batch)
         base = materialize(packed, "items")
         sizes = {r["n"]: r["count"] for r in base.groupBy("n").count().collect()}  # a row per batch
-        signed = materialize(vector_keys(base.where("u is not null").groupBy("n", "ref").agg(F.first("u").alias("u")), self.dim), "keys")
-        out = []
-        for n in sorted(sizes) if append else [None]:
-            of = F.lit(True) if n is None else F.col("n") == n
-            out.append(self._batch(base.where(of), signed.where(of).drop("n").distinct() if n is None else signed.where(of).drop("n"), sum(sizes.values()) if n is None else sizes[n], append))
-        verdicts = reduce(DataFrame.unionByName, out) if out else self.spark.createDataFrame([], f"key {base.schema['key'].dataType.simpleString()}, n int, verdict string")
-        return verdicts.select(F.col("key").alias(key), F.col("n").alias("batch_no"), "verdict")
-
-    def _batch(self, base: DataFrame, keys: DataFrame, rows: int, append: bool) -> DataFrame:
-        """(key, n, verdict) of one batch (key, o, n, text_hash, u, ref) with its keys; appends what is accepted."""
-        near = differing("a", "b") <= most_differing(self.least)
-        n_keys = rows * BANDS
-        there = self.keys(keys, "band", n_keys).select("band", "ref", "s1", "s2", F.lit(True).alias("old"))
-        there = there.unionByName(keys.withColumn("old", F.lit(False)))
-        met = there.alias("b").join(_sent(keys, n_keys).alias("a"), (F.col("a.band") == F.col("b.band")) & near & (F.col("old") | (F.col("a.ref") < F.col("b.ref"))))
-        hits = materialize(met.select(F.col("a.ref").alias("x"), F.col("b.ref").alias("y"), "old").distinct(), "hits")
-        n_hits = hits.count()
+        signed = vector_keys(base.where("u is not null").groupBy("n", "ref").agg(F.first("u").alias("u")), self.dim)
+        signed = materialize(_with_h(signed).unionByName(_hash_keys(base, "n")), "keys")
+        paths = []
+        for n in sorted(sizes):
+            of = F.col("n") == n
+            paths.append(self._batch(base.where(of), signed.where(of).drop("n"), sizes[n], append))
+        kind, order = base.schema["key"].dataType.simpleString(), base.schema["o"].dataType.simpleString()
+        schema = f"key {kind}, o {order}, verdict string"
+        verdicts = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return verdicts.select(F.col("key").alias(key), F.col("o.n").alias("batch_no"), "verdict")
+
+    def _batch(self, base: DataFrame, keys: DataFrame, rows: int, append: bool) -> str:
+        """Where the verdicts (key, o, verdict) of one batch (key, o, text_hash, u, ref) with its keys are; appends what is accepted."""
+        near = (differing("a", "b") <= most_differing(self.least)) & F.col("a.h").eqNullSafe(F.col("b.h"))
+        n_keys = rows * (BANDS + 1)
+        there = self.keys(keys, n_keys).withColumn("old", F.lit(True)).unionByName(keys.where("h is null").withColumn("old", F.lit(False)))
+        asks = F.broadcast(keys) if n_keys <= SENT else keys
+        met = there.alias("b").join(asks.alias("a"), (F.col("a.band") == F.col("b.band")) & near & (F.col("old") | (F.col("a.ref") != F.col("b.ref"))))
+        hits = materialize(met.select(F.col("a.ref").alias("x"), F.col("b.ref").alias("y"), "old", F.col("a.h").alias("h")).distinct(), "hits")
+        seen, hits = hits.where("h is not null").select("h"), hits.where("h is null")
         own = base.where("u is not null").groupBy("ref").agg(F.first("u").alias("u"))
-        asked = hits.where("old").select(F.col("y").alias("ref")).distinct()
-        of = self.vectors(asked, "ref", n_hits).select("ref", "u").join(_sent(asked, n_hits), "ref", "left_semi")
+        asked = hits.where("old").select(F.col("y").alias("ref"))
+        of = self.vectors(asked, rows).join(asked, "ref", "left_semi")
         both = of.unionByName(own.join(hits.where("not old").select(F.col("y").alias("ref")), "ref", "left_semi")).distinct()
-        found = materialize(verified(hits, own, both, self.least, self.dim), "found")
-        state = materialize(self._state(base, found, rows), "state")
-        edges = found.where("not old").select("x", "y")
-        edges = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        state = materialize(self._decided(state, edges), "verdicts")
+        found = verified(hits, own, both, self.least, self.dim)
+        verdicts = new_path(self.spark, "verdicts")
+        (self._in_turn(base, seen, found) if rows <= AT_ONCE else self._settle(base, seen, found)).write.parquet(verdicts)
         if append:
-            new = state.where("verdict = 'accepted'").select("key").join(base.select("key", "text_hash", "u", "ref"), "key")
-            self.append(new.select("text_hash", "u"), keys.join(new.where("ref is not null").select("ref").distinct(), "ref", "left_semi").select("band", "ref", "s1", "s2"), rows)
-        return state.select("key", F.col("o.n").alias("n"), "verdict")
-
-    def _state(self, base: DataFrame, found: DataFrame, rows: int) -> DataFrame:
-        """(key, o, text_hash, ref, h, r, old_exact, old_near, tied): what history says of each item, and whether another item of the
-        batch has its hash or a vector that is near.
-
-        h and r stand for hash and vector: rows without one get a name of their own, so they don't meet in one task."""
-        alone = F.concat(F.lit(" "), F.col("key").cast("string"))
-        state = base.select("key", "o", "text_hash", "ref", F.coalesce("text_hash", alone).alias("h"), F.coalesce(F.col("ref").cast("string"), alone).alias("r"))
-        mine = base.where("text_hash is not null").groupBy("text_hash").agg((F.count(F.lit(1)) > 1).alias("several"))
-        seen = self.hashes(mine, "text_hash", rows).select("text_hash").join(_sent(mine.select("text_hash"), rows), "text_hash", "left_semi").distinct()
-        by_hash = mine.join(seen.withColumn("old_exact", F.lit(True)), "text_hash", "left").where("several or old_exact").withColumnRenamed("text_hash", "h")
-        several = base.where("ref is not null").groupBy("ref").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("ref", F.lit(False).alias("old"), F.lit(True).alias("beside"))
-        met = found.select(F.col("x").alias("ref"), "old", (~F.col("old")).alias("beside")).unionByName(found.where("not old").select(F.col("y").alias("ref"), "old", F.lit(True).alias("beside")))
-        by_ref = met.unionByName(several).groupBy("ref").agg(F.max("old").alias("old_near"), F.max("beside").alias("beside")).select(F.col("ref").cast("string").alias("r"), "old_near", "beside")
-        state = state.join(by_hash, "h", "left").join(by_ref, "r", "left")
-        is_ = lambda c: F.coalesce(c, F.lit(False))
-        return state.select("key", "o", "text_hash", "ref", "h", "r", is_("old_exact").alias("old_exact"), is_("old_near").alias("old_near"), (is_("several") | is_("beside")).alias("tied"))
-
-    def _decided(self, state: DataFrame, edges: DataFrame) -> DataFrame:
-        """(key, o, verdict). Items that no other item of the batch can match are decided by history alone."""
-        alone = state.where("not tied").select("key", "o", F.when(F.col("old_exact"), "exact").when(F.col("old_near"), "near").otherwise("accepted").alias("verdict"))
-        rest = state.where("tied").drop("tied")
-        n = rest.count()
-        if not n:
-            return alone
-        return alone.unionByName(self._in_turn(rest, edges) if n <= AT_ONCE else self._settle(rest, edges))
-
-    def _in_turn(self, state: DataFrame, edges: DataFrame) -> DataFrame:
-        """Verdicts of a bounded number of items, one after the other, in one task."""
-        at = state.select("ref").where("ref is not null").distinct()
-        near = edges.join(F.broadcast(at), edges["x"] == at["ref"]).groupBy("x").agg(F.collect_set("y").alias("around"))  # refs of these items only
-        rows = state.join(near, state["ref"] == near["x"], "left").select("key", "o", "text_hash", "ref", "old_exact", "old_near", "around")
-        kind = state.schema["key"].dataType.simpleString()
-        order = state.schema["o"].dataType.simpleString()
+            new = self.spark.read.parquet(verdicts).where("verdict = 'accepted'").select("key").join(base.select("key", "text_hash", "u", "ref"), "key")
+            names = new.select("ref", F.lit(None).cast("string").alias("h")).where("ref is not null").unionByName(new.select(F.lit(0).cast("bigint").alias("ref"), F.col("text_hash").alias("h")).where("h is not null")).distinct()
+            names = names.select(F.col("ref").alias("r"), F.col("h").alias("g"))
+            self.append(new.select("text_hash", "u"), keys.join(names, (F.col("ref") == F.col("r")) & F.col("h").eqNullSafe(F.col("g")), "left_semi"), rows)
+        return verdicts
+
+    def _in_turn(self, base: DataFrame, seen: DataFrame, found: DataFrame) -> DataFrame:
+        """(key, o, verdict) of a batch of bounded size: its items, without their vectors, one after the other in one task."""
+        near = found.groupBy(F.col("x").alias("ref")).agg(F.max("old").alias("old_near"), F.collect_set(F.when(~F.col("old"), F.col("y"))).alias("around"))  # refs of this batch only
+        rows = base.select("key", "o", "text_hash", "ref").join(seen.select(F.col("h").alias("text_hash"), F.lit(True).alias("old_exact")), "text_hash", "left").join(near, "ref", "left")
+        kind, order = (base.schema[c].dataType.simpleString() for c in ("key", "o"))
 
         def kernel(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(batches).combine_chunks()
@@ -300,12 +287,19 @@ class HistoryIndex:
 
         return rows.groupBy(F.lit(0).alias("all")).applyInArrow(kernel, f"key {kind}, o {order}, verdict string")
 
-    def _settle(self, state: DataFrame, edges: DataFrame) -> DataFrame:
-        """Statuses 0 (open) become 1 (accepted) or -1, in rounds: an item is settled once all that precede it and match it are.
+    def _settle(self, base: DataFrame, seen: DataFrame, found: DataFrame) -> DataFrame:
+        """(key, o, verdict) of a batch of any size. Statuses 0 (open) become 1 (accepted) or -1, in rounds: an item is settled once all
+        that precede it and match it are; there are as many rounds as links in the longest chain.
 
-        A round settles every item without an open predecessor, so there are as many rounds as links in the longest chain."""
+        h and r stand for hash and vector: rows without one get a name of their own, so they don't meet in one task."""
+        found = materialize(found, "found")
+        alone = F.concat(F.lit(" "), F.col("key").cast("string"))
+        state = base.select("key", "o", F.coalesce("text_hash", alone).alias("h"), F.coalesce(F.col("ref").cast("string"), alone).alias("r"))
+        state = state.join(seen.select("h", F.lit(True).alias("old_exact")), "h", "left")
+        state = state.join(found.where("old").select(F.col("x").cast("string").alias("r"), F.lit(True).alias("old_near")).distinct(), "r", "left")
+        state = state.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("old_exact", "old_near")})
         state = materialize(state.withColumn("status", F.when(F.col("old_exact") | F.col("old_near"), -1).otherwise(0)), "state")
-        around = materialize(edges.select(F.col("x").cast("string").alias("r"), F.col("y").cast("string").alias("y")), "around")
+        around = materialize(found.where("not old").select(F.col("x").cast("string").alias("r"), F.col("y").cast("string").alias("y")), "around")
 
         def bounds(state: DataFrame) -> DataFrame:
             taken = lambda by: state.where("status >= 0").groupBy(by).agg(F.min(F.when(F.col("status") == 1, F.col("o"))).alias("taken"), F.min(F.when(F.col("status") == 0, F.col("o"))).alias("open"))

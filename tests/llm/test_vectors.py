@@ -368,7 +368,7 @@ def test_what_a_batch_reads_goes_by_the_batch(spark):
         items = spark.createDataFrame([(1, 1, None, "H7", None, 1, "x"), (2, 1, None, None, x[9].tolist(), 1, "x")], ITEM)
         assert {r.item_id: r.verdict for r in index.check(items).collect()} == {1: "exact", 2: "near"}
         count[n] = {name: df.count() for name, df in read}
-        assert set(count[n]) == {"keys", "vectors", "hashes"}
+        assert set(count[n]) == {"keys", "vectors"}
     assert all(count[8000][t] < 2 * count[800][t] + 60 for t in count[800]) and count[8000]["keys"] < 0.05 * 8000 * 16
 
 
