@@ -182,7 +182,40 @@ def test_changes(spark):
     assert {r.path for r in log.sink().collect()} == {p for p, _ in want} | {"late"} and log.sink().count() == 6
     log.run()
     assert log.sink().count() == 6
-    # after a commit the same change may come again
+    # a change that was committed doesn't come again, though the index wasn't refreshed
     log.capture(found)
     log.run()
-    assert log.sink().count() == 11
+    assert log.sink().count() == 6
+    # but another change of its path does, and then the first one again
+    row = "path string, change_kind string, file_hash string, seen timestamp"
+    for h in ("h4", "h3", "h3"):
+        log.capture(spark.createDataFrame([("b", "updated", h, None)], row))
+        log.run()
+    assert [r.file_hash for r in log.sink().where("path = 'b'").orderBy("offset").collect()] == ["h3", "h4", "h3"]
+    # a plan that another run wrote first holds, also without its commit
+    assert log._write("plans/99", {"from": {}, "to": {}}) and not log._write("plans/99", {"from": {}, "to": {"1": 2}})
+
+
+def test_what_a_run_reads_does_not_grow_with_the_log(spark):
+    row = "path string, change_kind string, file_hash string, seen timestamp"
+    read = []
+
+    class Watched(ChangeLog):
+        def _events(self, epochs):
+            read.append(list(epochs))
+            return super()._events(epochs)
+
+    log = Watched(spark, partitions=2)
+    for e in range(20):
+        log.capture(spark.createDataFrame([(f"p{e}", "added", str(e), None), ("again", "updated", str(e % 2), None)], row))
+        if e < 17:
+            log.run()
+    assert max(map(len, read)) <= 9
+    read.clear()
+    number, start, end = log.plan()
+    assert {r.path for r in log.batch(start, end).collect()} == {"p17", "p18", "p19", "again"} and read == [[17, 18, 19]]
+    log.run()
+    assert log.sink().count() == 40 and log.last_changes().count() == 21
+    log.capture(log.last_changes())  # nothing is new
+    log.run()
+    assert log.sink().count() == 40
