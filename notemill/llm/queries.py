@@ -11,7 +11,7 @@ from notemill.functions.vectors import current_notes, with_unit_or_null
 from notemill.llm.neighbours import similar_pairs, similar_to
 from notemill.llm.history import HistoryIndex
 from notemill.llm.markup import clean_markup, kinds_found
-from notemill.llm.mixing import mix, shares
+from notemill.llm.mixing import mix, shares, spelled
 from notemill.llm.neardup import groups, near_duplicates, near_pairs, vector_evidence
 from notemill.llm.packing import fill_report, pack
 from notemill.llm.sizes import with_tokens
@@ -120,10 +120,13 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill_report(p8_containers(spark, d))
 
 
+BUDGET = 0.5  #: tokens of the mixture, as a share of those of all documents whose source has a target
+
+
 @query
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     sized = with_tokens(read_table(spark, d, "documents", spread=True), "doc_id", "text", "source")
-    return mix(sized, read_table(spark, d, "mix_targets"))
+    return mix(sized, read_table(spark, d, "mix_targets"), budget_share=BUDGET)
 
 
 @query
@@ -131,6 +134,46 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return shares(p9_mix(spark, d), read_table(spark, d, "mix_targets"))
 
 
+@query
+def p9_rules(spark: SparkSession, d: str) -> DataFrame:
+    """For each source whether the mixture keeps its rules: no document more often than allowed, no source above its due in its targets'
+    proportions to the others by more than a document, and the budget used up but for less than a document's tokens."""
+    sized = materialize(with_tokens(read_table(spark, d, "documents", spread=True), "doc_id", "text", "source"), "sized")
+    goal = read_table(spark, d, "mix_targets")
+    chosen = materialize(mix(sized, goal, budget_share=BUDGET), "chosen")
+    per = shares(chosen, goal).join(goal.groupBy(spelled(F.col("source")).alias("source")).agg(F.max("max_repeats").alias("max_repeats")), "source")
+    have = sized.where("tokens > 0").groupBy(spelled(F.col("source")).alias("source")).agg(F.sum("tokens").alias("have"), F.max("tokens").alias("most"))
+    per = per.join(have, "source", "left").na.fill(0, ["have", "most"])
+    all_ = per.agg(F.sum("tokens").alias("used"), F.sum("have").alias("all"), F.max("most").alias("longest"), F.max(F.col("tokens") / F.col("target_share")).alias("time"))
+    per = per.crossJoin(F.broadcast(all_))  # one row
+    spent = F.col("tokens") >= F.col("have") * F.col("max_repeats")
+    due = F.abs(F.col("tokens") - F.col("time") * F.col("target_share")) <= F.col("longest") * (1 + F.col("target_share") / F.lit(0.01))
+    left = F.col("all") * BUDGET - F.col("used")
+    return per.select("source", (F.col("most_used") <= F.col("max_repeats")).alias("repeats_kept"), (spent | due).alias("share_due"), ((left >= 0) & (left <= F.col("longest"))).alias("budget_used"))
+
+
+SQL["p9_rules"] = """
+SELECT DISTINCT regexp_replace(lower(trim(source)), '[_ ]+', '-', 'g') AS source, true AS repeats_kept, true AS share_due, true AS budget_used FROM mix_targets WHERE source IS NOT NULL
+"""
+
+
+@query
+def p8_rules(spark: SparkSession, d: str) -> DataFrame:
+    """For each profile whether the containers keep its rules: every token placed, none overfull, one in a hundred more than needed at most."""
+    sized = materialize(with_tokens(read_table(spark, d, "documents", spread=True), "doc_id", "text"), "sized")
+    profiles = read_table(spark, d, "pack_profiles")
+    placed = materialize(pack(sized, profiles), "placed")
+    boxes = placed.groupBy("profile", "container").agg(F.sum("tokens").alias("t"), F.first("capacity").alias("capacity"))
+    per = boxes.groupBy("profile").agg(F.sum("t").alias("t"), F.count(F.lit(1)).alias("n"), F.max(F.col("t") - F.col("capacity")).alias("over"), F.max("capacity").alias("capacity"))
+    divided = placed.join(sized.select("doc_id", F.col("tokens").alias("whole")), "doc_id").where("whole <= capacity").groupBy("profile", "doc_id").agg(F.count(F.lit(1)).alias("c")).groupBy("profile").agg(F.max("c").alias("cut"))
+    per = per.crossJoin(F.broadcast(sized.agg(F.sum("tokens").alias("all")))).join(divided, "profile", "left")  # one row
+    few = F.col("n") <= F.ceil(F.col("all") / F.col("capacity") * 1.01) + 1
+    return per.select("profile", (F.col("t") == F.col("all")).alias("all_placed"), (F.col("over") <= 0).alias("none_overfull"), few.alias("few_containers"), (F.coalesce("cut", F.lit(1)) == 1).alias("only_long_divided"))
+
+
+SQL["p8_rules"] = "SELECT profile, true AS all_placed, true AS none_overfull, true AS few_containers, true AS only_long_divided FROM pack_profiles"
+
+
 @query
 def p6_chunks(spark: SparkSession, d: str) -> DataFrame:
     """For every chunk whose id is divisible by 50 the five most similar of all chunks."""

@@ -302,6 +302,16 @@ def test_mix(spark):
         mixing.RANGE, kept = max(1, 8000 // ranges), mixing.RANGE
         assert {(x.doc_id, x.use) for x in mixing.mix(df, goal, budget=20_000).collect()} == {(x.doc_id, x.use) for x in got}
         mixing.RANGE = kept
+    # one small weight, and a thousand repeats: made only as far as the budget needs them
+    odd = spark.createDataFrame([("big", 0.999, 1), ("mid", 1e-9, 1000), ("small-one", 0.001, 1000)], TARGETS)
+    total = sum(t for _, _, t in rows)
+    half = mixing.mix(df, odd, budget_share=0.25).collect()
+    of = sum(t for _, s, t in rows if s in ("big", "Mid ", "mid", "small_one"))
+    assert 0.25 * of - 60 <= sum(x.tokens for x in half) <= 0.25 * of and max(x.use for x in half) == 1
+    finish = {}
+    for x in mixing.mix(df, odd, budget=3 * total).collect():
+        finish.setdefault(x.source, []).append(x.finish)
+    assert all(v == sorted(v) for v in finish.values()) and max(map(max, finish.values())) < float("inf")
     assert mixing.mix(df.limit(0), goal).count() == 0 and mixing.mix(df, goal.limit(0), budget=5).count() == 0
     assert mixing.shares(mixing.mix(df.limit(0), goal), goal).count() == 5
 
