@@ -31,11 +31,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Writes df to the shared folder and reads it back: later plans neither repeat its work nor depend on executors."""
+def materialize(df: DataFrame, name: str = "table", by: str | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it back: later plans neither repeat its work nor depend on executors.
+
+    by: a column whose values have a folder each, so that plans for single values read no more and are compiled but once."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
