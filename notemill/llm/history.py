@@ -226,10 +226,10 @@ class HistoryIndex:
         kept = rows.groupBy("key").agg(F.min(F.struct(F.col("o.n").alias("n"), F.coalesce("arrived_at", F.to_timestamp(F.lit("9999-01-01"))).alias("at"), "rid", "o", "text_hash", "vec")).alias("r")).select("key", "r.o", "r.text_hash", "r.vec")
         batch = F.col("o.n") if append else F.lit(0)
         packed = with_unit_or_null(kept, dim=self.dim).withColumn("ref", F.when(F.col("u").isNotNull(), F.xxhash64("u"))).withColumn("n", batch)
-        base = materialize(packed, "items")
+        base = materialize(packed, "items", "n")
         sizes = {r["n"]: r["count"] for r in base.groupBy("n").count().collect()}  # a row per batch
         signed = vector_keys(base.where("u is not null").groupBy("n", "ref").agg(F.first("u").alias("u")), self.dim)
-        signed = materialize(_with_h(signed).unionByName(_hash_keys(base, "n")), "keys")
+        signed = materialize(_with_h(signed).unionByName(_hash_keys(base, "n")), "keys", "n")
         paths = []
         for n in sorted(sizes):
             of = F.col("n") == n
