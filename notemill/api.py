@@ -13,7 +13,7 @@ from notemill.functions.embedding import ngram_vectors
 from notemill.functions.text import text_hash
 from notemill.functions.vectors import with_unit
 from notemill.operators.chunking import chunk_texts
-from notemill.operators.dedup import chunk_links, evidence, exact_groups, exact_matches, redundant_across, redundant_inside, redundant_ratio, related_notes
+from notemill.operators.dedup import chunk_links, chunk_links_between, evidence, exact_matches, exact_members, redundant_inside, redundant_ratio, related_notes, related_to
 from notemill.operators.folders import classify, note_vectors, profiles, similar, suggest_tags
 from notemill.operators.index import image_referrers, index_diff, index_stats, resolve_images
 from notemill.operators.linkage import average_linkage
@@ -126,11 +126,11 @@ class Engine:
         return notes, materialize(with_unit(self.table("chunks").select("note", "idx", "tokens", "vec"), dim=d, dtype=np.float64), "chunks")
 
     def dedup_all(self) -> dict[str, DataFrame]:
-        """exact_groups, pairs and evidence of the whole index."""
+        """exact_members (a row per note whose text another has), pairs and evidence of the whole index."""
         notes, chunks = self._packed()
         links = materialize(chunk_links(chunks, self.t["chunk_match"], self.embedder.dim), "links")
         pairs = materialize(related_notes(notes, chunks, links, self.t, self.embedder.dim), "pairs")
-        return {"exact_groups": exact_groups(notes), "pairs": pairs, "evidence": evidence(pairs, chunks, self.embedder.dim)}
+        return {"exact_members": exact_members(notes), "pairs": pairs, "evidence": evidence(pairs, chunks, self.embedder.dim)}
 
     def queries(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(query, path, file_hash, text_hash, vec, title, tags_json) and chunks of documents that are not (yet) in the index."""
@@ -152,22 +152,19 @@ class Engine:
 
     def tags(self, queries: DataFrame, listed: DataFrame | None = None, k: int = 5) -> DataFrame:
         own = queries.select("query", "path", "vec")
-        return suggest_tags(own, self.table("notes").join(own.select("path"), "path", "left_anti"), listed, self.embedder.dim, k, self.t["tag_min"])
+        return suggest_tags(own, self.table("notes"), listed, self.embedder.dim, k, self.t["tag_min"])
 
     def dedup(self, queries: DataFrame, chunks: DataFrame) -> DataFrame:
-        """(doc, target, kind, score) of documents against the index: exact ones by hash, others by vectors.
+        """(doc, target, kind, score, doc_in_target, target_in_doc) of documents against the index: exact ones by hash, others by vectors.
 
-        The documents join the index under names of their own, and pairs of a document and a note are kept."""
-        d, mark = self.embedder.dim, "\x02"
+        Each document is held against all notes but its own; documents aren't held against each other, nor notes."""
+        d = self.embedder.dim
         exact = exact_matches(queries.select(F.col("query").alias("doc"), "path", "file_hash", "text_hash"), self.table("notes").select("path", "hash", "text_hash"))
         notes, old = self._packed()
-        q = with_unit(queries.select(F.concat(F.lit(mark), "query").alias("path"), F.lit(None).cast("string").alias("text_hash"), "vec"), dim=d, dtype=np.float64)
-        c = with_unit(chunks.select(F.concat(F.lit(mark), "note").alias("note"), "idx", "tokens", "vec"), dim=d, dtype=np.float64)
-        notes, all_chunks = materialize(notes.unionByName(q), "both"), materialize(old.unionByName(c), "both")
-        links = materialize(chunk_links(all_chunks, self.t["chunk_match"], d), "links")
-        pairs = related_notes(notes, all_chunks, links, self.t, d)
-        # the mark sorts before any path, so a document is always a
-        pairs = pairs.where(F.col("a").startswith(mark) & ~F.col("b").startswith(mark)).withColumn("doc", F.expr("substring(a, 2)"))
+        q = materialize(with_unit(queries.select(F.col("query").alias("path"), F.lit(None).cast("string").alias("text_hash"), "vec"), dim=d, dtype=np.float64), "docs")
+        c = materialize(with_unit(chunks.select("note", "idx", "vec"), dim=d, dtype=np.float64), "doc_chunks")
+        links = materialize(chunk_links_between(c, old, self.t["chunk_match"], d), "links")
+        pairs = related_to(q, c, notes, old, links, self.t, d).withColumnRenamed("a", "doc")
         own = queries.select(F.col("query").alias("doc"), F.col("path").alias("own"))
         rest = pairs.join(own, "doc").where("not (b <=> own)").join(exact.withColumnRenamed("target", "b"), ["doc", "b"], "left_anti")
         out = rest.select("doc", F.col("b").alias("target"), "kind", "score", F.col("a_in_b").alias("doc_in_target"), F.col("b_in_a").alias("target_in_doc"))
@@ -175,20 +172,20 @@ class Engine:
         return exact.select("doc", "target", F.lit("exact").alias("kind"), F.lit(1.0).alias("score"), none.alias("doc_in_target"), none.alias("target_in_doc")).unionByName(out)
 
     def redundant(self, queries: DataFrame, chunks: DataFrame) -> dict[str, DataFrame]:
-        """Passages of documents that recur within them or stand in another note of the index, and their share."""
-        d, mark = self.embedder.dim, "\x02"
-        old = with_unit(self.table("chunks").select("note", "idx", "tokens", "vec"), dim=d, dtype=np.float64)
-        old = old.join(queries.select(F.col("path").alias("note")), "note", "left_anti")
-        c = with_unit(chunks.select(F.concat(F.lit(mark), "note").alias("note"), "idx", "tokens", "vec"), dim=d, dtype=np.float64)
-        mine = materialize(c, "mine")
-        links = materialize(chunk_links(materialize(old.unionByName(mine), "both"), self.t["chunk_match"], d), "links")
-        ours = F.col("note").startswith(mark)
-        inside = redundant_inside(links).where(ours)
-        # documents are compared with the index, not with each other
-        across = redundant_across(links.where(~(F.col("note_a").startswith(mark) & F.col("note_b").startswith(mark) & (F.col("note_a") != F.col("note_b"))))).where(ours)
-        ratio = redundant_ratio(mine, inside, across)
-        bare = lambda df: df.withColumn("note", F.expr("substring(note, 2)"))
-        return {"internal": bare(inside), "cross_vault": bare(across), "ratio": bare(ratio)}
+        """Passages of documents that recur within them or stand in another note of the index, and their share.
+
+        Only a document's own note is left out, so what is reported of it is the same whichever others are asked with it."""
+        d = self.embedder.dim
+        old = materialize(with_unit(self.table("chunks").select("note", "idx", "vec"), dim=d, dtype=np.float64), "chunks")
+        mine = materialize(with_unit(chunks.select("note", "idx", "tokens", "vec"), dim=d, dtype=np.float64), "mine")
+        inside = redundant_inside(chunk_links(mine, self.t["chunk_match"], d))
+        links = chunk_links_between(mine, old, self.t["chunk_match"], d)
+        own = queries.select(F.col("query").alias("doc"), F.col("path").alias("own"))
+        links = links.join(own, "doc").where("not (note <=> own)")
+        best = links.groupBy("doc", "i").agg(F.min(F.struct((-F.col("cosine")).alias("s"), "note", "j")).alias("m"))
+        across = materialize(best.select(F.col("doc").alias("note"), F.col("i").alias("chunk"), F.round(-F.col("m.s"), 4).alias("score"), F.col("m.note").alias("found_in"), F.col("m.j").alias("found_chunk")), "across")
+        inside = materialize(inside, "inside")
+        return {"internal": inside, "cross_vault": across, "ratio": redundant_ratio(mine, inside, across)}
 
     def image_pairs(self, vectors: DataFrame) -> DataFrame:
         """(a, b, kind, score) of image vectors (path, vec): above the threshold, exact where the bytes are equal."""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from notemill.functions.vectors import matrix
-from notemill.operators.vector_join import PLACES, cosines, pairs_above
+from notemill.operators.vector_join import PLACES, cosines, pairs_above, pairs_between
 from notemill.session import materialize
 
 KINDS = ["exact", "duplicate", "contained_in", "contains", "near_duplicate"]  # fixed value: kinds in their order of report
@@ -56,19 +56,24 @@ def chunk_links(chunks: DataFrame, least: float, dim: int) -> DataFrame:
     return found.select(F.col("a.note").alias("note_a"), F.col("a.idx").alias("i"), F.col("b.note").alias("note_b"), F.col("b.idx").alias("j"), "cosine")
 
 
-def related_notes(notes: DataFrame, chunks: DataFrame, links: DataFrame, t: dict[str, float], dim: int = 64) -> DataFrame:
-    """(a, b, kind, score, a_in_b, b_in_a), a < b. links: chunk_links at chunk_match.
+def chunk_links_between(docs: DataFrame, chunks: DataFrame, least: float, dim: int) -> DataFrame:
+    """(doc, i, note, j, cosine): the same of chunks (note, idx, u) of documents and of an index; neither is held against itself."""
+    rows = lambda df: df.select(F.struct("note", "idx").alias("key"), "u")
+    found = pairs_between(rows(docs), rows(chunks), least, dim)
+    return found.select(F.col("left.note").alias("doc"), F.col("left.idx").alias("i"), F.col("right.note").alias("note"), F.col("right.idx").alias("j"), "cosine")
 
-    Candidates are the pairs alike as notes and those with a matching chunk; all others have neither ratio nor score to report."""
-    near = pairs_above(notes.select(F.col("path").alias("key"), "u"), t["near_dup"], dim).select("a", "b")
-    across = links.where("note_a <> note_b")
-    flip = F.col("note_a") < F.col("note_b")
-    across = across.select(F.least("note_a", "note_b").alias("a"), F.greatest("note_a", "note_b").alias("b"), F.when(flip, F.col("i")).otherwise(F.col("j")).alias("i"), F.when(flip, F.col("j")).otherwise(F.col("i")).alias("j"))
+
+def _related(near: DataFrame, across: DataFrame, a: tuple[DataFrame, DataFrame], b: tuple[DataFrame, DataFrame], t: dict[str, float], dim: int) -> DataFrame:
+    """(a, b, kind, score, a_in_b, b_in_a) of the pairs near (a, b) and those with a matching chunk, across (a, i, b, j). a and b: the
+    notes (path, text_hash, u) and chunks (note) of either side."""
     matched = across.groupBy("a", "b").agg(F.countDistinct("i").alias("n_i"), F.countDistinct("j").alias("n_j"))
-    pairs = near.distinct().join(matched, ["a", "b"], "full_outer")
-    count = chunks.groupBy("note").agg(F.count(F.lit(1)).alias("n"))
-    side = lambda s: notes.select(F.col("path").alias(s), F.lower("text_hash").alias(f"h_{s}"), F.col("u").alias("u" if s == "a" else "v")).join(count.select(F.col("note").alias(s), F.col("n").alias(f"n_{s}")), s, "left")
-    full = pairs.join(side("a"), "a").join(side("b"), "b").where("n_a is not null and not (h_a <=> h_b and h_a is not null)")
+    pairs = near.select("a", "b").distinct().join(matched, ["a", "b"], "full_outer")
+
+    def side(s: str, u: str, notes: DataFrame, chunks: DataFrame) -> DataFrame:
+        count = chunks.groupBy(F.col("note").alias(s)).agg(F.count(F.lit(1)).alias(f"n_{s}"))
+        return notes.select(F.col("path").alias(s), F.lower("text_hash").alias(f"h_{s}"), F.col("u").alias(u)).join(count, s, "left")
+
+    full = pairs.join(side("a", "u", *a), "a").join(side("b", "v", *b), "b").where("n_a is not null and not (h_a <=> h_b and h_a is not null)")
     scored = cosines(full, dim, "a", "b", "n_i", "n_j", "n_a", "n_b")
     ratio = lambda n, of: F.coalesce(F.col(n) / F.col(of), F.lit(0.0))
     scored = scored.select("a", "b", "cosine", ratio("n_i", "n_a").alias("x"), ratio("n_j", "n_b").alias("y"))
@@ -76,6 +81,24 @@ def related_notes(notes: DataFrame, chunks: DataFrame, links: DataFrame, t: dict
     return out.select("a", "b", "kind", F.round("cosine", 4).alias("score"), F.round("x", 4).alias("a_in_b"), F.round("y", 4).alias("b_in_a"))
 
 
+def related_notes(notes: DataFrame, chunks: DataFrame, links: DataFrame, t: dict[str, float], dim: int = 64) -> DataFrame:
+    """(a, b, kind, score, a_in_b, b_in_a), a < b. links: chunk_links at chunk_match.
+
+    Candidates are the pairs alike as notes and those with a matching chunk; all others have neither ratio nor score to report."""
+    near = pairs_above(notes.select(F.col("path").alias("key"), "u"), t["near_dup"], dim)
+    flip = F.col("note_a") < F.col("note_b")
+    across = links.where("note_a <> note_b").select(F.least("note_a", "note_b").alias("a"), F.greatest("note_a", "note_b").alias("b"), F.when(flip, F.col("i")).otherwise(F.col("j")).alias("i"), F.when(flip, F.col("j")).otherwise(F.col("i")).alias("j"))
+    return _related(near, across, (notes, chunks), (notes, chunks), t, dim)
+
+
+def related_to(docs: DataFrame, doc_chunks: DataFrame, notes: DataFrame, chunks: DataFrame, links: DataFrame, t: dict[str, float], dim: int = 64) -> DataFrame:
+    """(a, b, kind, score, a_in_b, b_in_a) of documents a against notes b. links: chunk_links_between at chunk_match."""
+    rows = lambda df: df.select(F.col("path").alias("key"), "u")
+    near = pairs_between(rows(docs), rows(notes), t["near_dup"], dim).select(F.col("left").alias("a"), F.col("right").alias("b"))
+    across = links.select(F.col("doc").alias("a"), F.col("note").alias("b"), "i", "j")
+    return _related(near, across, (docs, doc_chunks), (notes, chunks), t, dim)
+
+
 def evidence(pairs: DataFrame, chunks: DataFrame, dim: int = 64, most: int = 3) -> DataFrame:
     """(a, b, rank, i, j, score): for pairs (a, b) of notes, of the 3 x most best cells the first of each chunk of a, at most `most`.
 

@@ -1,16 +1,19 @@
 """Vectors of groups: note vectors from chunks, folder centroids, classification, tags, profiles.
 
-Sums of vectors are aggregates of their elements in the JVM, combined before the shuffle."""
+Sums of vectors are added up in batches before the shuffle."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from notemill.functions.embedding import ngram_vectors
-from notemill.functions.vectors import with_unit
+from notemill.functions.vectors import unit_rows, with_unit
 from notemill.operators.vector_join import cosines, top_k
 from notemill.session import materialize
 
@@ -38,18 +41,39 @@ def plus(a: Column, b: Column) -> Column:
     return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(F.zip_with(a, b, lambda x, y: x + y))
 
 
-def vector_sum(df: DataFrame, by: list[str], vec: str, dim: int, weight: Column | None = None) -> DataFrame:
-    """(by..., total, n): the element-wise sum of the vectors of each group, and how many there are."""
-    w = F.lit(1.0) if weight is None else weight
-    return df.groupBy(*by).agg(F.array(*[F.sum(F.col(vec)[i] * w) for i in range(dim)]).alias("total"), F.count(F.lit(1)).alias("n"))
+def vector_sum(df: DataFrame, by: str, vec: str, dim: int, weight: str | None = None) -> DataFrame:
+    """(by, total, n): the sum of the usable vectors of each group at unit length, times their weights, and how many there are.
+
+    Rows are added up batch by batch before they are moved."""
+    kind = df.schema[by].dataType.simpleString()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, x = unit_rows(b.column("v"), dim)
+            if not len(rows):
+                continue
+            coded = b.column("k").take(pa.array(rows)).dictionary_encode()
+            code = np.asarray(coded.indices.fill_null(-1))
+            if weight is not None:
+                x = x * np.asarray(b.column("w").take(pa.array(rows)))[:, None]
+            order = np.argsort(code, kind="stable")
+            at = np.flatnonzero(np.diff(code[order], prepend=-2))
+            sums, first = np.add.reduceat(x[order], at, axis=0), code[order][at]
+            counts = np.diff(np.append(at, len(code)))
+            keys = coded.dictionary.take(pa.array(first, mask=first < 0))
+            yield pa.RecordBatch.from_arrays([keys, pa.FixedSizeListArray.from_arrays(pa.array(sums.ravel()), dim).cast(pa.list_(pa.float64())), pa.array(counts.astype(np.int64))], names=["k", "sums", "n"])
+
+    rows = df.where(F.col(vec).isNotNull()).select(F.col(by).alias("k"), F.col(vec).alias("v"), *([F.col(weight).cast("double").alias("w")] if weight else []))
+    part = rows.mapInArrow(add, f"k {kind}, sums array<double>, n bigint")
+    return part.groupBy(F.col("k").alias(by)).agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(dim)]).alias("total"), F.sum("n").alias("n"))
 
 
 def note_vectors(chunks: DataFrame, heads: DataFrame | None = None, dim: int = 64) -> DataFrame:
     """(note, vec): the unit sum of a note's head vector and of its chunks' vectors weighted by tokens, each at unit length first.
 
     chunks: (note, tokens, vec); heads: (note, vec), or none. A note without chunks has its head only."""
-    w = F.greatest(F.coalesce("tokens", F.lit(1)), F.lit(1)).cast("double")
-    body = vector_sum(chunks.where(usable(F.col("vec"), dim)).withColumn("v", unit(F.col("vec"))), ["note"], "v", dim, w).select("note", unit(F.col("total")).alias("body"))
+    weighed = chunks.select("note", "vec", F.greatest(F.coalesce("tokens", F.lit(1)), F.lit(1)).alias("w"))
+    body = vector_sum(weighed, "note", "vec", dim, "w").select("note", unit(F.col("total")).alias("body"))
     if heads is None:
         return body.select("note", F.col("body").alias("vec"))
     both = body.join(heads.select("note", unit(F.col("vec")).alias("head")), "note", "full_outer")
@@ -60,8 +84,8 @@ def folder_centroids(notes: DataFrame, described: DataFrame, skip: list[str], di
     """(folder, n, total, desc, vec): notes (path, folder, vec) by exact folder, without the root and folders below skip.
 
     A folder with few notes, or only a description, leans on the embedding of its name and description."""
-    rows = notes.where((F.col("folder") != "") & ~F.split("folder", "/")[0].isin(skip) & usable(F.col("vec"), dim)).withColumn("v", unit(F.col("vec")))
-    sums = vector_sum(rows, ["folder"], "v", dim)
+    rows = notes.where((F.col("folder") != "") & ~F.split("folder", "/")[0].isin(skip))
+    sums = vector_sum(rows, "folder", "vec", dim)
     described = described.where("folder is not null").groupBy("folder").agg(F.max(F.coalesce("description", F.lit(""))).alias("description"))
     all_ = sums.join(described, "folder", "full_outer").withColumn("n", F.coalesce("n", F.lit(0)))
     name = F.concat(F.replace(F.col("folder"), F.lit("/"), F.lit(" / ")), F.lit(": "), F.coalesce("description", F.lit("")))
@@ -123,20 +147,30 @@ def tag_candidates(notes: DataFrame, listed: DataFrame | None) -> DataFrame:
 
 
 def suggest_tags(queries: DataFrame, notes: DataFrame, listed: DataFrame | None, dim: int = 64, k: int = 5, least: float = 0.55) -> DataFrame:
-    """(query, tag, score, source, rank) for queries (query, vec): the k best candidates, those of at least `least`.
+    """(query, tag, score, source, rank) for queries (query, vec[, path]): the k best candidates, those of at least `least`.
 
     A candidate is held against by its description's embedding and, with several users, by their centroid, whichever is nearer."""
     named = tag_candidates(notes, listed)
     text = F.when(F.col("description") != "", F.concat("tag", F.lit(": "), "description")).otherwise(F.col("tag"))
     by_text = ngram_vectors(named.select("tag", text.alias("text")), "tag", "text", dim)
-    used = notes.where(usable(F.col("vec"), dim)).select(F.explode(parsed_tags(F.col("tags_json"))).alias("tag"), unit(F.col("vec")).alias("v"))
-    by_use = vector_sum(used.join(named.select("tag"), "tag"), ["tag"], "v", dim).where(F.col("n") >= FEW).select("tag", F.col("total").alias("vec"))
+    used = notes.where("vec is not null").select("path", F.explode(parsed_tags(F.col("tags_json"))).alias("tag"), "vec").join(named.select("tag"), "tag")
+    by_use = materialize(vector_sum(used, "tag", "vec", dim).where(F.col("n") >= FEW).select("tag", F.col("total").alias("vec"), "n"), "tag_uses")
     labelled = lambda df, source: df.select(F.concat("tag", F.lit(SOURCE + source)).alias("key"), "vec")
     base = materialize(with_unit(labelled(by_text, "description").unionByName(labelled(by_use, "usage")), dim=dim, dtype=np.float64), "tag_vectors")
-    # a tag has two vectors at most, so its better one is among the first 2k
-    found = top_k(with_unit(queries.select("query", "vec"), dim=dim, dtype=np.float64), base, 2 * k, dim)
+    # a query that is itself a note is held against its tags' uses without it
+    own = queries.select("query", "path", F.col("vec").alias("mine")).join(used.withColumnRenamed("vec", "v"), "path").where(usable(F.col("v"), dim)).join(by_use.withColumnRenamed("vec", "total"), "tag") if "path" in queries.columns else None
+    most = own.groupBy("query").count().agg(F.max("count")).head()[0] or 0 if own is not None else 0
+    # a tag has two vectors at most, so its better one is among the first 2k, but for those that are taken out
+    found = top_k(with_unit(queries.select("query", "vec"), dim=dim, dtype=np.float64), base, 2 * k + most, dim)
     parts = F.split("key", SOURCE)
-    best = found.groupBy("query", parts[0].alias("tag")).agg(F.min(F.struct((-F.col("score")).alias("s"), parts[1].alias("source"))).alias("b"))
+    found = found.select("query", parts[0].alias("tag"), parts[1].alias("source"), "score")
+    if own is not None:
+        own = own.withColumn("rest", F.zip_with("total", unit(F.col("v")), lambda x, y: x - y))
+        found = found.join(own.select("query", "tag", F.lit("usage").alias("source")), ["query", "tag", "source"], "left_anti")
+        pairs = with_unit(with_unit(own.where(F.col("n") > FEW).select("query", "tag", "mine", "rest"), "mine", "u", dim, np.float64), "rest", "v", dim, np.float64)
+        again = cosines(pairs, dim, "query", "tag").select("query", "tag", F.lit("usage").alias("source"), F.col("cosine").alias("score"))
+        found = found.select("query", "tag", "source", "score").unionByName(again)
+    best = found.groupBy("query", "tag").agg(F.min(F.struct((-F.col("score")).alias("s"), "source")).alias("b"))
     w = Window.partitionBy("query").orderBy(F.col("b.s"), "tag")
     ranked = best.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= k) & (-F.col("b.s") >= least))
     return ranked.select("query", "tag", F.round(-F.col("b.s"), 4).alias("score"), F.col("b.source").alias("source"), "rank")
@@ -146,10 +180,9 @@ def profiles(labelled: DataFrame, dim: int = 64, least: int = 3, titles: int = 5
     """(label, size, cohesion, representative, common_tags, folders) of labelled notes (label, path, title, folder, tags_json, vec).
 
     Groups of fewer than `least` are left out; ties go to the path, or the name, that comes first."""
-    rows = labelled.where(usable(F.col("vec"), dim)).withColumn("v", unit(F.col("vec")))
-    sums = vector_sum(rows, ["label"], "v", dim).where(F.col("n") >= least)
+    sums = vector_sum(labelled, "label", "vec", dim).where(F.col("n") >= least)
     cent = with_unit(sums.select("label", "n", "total"), "total", "v", dim, np.float64)
-    near = with_unit(rows.select("label", "path", "title", "folder", "tags_json", "vec"), dim=dim, dtype=np.float64).join(cent, "label")
+    near = with_unit(labelled.select("label", "path", "title", "folder", "tags_json", "vec"), dim=dim, dtype=np.float64).join(cent, "label")
     near = cosines(near, dim, "label", "path", "title", "folder", "tags_json", "n")
     first = lambda df, n, name, *order: df.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(*order))).where(F.col("r") <= n).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "x"))), lambda s: s["x"]).alias(name))
     size = near.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.round(F.avg("cosine"), 4).alias("cohesion"))

@@ -1,8 +1,9 @@
 """Joins of vectors (packed float64 units, see functions.vectors): top k of a set of queries, and all pairs above a cosine.
 
-top_k is exact: queries and base meet in blocks of bounded size. pairs_above finds candidates by bands of hyperplane signs and
-verifies them exactly; a pair at the threshold is a candidate with probability 0.999, one above it with more. Rows with the same
-vector are one entry of the join, expanded afterwards."""
+top_k is exact: queries and base meet in blocks of bounded size. Joins above a cosine find candidates by bands of hyperplane signs and
+verify them exactly; a pair at the threshold is a candidate with probability 0.999, one above it with more. With exact=True, or for a
+threshold so low that MOST_BANDS bands can't promise this, all pairs are compared, in blocks. Rows with the same vector are one class:
+linked() gives links between classes and their members, pairs_above() is its expansion, which grows with the square of a class."""
 
 from __future__ import annotations
 
@@ -67,10 +68,11 @@ def top_k(queries: DataFrame, base: DataFrame, k: int, dim: int = 64, exclude_sa
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def plan_bands(least: float) -> tuple[int, int]:
-    """(signs in a band, bands): the most selective with at most MOST_BANDS bands that miss no more than MISS at the threshold."""
+def plan_bands(least: float) -> tuple[int, int] | None:
+    """(signs in a band, bands): the most selective with at most MOST_BANDS bands that miss no more than MISS at the threshold; None
+    if there are none."""
     p = 1 - np.arccos(min(least, 0.9999)) / np.pi
-    best = (4, MOST_BANDS)
+    best = None
     for r in range(4, 25):
         b = int(np.ceil(np.log(MISS) / np.log(1 - p**r)))
         if b <= MOST_BANDS:
@@ -107,22 +109,76 @@ def cosines(pairs: DataFrame, dim: int, *keep: str) -> DataFrame:
     return pairs.select(*keep, "u", "v").mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in keep) + ", cosine double")
 
 
-def pairs_above(rows: DataFrame, least: float, dim: int = 64) -> DataFrame:
-    """(a, b, cosine), a < b: the pairs of rows (key, u) with at least that cosine (compared to PLACES decimals)."""
-    kind = rows.schema["key"].dataType.simpleString()
-    width, bands = plan_bands(least)
+def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rep, u): each different vector of rows (key, u) once; and (rep, key), who has it."""
     named = rows.withColumn("h", F.unhex(F.md5("u")))
-    first = named.groupBy("h").agg(F.min("key").alias("rep"), F.first("u").alias("u"))
-    entries = materialize(first, "entries")
-    members = materialize(named.select("key", "h").join(entries.select("h", "rep"), "h").select("rep", "key"), "members")
-    signed = _signs(entries.select("rep", "u"), kind, dim, width, bands)
+    entries = materialize(named.groupBy("h").agg(F.min("key").alias("rep"), F.first("u").alias("u")), "entries")
+    members = named.select("key", "h").join(entries.select("h", "rep"), "h").select("rep", "key")
+    return entries.select("rep", "u"), materialize(members, "members")
+
+
+def _met(left: DataFrame, right: DataFrame | None, least: float, dim: int, plan: tuple[int, int]) -> DataFrame:
+    """(x, y, cosine) of entries (rep, u) that share a band, of left and right, or x < y of left alone, verified."""
+    width, bands = plan
+    kinds = [d.schema["rep"].dataType.simpleString() for d in (left, right if right is not None else left)]
+    a = _signs(left, kinds[0], dim, width, bands)
+    b = _signs(right, kinds[1], dim, width, bands) if right is not None else a
     p = np.arccos(min(least, 0.9999)) / np.pi
     most = int(np.ceil(128 * p + 5 * np.sqrt(128 * p * (1 - p))))
     differ = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in ("s1", "s2")), F.lit(0))
-    met = signed.alias("x").join(signed.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") < F.col("y.rep")) & (differ <= most))
+    on = (F.col("x.band") == F.col("y.band")) & (differ <= most)
+    met = a.alias("x").join(b.alias("y"), on if right is not None else on & (F.col("x.rep") < F.col("y.rep")))
     met = materialize(met.select(F.col("x.rep").alias("x"), F.col("y.rep").alias("y")).distinct(), "met")
-    both = met.join(entries.select(F.col("rep").alias("x"), "u"), "x").join(entries.select(F.col("rep").alias("y"), F.col("u").alias("v")), "y")
-    links = cosines(both, dim, "x", "y").where(F.col("cosine") >= least)
+    other = (right if right is not None else left).select(F.col("rep").alias("y"), F.col("u").alias("v"))
+    return cosines(met.join(left.select(F.col("rep").alias("x"), "u"), "x").join(other, "y"), dim, "x", "y").where(F.col("cosine") >= least)
+
+
+PAIRED = 4000  #: rows of a block of the exact join
+
+
+def _all(left: DataFrame, right: DataFrame | None, least: float, dim: int) -> DataFrame:
+    """The same as _met(), exactly: every pair of blocks is a task."""
+    n = lambda d: max(1, -(-d.count() // PAIRED))
+    other = right if right is not None else left
+    nx, ny = n(left), n(other)
+    deal = lambda k: F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(k)).cast("int")
+    to = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    x = left.select("rep", "u", deal(nx).alias("i")).withColumn("j", to(ny))
+    y = other.select("rep", "u", deal(ny).alias("j")).withColumn("i", to(nx))
+    if right is None:
+        x, y = x.where("i <= j"), y.where("i <= j")
+    x, y = x.select("i", "j", "rep", "u"), y.select(F.col("i").alias("i"), F.col("j").alias("j"), F.col("rep").alias("rep"), F.col("u").alias("v"))
+    kinds = left.schema["rep"].dataType.simpleString(), other.schema["rep"].dataType.simpleString()
+    def kernel(_: tuple, l: pa.Table, r: pa.Table) -> pa.Table:
+        a, b = l.column("rep").combine_chunks(), r.column("rep").combine_chunks()
+        p, q, c = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)]
+        if len(a) and len(b):
+            m, o = matrix(l.column("u"), _F8, dim), matrix(r.column("v"), _F8, dim)
+            for s in range(0, len(m), 500):
+                sim = np.round(m[s : s + 500] @ o.T, PLACES)
+                i, j = np.nonzero(sim >= least)
+                p.append(i + s)
+                q.append(j)
+                c.append(sim[i, j])
+        return pa.table({"x": a.take(pa.array(np.concatenate(p))), "y": b.take(pa.array(np.concatenate(q))), "cosine": pa.array(np.concatenate(c))})
+
+    found = x.groupBy("i", "j").cogroup(y.groupBy("i", "j")).applyInArrow(kernel, f"x {kinds[0]}, y {kinds[1]}, cosine double")
+    if right is not None:
+        return found
+    # within a table each pair once: a block paired with itself gives both orders
+    return found.where("x <> y").groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.max("cosine").alias("cosine"))
+
+
+def linked(rows: DataFrame, least: float, dim: int = 64, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+    """((x, y, cosine) of classes of rows (key, u) with at least that cosine, (rep, key): the classes' members)."""
+    entries, members = _classes(rows)
+    plan = plan_bands(least)
+    return (_all(entries, None, least, dim) if exact or plan is None else _met(entries, None, least, dim, plan)), members
+
+
+def pairs_above(rows: DataFrame, least: float, dim: int = 64, exact: bool = False) -> DataFrame:
+    """(a, b, cosine), a < b: the pairs of rows (key, u) with at least that cosine (compared to PLACES decimals)."""
+    links, members = linked(rows, least, dim, exact)
     left, right = members.select(F.col("rep").alias("x"), F.col("key").alias("m")), members.select(F.col("rep").alias("y"), F.col("key").alias("n"))
     wide = links.join(left, "x").join(right, "y").select(F.least("m", "n").alias("a"), F.greatest("m", "n").alias("b"), "cosine")
     copies = members.groupBy("rep").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("rep")
@@ -131,9 +187,10 @@ def pairs_above(rows: DataFrame, least: float, dim: int = 64) -> DataFrame:
     return wide.unionByName(same.select("a", "b", F.lit(1.0).alias("cosine")))
 
 
-def pairs_between(left: DataFrame, right: DataFrame, least: float, dim: int = 64) -> DataFrame:
-    """(left, right, cosine) of pairs of rows (key: string, u) of two sets with at least that cosine; copies as in pairs_above."""
-    mark = lambda df, m: df.select(F.concat(F.lit(m), "key").alias("key"), "u")
-    found = pairs_above(mark(left, "\x02").unionByName(mark(right, "\x03")), least, dim)
-    found = found.where(F.col("a").startswith("\x02") & F.col("b").startswith("\x03"))
-    return found.select(F.expr("substring(a, 2)").alias("left"), F.expr("substring(b, 2)").alias("right"), "cosine")
+def pairs_between(left: DataFrame, right: DataFrame, least: float, dim: int = 64, exact: bool = False) -> DataFrame:
+    """(left, right, cosine) of pairs of rows (key, u) of two sets with at least that cosine. Neither set is paired with itself."""
+    (a, ma), (b, mb) = _classes(left), _classes(right)
+    plan = plan_bands(least)
+    found = _all(a, b, least, dim) if exact or plan is None else _met(a, b, least, dim, plan)
+    found = found.join(ma.select(F.col("rep").alias("x"), F.col("key").alias("left")), "x")
+    return found.join(mb.select(F.col("rep").alias("y"), F.col("key").alias("right")), "y").select("left", "right", "cosine")
