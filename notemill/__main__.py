@@ -26,6 +26,7 @@ def parser() -> argparse.ArgumentParser:
     c = sub.add_parser("similar")
     c.add_argument("folders", nargs="*")
     c.add_argument("--text")
+    c.add_argument("--image", help="a file; goes before --text, which goes before folders")
     c.add_argument("--k", type=int, default=10)
     c = sub.add_parser("extract")
     c.add_argument("folders", nargs="+")
@@ -57,6 +58,9 @@ def run(spark: SparkSession, a: argparse.Namespace) -> Any:
         return engine.propose_tags(a.k)
     if a.command == "dedup" and not a.folders:
         return engine.dedup_all()
+    if a.command == "similar" and a.image is not None:
+        with open(a.image, "rb") as f:
+            return engine.similar(image=spark.createDataFrame([(a.image, bytearray(f.read()))], "query string, content binary"), k=a.k)
     if a.command == "similar" and a.text is not None:
         return engine.similar(text=a.text, k=a.k)
     # folders named on the command line are read whatever their names
@@ -78,6 +82,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> Any:
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     from notemill.api import EngineError
+    from notemill.session import release
 
     spark = SparkSession.builder.appName("notemill").getOrCreate()
     try:
@@ -86,6 +91,8 @@ def main(argv: list[str] | None = None) -> int:
         out, code = {"ok": False, "error": {"code": e.code, "message": str(e)}}, 1
     except (ValueError, FileNotFoundError) as e:
         out, code = {"ok": False, "error": {"code": "config", "message": str(e)}}, 2
+    finally:
+        release(spark)
     print(json.dumps(out, ensure_ascii=False, indent=2))
     return code
 

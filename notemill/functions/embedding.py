@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from notemill.functions.tokens import SPACE
 
 
+IMAGE_BYTES = 2048  # fixed value: of an image that its vector is made of
+
+
 def ngram_buckets(df: DataFrame, key: str, text: str, dim: int = 1024) -> DataFrame:
     """(key, bucket, n): how often each bucket is hit by an n-gram of the text in lower case without white space.
 
@@ -36,3 +39,9 @@ def ngram_vectors(df: DataFrame, key: str, text: str, dim: int = 1024) -> DataFr
     axis = F.sequence(F.lit(0), F.lit(dim - 1))
     vec = F.transform(axis, lambda i: F.coalesce(F.try_element_at(F.col("m"), i) / norm, F.when(F.col("blank") & (i == 0), 1.0).otherwise(0.0)))
     return whole.select(key, vec.alias("vec"))
+
+
+def image_vectors(df: DataFrame, key: str, content: str, dim: int = 1024) -> DataFrame:
+    """(key, vec): the same of an image's first bytes in hexadecimal digits: a stand-in that knows equal images, nothing of what they show."""
+    digits = F.lower(F.hex(F.substring(F.col(content), 1, IMAGE_BYTES)))
+    return ngram_vectors(df.select(key, digits.alias("digits")), key, "digits", dim)

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notemill.functions.text import IMAGE_EXTENSIONS
 
 
-def scanned(files: DataFrame, exclude: list[str], extensions: list[str], images: list[str]) -> DataFrame:
-    """(path, role) of the files of a vault that count: documents and images, with no excluded name anywhere in their path."""
-    ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
+def role_of(path: Column, exclude: list[str], extensions: list[str], images: list[str]) -> Column:
+    """document, image or null: whether a file of a vault counts, with no excluded name anywhere in its path."""
+    ext = F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
     role = F.when(ext.isin(extensions), "document").when(ext.isin(images), "image")
-    rows = files.where(F.col("path").isNotNull() & ~F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(x) for x in exclude])))
-    return rows.select("path", role.alias("role")).where("role is not null").distinct()
+    return F.when(~F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(x) for x in exclude])), role)
+
+
+def scanned(files: DataFrame, exclude: list[str], extensions: list[str], images: list[str]) -> DataFrame:
+    """(path, role) of the files of a vault that count, each once."""
+    return files.select("path", role_of(F.col("path"), exclude, extensions, images).alias("role")).where("role is not null").distinct()
 
 
 def index_diff(files: DataFrame, notes: DataFrame) -> DataFrame:

@@ -51,6 +51,13 @@ def clean_pages(docs: DataFrame) -> DataFrame:
     return page.groupBy("path").agg(body.alias("text"), F.sum("edges").alias("header_footer"), F.sum("numbers").alias("page_numbers"), F.sum("j.hyphen_joins").alias("hyphen_joins"), F.sum("j.line_joins").alias("line_joins"))
 
 
+def running_headers(docs: DataFrame) -> DataFrame:
+    """(path, header): the first line that at least three pages of docs (path, pages), and half of all, begin with."""
+    first = page_lines(docs).where("top = 0 and pages >= 3").select("path", "pages", strip(F.col("text")).alias("header"))
+    often = first.groupBy("path", "pages", "header").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= 3) & (F.col("n") * 2 >= F.col("pages")))
+    return often.groupBy("path").agg(F.min(F.struct(-F.col("n"), "header")).alias("h")).select("path", "h.header")
+
+
 def pdf_title(metadata: Column, header: Column, text: Column, stem: Column) -> Column:
     """The document's title: its own, unless it is a stand-in; a short running header; the first line if short; the file's name."""
     own = strip(F.coalesce(metadata, F.lit("")))

@@ -85,6 +85,65 @@ def test_text_decoding_and_extract(engine, spark):
     assert docs["tool/SKILL.md"].meta.files == ["scripts/run.py"]
 
 
+def pages_of(pdfs):
+    """A back-end for tests: pages are divided by form feeds; a file that begins with ! can't be read."""
+    from pyspark.sql import functions as F
+
+    text = F.decode("content", "UTF-8")
+    return pdfs.select("path", "content", "mtime", F.when(~text.startswith("!"), F.split(text, "\f")).alias("pages"), F.when(text.startswith("!"), "broken").alias("error"))
+
+
+def test_pdfs_failures_and_images(spark, tmp_path):
+    root = tmp_path / "v"
+    os.makedirs(root)
+    (root / "a.md").write_text("# A\n\n![[p.png]] " + PY)
+    (root / "b.pdf").write_text("\f".join(f"Course Notes\nThe page number {w} has some text of its own that goes on for a while." for w in ("one", "two", "three")))
+    (root / "bad.pdf").write_text("!")
+    (root / "p.png").write_bytes(b"abc" * 99)
+    (root / "q.png").write_bytes(b"abc" * 99)
+    (root / "z[1] {x}.md").write_text("# Z\n\n" + COOK)
+    (root / "tags.yaml").write_text("python: about code\ncooking: ''\n")
+    over = {"vault": str(root), "dim": 256, "tag_list": str(root / "tags.yaml"), "thresholds": {"tag_min": 0.0}}
+    e = Engine(spark, Config(overrides=over), str(tmp_path / "i"), pdf=pages_of, auto=True)
+    notes = {r.path: r for r in e.table("notes").collect()}  # built when first asked
+    assert set(notes) == {"a.md", "b.pdf", "z[1] {x}.md"} and notes["b.pdf"].title == "Course Notes" and notes["b.pdf"].kind == "pdf"
+    assert [tuple(r) for r in e.table("failed").collect()] == [("bad.pdf", "broken")]
+    pictures = {r.path: r for r in e.table("images").collect()}
+    assert set(pictures) == {"p.png", "q.png"} and pictures["p.png"].referenced_by == ["a.md"] and len(pictures["q.png"].vec) == 256
+    assert [(r.a, r.b, r.kind) for r in e.image_pairs().collect()] == [("p.png", "q.png", "image_exact")]
+    assert e.similar(image=spark.createDataFrame([("x", bytearray(b"abc" * 99))], "query string, content binary"), text="t").count() == 2
+    again = e.refresh()
+    assert (again["added"], again["updated"], again["unchanged"], again["failed"], again["notes_total"]) == (0, 0, 3, 1, 3) and again["seconds"] > 0
+    time.sleep(0.05)
+    (root / "b.pdf").write_text("!now broken")  # its old row stays, and it is tried again
+    (root / "bad.pdf").write_text("mended" * 30)
+    (root / "z[1] {x}.md").write_text("# Z\n\n" + COOK + "x")
+    third = e.refresh()
+    assert (third["added"], third["updated"], third["failed"], third["notes_total"]) == (1, 1, 1, 4)
+    assert e.table("notes").where("path = 'b.pdf'").head().title == "Course Notes" and e.table("chunks").where("note = 'b.pdf'").count() > 0
+    assert e.refresh()["failed"] == 1
+    docs = sources.documents(sources.scan_vault(spark, str(root), e.config, ["a.md"]))
+    queries, chunks = e.queries(docs)
+    assert {r.tag for r in e.tags(queries).collect()} == {"python", "cooking"}
+    assert [(r.image, r.target, r.kind) for r in e.dedup_images(e.pictures_of(docs)).collect()] == [("p.png", "q.png", "image_exact")]
+    assert Engine(spark, Config(overrides=over), str(tmp_path / "j")).refresh()["failed"] == 2  # no back-end for PDFs
+
+
+def test_documents_asked_together_answer_as_alone(engine, spark):
+    e, root = engine
+    both = sources.documents(sources.scan_vault(spark, str(root), e.config, ["程式/Python/n0.md", "程式/Python/n1.md"]))
+    alone = []
+    for i in (0, 1):
+        q, c = e.queries(both.where(f"path = '程式/Python/n{i}.md'"))
+        alone.append([e.dedup(q, c), e.redundant(q, c)["cross_vault"], e.redundant(q, c)["ratio"], e.tags(q)])
+    q, c = e.queries(both)
+    together = [e.dedup(q, c), e.redundant(q, c)["cross_vault"], e.redundant(q, c)["ratio"], e.tags(q)]
+    for n, df in enumerate(together):
+        rows = sorted(map(tuple, df.collect()), key=repr)
+        assert rows == sorted((tuple(r) for a in alone for r in a[n].collect()), key=repr)
+        assert rows or n == 3
+
+
 def test_inbox_stream(spark, tmp_path):
     for d in ("in", "out", "cp"):
         os.makedirs(tmp_path / d)

@@ -38,6 +38,32 @@ def test_top_k_and_pairs_match_brute_force(spark):
     assert pairs_above(df.limit(0), 0.9, 16).count() == 0
 
 
+def test_exact_and_two_sided_joins(spark, monkeypatch):
+    from notemill.operators import vector_join
+    from notemill.operators.vector_join import linked, pairs_between, plan_bands
+
+    r = np.random.default_rng(3)
+    x = r.standard_normal((150, 16))
+    x[100:120] = x[0]
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    s = np.round(u @ u.T, 9)
+    df = unit_df(spark, x)
+    monkeypatch.setattr(vector_join, "PAIRED", 40)
+    assert plan_bands(0.1) is None and plan_bands(0.9)
+    for least, exact in ((0.1, False), (0.6, True), (0.9, True)):
+        want = {(f"k{i:03d}", f"k{j:03d}") for i in range(150) for j in range(i + 1, 150) if s[i, j] >= least}
+        got = [(p.a, p.b) for p in pairs_above(df, least, 16, exact).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    left, right = df.where("key < 'k070'"), df.where("key >= 'k050'")
+    for least, exact in ((0.1, False), (0.9, False), (0.9, True)):
+        want = {(f"k{i:03d}", f"k{j:03d}") for i in range(70) for j in range(50, 150) if s[i, j] >= least}
+        got = [(p.left, p.right) for p in pairs_between(left, right, least, 16, exact).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    links, members = linked(df, 0.9, 16)
+    assert members.count() == 150 and members.select("rep").distinct().count() == 130 and links.count() < 200
+    assert pairs_between(left.limit(0), right, 0.9, 16).count() == pairs_between(left, right.limit(0), 0.1, 16).count() == 0
+
+
 T = {"dup": 0.95, "near_dup": 0.85, "contained_ratio": 0.8, "chunk_match": 0.92}
 
 
