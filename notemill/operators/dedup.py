@@ -20,15 +20,6 @@ KINDS = ["exact", "duplicate", "contained_in", "contains", "near_duplicate"]  #
 SIDE = 1024  #: chunks of one note compared at once for evidence
 
 
-def exact_groups(notes: DataFrame) -> DataFrame:
-    """(text_hash, paths, n) of texts that several notes have; paths in order.
-
-    Groups are counted before their paths are gathered, so only repeated hashes are."""
-    h = F.lower("text_hash").alias("text_hash")
-    several = notes.where("text_hash is not null").groupBy(h).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return notes.select("path", h).join(several, "text_hash").groupBy("text_hash", "n").agg(F.sort_array(F.collect_list("path")).alias("paths"))
-
-
 def exact_members(notes: DataFrame) -> DataFrame:
     """(text_hash, path, first): one row per note whose text another note has too, and the group's first path."""
     h = F.lower("text_hash").alias("text_hash")

@@ -15,11 +15,11 @@ from notemill.functions.tokens import tokens
 from notemill.functions.vectors import current_notes, with_unit
 from notemill.operators.changes import ChangeLog, changed_paths
 from notemill.operators.chunking import chunk_texts
-from notemill.operators.dedup import chunk_links, evidence, exact_matches, exact_members, redundant_across, redundant_inside, redundant_ratio, related_notes
-from notemill.operators.folders import classify, note_vectors, profiles, similar, suggest_tags, tag_usage
-from notemill.operators.index import image_referrers, index_diff, index_stats, scanned
-from notemill.operators.pdf import clean_pages
-from notemill.operators.vector_join import pairs_above
+from notemill.operators.dedup import chunk_links, chunk_links_between, evidence, exact_matches, exact_members, redundant_across, redundant_inside, redundant_ratio, related_notes, related_to
+from notemill.operators.folders import classify, note_vectors, profiles, similar, suggest_tags, tag_usage, usable
+from notemill.operators.index import image_referrers, index_diff, index_stats, resolve_images, scanned
+from notemill.operators.pdf import clean_pages, pdf_title
+from notemill.operators.vector_join import pairs_above, pairs_between, top_k
 from notemill.session import materialize, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,15 +65,15 @@ def packed_notes(spark: SparkSession, d: str) -> DataFrame:
     return with_unit(notes_of(spark, d, "text_hash", "vec"), dtype=np.float64)
 
 
-def chunks_of_notes(spark: SparkSession, d: str) -> DataFrame:
-    """Each chunk once."""
+def chunks_of_notes(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """(note, idx, columns...): each chunk once."""
     rows = read_table(spark, d, "chunks").where("note is not null and idx is not null")
-    return rows.groupBy("note", "idx").agg(F.max(F.struct("chunk_id", "heading_path", "text", "tokens", "vec")).alias("c")).select("note", "idx", "c.*")
+    return rows.groupBy("note", "idx").agg(F.max(F.struct("chunk_id", *columns)).alias("c")).select("note", "idx", *[f"c.{c}" for c in columns])
 
 
 def packed_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks with a usable vector of notes with one."""
-    rows = with_unit(chunks_of_notes(spark, d).select("note", "idx", "tokens", "vec"), dtype=np.float64)
+    rows = with_unit(chunks_of_notes(spark, d, "tokens", "vec"), dtype=np.float64)
     return materialize(rows.join(packed_notes(spark, d).select(F.col("path").alias("note")), "note"), "chunks")
 
 
@@ -104,7 +104,7 @@ _WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{20
 @query
 def similar_items(spark: SparkSession, d: str) -> DataFrame:
     queries = items_of(spark, d).where("query % 50 = 0")
-    return similar(queries, notes_of(spark, d, "vec"), chunks_of_notes(spark, d), k=10)
+    return similar(queries, notes_of(spark, d, "vec"), chunks_of_notes(spark, d, "vec"), k=10)
 
 
 SQL["similar_items"] = f"""
@@ -120,8 +120,8 @@ SELECT t.query, t.path, round(t.s, 4) AS score, t.rank, best.idx AS chunk, round
 
 @query
 def note_vector_sums(spark: SparkSession, d: str) -> DataFrame:
-    v = note_vectors(chunks_of_notes(spark, d))
-    return v.select("note", *[F.round(F.col("vec")[i], 6).alias(f"v{i}") for i in (0, 1, 31, 63)])
+    v = note_vectors(chunks_of_notes(spark, d, "tokens", "vec"))
+    return v.select("note", *[F.round(F.col("vec")[i], 6).alias(f"v{i}") for i in range(64)])
 
 
 SQL["note_vector_sums"] = f"""
@@ -130,7 +130,7 @@ c AS (SELECT note, greatest(coalesce(tokens, 1), 1) AS w, {_U} AS u FROM c0 WHER
 e AS (SELECT note, unnest(range(64)) AS i, unnest(list_transform(u, lambda x: x * w)) AS x FROM c),
 s AS (SELECT note, i, sum(x) AS x FROM e GROUP BY note, i),
 z AS (SELECT note, sqrt(sum(x * x)) AS z FROM s GROUP BY note)
-SELECT note, {", ".join(f"round(max(x / z) FILTER (i = {i}), 6) AS v{i}" for i in (0, 1, 31, 63))} FROM s JOIN z USING (note) GROUP BY note
+SELECT note, {", ".join(f"round(max(x / z) FILTER (i = {i}), 6) AS v{i}" for i in range(64))} FROM s JOIN z USING (note) GROUP BY note
 """
 
 
@@ -383,7 +383,7 @@ def frontmatter_tag_lists(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def snippets(spark: SparkSession, d: str) -> DataFrame:
-    return chunks_of_notes(spark, d).where("text is not null").select("note", "idx", snippet(F.col("text")).alias("snippet"))
+    return chunks_of_notes(spark, d, "text").where("text is not null").select("note", "idx", snippet(F.col("text")).alias("snippet"))
 
 
 SQL["snippets"] = f"""WITH c0 AS (SELECT DISTINCT ON (note, idx) note, idx, text FROM chunks WHERE note IS NOT NULL AND idx IS NOT NULL ORDER BY note, idx, chunk_id DESC),
@@ -472,3 +472,138 @@ def image_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 SQL["image_pairs"] = """WITH e AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS u FROM embeddings)
 SELECT x.vec_id AS a, y.vec_id AS b, round(round(list_inner_product(x.u, y.u), 9), 4) AS score FROM e x JOIN e y ON x.vec_id < y.vec_id AND round(list_inner_product(x.u, y.u), 9) >= 0.45"""
+
+
+@query
+def similar_images(spark: SparkSession, d: str) -> DataFrame:
+    """For image vectors (the table of embeddings) whose number is divisible by 50 the ten nearest of all."""
+    rows = with_unit(read_table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vec")), dtype=np.float64)
+    found = top_k(rows.where("key % 50 = 0").withColumnRenamed("key", "query"), rows, 10)
+    return found.select("query", F.col("key").alias("image"), F.round("score", 4).alias("score"), "rank")
+
+
+_E = "e AS (SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS u FROM embeddings)"
+SQL["similar_images"] = f"""WITH {_E}, s AS (SELECT x.vec_id AS query, y.vec_id AS image, round(list_inner_product(x.u, y.u), 9) AS s FROM e x JOIN e y ON x.vec_id % 50 = 0)
+SELECT query, image, round(s, 4) AS score, row_number() OVER (PARTITION BY query ORDER BY s DESC, image) AS rank FROM s QUALIFY rank <= 10"""
+
+
+@query
+def doc_image_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Image vectors of one set (embeddings with a label below 5) that one of another set is like; neither set is held against itself."""
+    rows = with_unit(read_table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), "label", F.col("embedding").alias("vec")), dtype=np.float64)
+    return pairs_between(rows.where("label < 5").select("key", "u"), rows.where("label >= 5").select("key", "u"), 0.40).select("left", "right", F.round("cosine", 4).alias("score"))
+
+
+SQL["doc_image_pairs"] = f"""WITH {_E} SELECT x.vec_id AS "left", y.vec_id AS "right", round(round(list_inner_product(x.u, y.u), 9), 4) AS score
+FROM e x JOIN e y ON x.label < 5 AND y.label >= 5 AND round(list_inner_product(x.u, y.u), 9) >= 0.40"""
+
+
+@query
+def alike_exactly(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of embeddings above a cosine too low for bands: compared in blocks."""
+    rows = with_unit(read_table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vec")), dtype=np.float64)
+    return pairs_above(rows, 0.2).select("a", "b", F.round("cosine", 4).alias("score"))
+
+
+SQL["alike_exactly"] = f"""WITH {_E} SELECT x.vec_id AS a, y.vec_id AS b, round(round(list_inner_product(x.u, y.u), 9), 4) AS score
+FROM e x JOIN e y ON x.vec_id < y.vec_id AND round(list_inner_product(x.u, y.u), 9) >= 0.2"""
+
+
+def _item_chunks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Items of the inbox as documents (path, text_hash, u) of one chunk each (note, idx, u)."""
+    rows = materialize(with_unit(items_of(spark, d).select(F.col("query").cast("string").alias("path"), "text_hash", "vec"), dtype=np.float64), "items")
+    return rows, rows.select(F.col("path").alias("note"), F.lit(0).alias("idx"), F.lit(1).alias("tokens"), "u")
+
+
+@query
+def dedup_docs(spark: SparkSession, d: str) -> DataFrame:
+    """Items of the inbox against the notes and their chunks, all at once."""
+    docs, mine = _item_chunks(spark, d)
+    notes, chunks = materialize(packed_notes(spark, d), "notes"), packed_chunks(spark, d)
+    links = materialize(chunk_links_between(mine, chunks, THRESHOLDS["chunk_match"], 64), "links")
+    return related_to(docs, mine, notes, chunks, links, THRESHOLDS).withColumnRenamed("a", "doc").withColumnRenamed("b", "target")
+
+
+_ITEM = f"{_I}, i AS (SELECT query::VARCHAR AS doc, path, lower(text_hash) AS text_hash, {_U} AS u FROM i0 WHERE {_USABLE})"
+_ITEM_LINKS = "il AS (SELECT i.doc, c.note, c.idx, round(list_inner_product(i.u, c.u), 9) AS s FROM i JOIN c ON round(list_inner_product(i.u, c.u), 9) >= 0.92)"
+SQL["dedup_docs"] = f"""WITH {_N}, {_C}, {_ITEM}, {_ITEM_LINKS},
+m AS (SELECT doc, note, count(DISTINCT idx) AS n_j FROM il GROUP BY doc, note),
+near AS (SELECT i.doc, n.path AS note FROM i JOIN n ON round(list_inner_product(i.u, n.u), 9) >= 0.85),
+cand AS (SELECT doc, note FROM m UNION SELECT doc, note FROM near),
+k AS (SELECT note, count(*) AS n FROM c GROUP BY note),
+r AS (SELECT cand.doc, cand.note, round(list_inner_product(i.u, n.u), 9) AS s, CASE WHEN n_j IS NULL THEN 0.0 ELSE 1.0 END AS x, coalesce(n_j / k.n, 0) AS y
+  FROM cand LEFT JOIN m ON m.doc = cand.doc AND m.note = cand.note JOIN i ON i.doc = cand.doc JOIN n ON n.path = cand.note LEFT JOIN k ON k.note = cand.note WHERE i.text_hash IS NULL OR n.text_hash IS NULL OR i.text_hash <> n.text_hash),
+kinds AS (SELECT doc, note AS target, CASE WHEN s >= 0.95 THEN 'duplicate' WHEN x >= 0.8 AND y < 0.8 THEN 'contained_in' WHEN y >= 0.8 AND x < 0.8 THEN 'contains' WHEN x >= 0.8 AND y >= 0.8 THEN 'duplicate' WHEN s >= 0.85 THEN 'near_duplicate' END AS kind,
+  round(s, 4) AS score, round(x, 4) AS a_in_b, round(y, 4) AS b_in_a FROM r)
+SELECT * FROM kinds WHERE kind IS NOT NULL"""
+
+
+@query
+def doc_redundancy(spark: SparkSession, d: str) -> DataFrame:
+    """For each item of the inbox the best matching chunk of another note than its own, from a cosine of 0.6."""
+    _, mine = _item_chunks(spark, d)
+    links = chunk_links_between(mine, packed_chunks(spark, d), 0.6, 64)
+    own = items_of(spark, d).select(F.col("query").cast("string").alias("doc"), F.col("path").alias("own"))
+    best = links.join(own, "doc").where("not (note <=> own)").groupBy("doc").agg(F.min(F.struct((-F.col("cosine")).alias("s"), "note", "j")).alias("m"))
+    return best.select("doc", F.round(-F.col("m.s"), 4).alias("score"), F.col("m.note").alias("found_in"), F.col("m.j").alias("found_chunk"))
+
+
+SQL["doc_redundancy"] = f"""WITH {_N}, {_C}, {_ITEM}, {_ITEM_LINKS.replace("0.92", "0.6")}
+SELECT doc, round(s, 4) AS score, note AS found_in, idx AS found_chunk FROM il JOIN i USING (doc) WHERE note IS DISTINCT FROM i.path QUALIFY row_number() OVER (PARTITION BY doc ORDER BY s DESC, note, idx) = 1"""
+
+
+@query
+def resolved_images(spark: SparkSession, d: str) -> DataFrame:
+    """Where the images that notes show are, among all names and paths of images that are known."""
+    images = read_table(spark, d, "extracted").where("path is not null").select(F.col("path").alias("note"), F.explode("images").alias("i"))
+    names = images.where("i.name is not null").select("note", "i.name").distinct()
+    return resolve_images(names, images.select(F.coalesce("i.path", F.concat(F.lit("attachments/"), "i.name")).alias("path")).distinct())
+
+
+SQL["resolved_images"] = r"""WITH i0 AS (SELECT path AS note, unnest(images) AS i FROM extracted WHERE path IS NOT NULL),
+f AS (SELECT DISTINCT coalesce(i.path, 'attachments/' || i.name) AS path FROM i0), g AS (SELECT path FROM f WHERE regexp_matches(lower(path), '\.(png|jpg|jpeg|webp|gif|bmp|svg)$')),
+r AS (SELECT DISTINCT note, i.name AS name FROM i0 WHERE i.name IS NOT NULL AND NOT regexp_matches(i.name, '(?i)^[a-z]+://')),
+w AS (SELECT *, regexp_extract(note, '^(.*/)[^/]*$', 1) || url_decode(trim(name)) AS near, url_decode(trim(name)) AS want, regexp_extract(url_decode(trim(name)), '([^/]*)$', 1) AS base FROM r),
+b AS (SELECT regexp_extract(path, '([^/]*)$', 1) AS base, min(path) AS path FROM g GROUP BY 1)
+SELECT note, name, coalesce(n.path, h.path, b.path) AS path FROM w LEFT JOIN g n ON n.path = near LEFT JOIN g h ON h.path = want LEFT JOIN b ON b.base = w.base"""
+
+
+@query
+def paged_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Titles by the rules for PDFs: of each document, with its title as that of the file."""
+    name = F.regexp_replace(F.regexp_extract("path", r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
+    return docs_of(spark, d).where("text is not null").select("path", pdf_title(F.col("title"), F.lit(""), F.col("text"), name).alias("title"))
+
+
+SQL["paged_titles"] = rf"""WITH {_D}, t AS (SELECT path, text, regexp_replace(regexp_replace(coalesce(title, ''), '^{_WS}+', ''), '{_WS}+$', '') AS own,
+  regexp_replace(regexp_replace(regexp_extract(text, '(?:^|
+)([^
+]*\S[^
+]*)', 1), '^{_WS}+', ''), '{_WS}+$', '') AS line, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '(.)\.[^.]*$', '\1') AS stem FROM d WHERE text IS NOT NULL)
+SELECT path, CASE WHEN own <> '' AND NOT regexp_matches(own, '(?i)^(untitled|microsoft (word|powerpoint))|\.(docx?|pdf)$') THEN own WHEN length(line) BETWEEN 1 AND 79 THEN line ELSE stem END AS title FROM t"""
+
+
+@query
+def note_vectors_with_heads(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of notes from their chunks and heads; the vector of a note's row stands for its head."""
+    heads = notes_of(spark, d, "vec").select(F.col("path").alias("note"), "vec")
+    heads = heads.where(usable(F.col("vec"), 64))
+    v = note_vectors(chunks_of_notes(spark, d, "tokens", "vec"), heads)
+    return v.select("note", *[F.round(F.col("vec")[i], 6).alias(f"v{i}") for i in range(64)])
+
+
+SQL["note_vectors_with_heads"] = f"""
+WITH {_CUR}, c0 AS (SELECT DISTINCT ON (note, idx) note, idx, tokens, vec FROM chunks WHERE note IS NOT NULL AND idx IS NOT NULL ORDER BY note, idx, chunk_id DESC),
+c AS (SELECT note, greatest(coalesce(tokens, 1), 1) AS w, {_U} AS u FROM c0 WHERE {_USABLE}),
+e AS (SELECT note, unnest(range(64)) AS i, unnest(list_transform(u, lambda x: x * w)) AS x FROM c), s AS (SELECT note, i, sum(x) AS x FROM e GROUP BY note, i),
+z AS (SELECT note, sqrt(sum(x * x)) AS z FROM s GROUP BY note), h AS (SELECT path AS note, unnest(range(64)) AS i, unnest({_U}) AS x FROM cur WHERE {_USABLE}),
+b AS (SELECT note, i, sum(x) AS x FROM (SELECT note, i, x / z AS x FROM s JOIN z USING (note) UNION ALL SELECT note, i, x FROM h) GROUP BY note, i),
+y AS (SELECT note, sqrt(sum(x * x)) AS z FROM b GROUP BY note)
+SELECT note, {", ".join(f"round(max(x / z) FILTER (i = {i}), 6) AS v{i}" for i in range(64))} FROM b JOIN y USING (note) GROUP BY note"""
+
+
+SQL["frontmatter_tag_lists"] = rf"""WITH {_D},
+v AS (SELECT path, CASE WHEN coalesce(t, '') NOT IN ('', '[]', 'null', 'false', '0') THEN t WHEN coalesce(g, '') NOT IN ('', '[]', 'null', 'false', '0') THEN g END AS raw
+  FROM (SELECT path, CASE WHEN json_valid(frontmatter) THEN frontmatter ->> '$.tags' END AS t, CASE WHEN json_valid(frontmatter) THEN frontmatter ->> '$.tag' END AS g FROM d WHERE frontmatter IS NOT NULL)),
+l AS (SELECT path, CASE WHEN raw LIKE '[%' THEN from_json(raw, '["VARCHAR"]') ELSE regexp_split_to_array(raw, '[,\s]+') END AS tags FROM v)
+SELECT path, coalesce(array_to_string(list_filter(list_transform(tags, lambda x: regexp_replace(trim(x), '^#+', '')), lambda x: x <> ''), '|'), '') AS tags FROM l"""

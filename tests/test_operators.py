@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from notemill.functions.vectors import with_unit
 from notemill.operators import chunking, linkage
 from notemill.operators.changes import ChangeLog, changed_paths
-from notemill.operators.dedup import chunk_links, evidence, exact_groups, redundant_across, redundant_inside, redundant_ratio, related_notes
+from notemill.operators.dedup import chunk_links, evidence, exact_members, redundant_across, redundant_inside, redundant_ratio, related_notes
 from notemill.operators.folders import classify, note_vectors, profiles, similar, suggest_tags
 from notemill.operators.index import image_referrers, index_diff, index_stats, resolve_images, scanned
 from notemill.operators.pdf import clean_pages
@@ -73,7 +73,7 @@ def test_dedup_kinds_evidence_and_redundancy(spark):
     chunks = [("a", 0, 3, e[0]), ("a", 1, 1, e[1]), ("b", 0, 2, e[0]), ("b", 1, 2, e[1]), ("c", 0, 5, e[3]), ("c", 1, 5, e[3]), ("e", 0, 1, e[3]), ("e", 1, 9, e[4]), ("e", 2, 1, e[6])]
     n = with_unit(spark.createDataFrame([(p, h, v.tolist()) for p, h, v in notes], "path string, text_hash string, vec array<double>"), dim=8, dtype=np.float64)
     c = with_unit(spark.createDataFrame([(p, i, t, v.tolist()) for p, i, t, v in chunks], "note string, idx int, tokens int, vec array<double>"), dim=8, dtype=np.float64)
-    assert [tuple(r.paths) for r in exact_groups(n).collect()] == [("a", "d")]
+    assert sorted((r.path, r.first) for r in exact_members(n).collect()) == [("a", "a"), ("d", "a")]
     links = chunk_links(c, T["chunk_match"], 8)
     got = {(r.a, r.b): (r.kind, r.a_in_b, r.b_in_a) for r in related_notes(n, c, links, T, 8).collect()}
     assert got == {("a", "b"): ("duplicate", 1.0, 1.0), ("b", "d"): ("duplicate", 0.0, 0.0), ("c", "e"): ("contained_in", 1.0, 0.3333)}
