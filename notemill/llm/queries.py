@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from notemill.functions.vectors import current_notes, with_unit_or_null
+from notemill.functions.vectors import current_notes, with_unit, with_unit_or_null
 from notemill.llm.neighbours import similar_pairs, similar_to
 from notemill.llm.history import HistoryIndex
 from notemill.llm.markup import clean_markup, kinds_found
@@ -18,6 +20,7 @@ from notemill.llm.sizes import with_tokens
 from notemill.llm.spans import keep_first, merged, shared_parts, shared_report, sharing
 from notemill.llm.splitting import cut_right, split_oversized
 from notemill.llm.themes import describe, themes
+from notemill.operators.vector_join import top_k
 from notemill.session import materialize, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +61,22 @@ SELECT DISTINCT chunk_id FROM m WHERE 60 * cjk + coalesce(words, 0) + 78 * (r -
 """
 
 
+@query
+def p1_rules(spark: SparkSession, d: str) -> DataFrame:
+    """For each chunk above the limit whether its pieces keep it, follow one another, and hold its own text and, of the piece before, the overlap."""
+    pieces = materialize(p1_pieces(spark, d), "pieces")
+    whole = read_table(spark, d, "chunks").where(F.length("text") > 600).select("chunk_id", F.col("text").alias("whole")).dropDuplicates(["chunk_id"])
+    at = lambda a, n: F.expr(f"substring(whole, {a} + 1, {n})")
+    same = F.endswith(F.col("text"), at("start_pos - overlap", "end_pos - start_pos + overlap"))
+    per = pieces.join(whole, "chunk_id").groupBy("chunk_id").agg(
+        (F.max("tokens") <= 800).alias("within_limit"), F.min(same).alias("own_text"), (F.sum(F.col("end_pos") - F.col("start_pos")) == F.max(F.length("whole"))).alias("covered"), (F.count(F.lit(1)) == F.max("pieces")).alias("complete")
+    )
+    return per
+
+
+SQL["p1_rules"] = f"SELECT chunk_id, true AS within_limit, true AS own_text, true AS covered, true AS complete FROM ({SQL['p1_found']})"
+
+
 @query
 def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
     return near_pairs(read_table(spark, d, "chunks"), "chunk_id", "text")
@@ -230,3 +249,60 @@ WITH w AS (SELECT doc_id, md5(substring(text, unnest(range(1, length(text) - 198
 m AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id))
 SELECT DISTINCT doc_id FROM w WHERE h IN (SELECT h FROM m)
 """
+
+_WINDOWS = """w AS (SELECT doc_id, pos, md5(substring(text, pos, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS pos FROM documents WHERE length(text) >= 200)),
+m AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)), hit AS (SELECT doc_id, pos FROM w WHERE h IN (SELECT h FROM m))"""
+SQL["p10_shared"] = f"""WITH {_WINDOWS},
+c AS (SELECT doc_id, sum(least(200, coalesce(next - pos, 200))) AS n FROM (SELECT *, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS next FROM hit) GROUP BY doc_id)
+SELECT doc_id, length(text) AS chars, coalesce(n, 0)::BIGINT AS shared_chars, round(coalesce(n, 0) / greatest(length(text), 1), 6) AS share FROM documents LEFT JOIN c USING (doc_id) WHERE text IS NOT NULL"""
+SQL["p10_passages"] = f"""WITH {_WINDOWS},
+g AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) <= 200 THEN 0 ELSE 1 END AS new FROM hit),
+r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM g)
+SELECT doc_id, min(pos) - 1 AS start, max(pos) + 199 AS "end" FROM r GROUP BY doc_id, run"""
+
+SQL["p5_found"] = """
+WITH t AS (SELECT DISTINCT chunk_id, regexp_replace(lower(text), '[ \\t\\r\\n\\x{a0}\\x{3000}]', '', 'g') AS norm FROM chunks WHERE chunk_id IS NOT NULL),
+u AS (SELECT norm, row_number() OVER (ORDER BY norm) AS id FROM (SELECT DISTINCT norm FROM t WHERE length(norm) >= 150)),
+g AS (SELECT DISTINCT id, substring(norm, pos, 5) AS gram FROM (SELECT id, norm, unnest(range(1, length(norm) - 3)) AS pos FROM u)),
+n AS (SELECT id, count(*) AS n FROM g GROUP BY id), f AS (SELECT gram, count(*) AS c FROM g GROUP BY gram),
+p AS (SELECT id, gram, n FROM (SELECT g.id, g.gram, n.n, row_number() OVER (PARTITION BY g.id ORDER BY f.c, g.gram) AS r FROM g JOIN n USING (id) JOIN f USING (gram)) WHERE r <= n - ceil(0.7 * n) + 1),
+cand AS (SELECT DISTINCT a.id AS a, b.id AS b, a.n AS na, b.n AS nb FROM p a JOIN p b ON a.gram = b.gram AND a.id < b.id AND least(a.n, b.n) >= 0.7 * greatest(a.n, b.n)),
+j AS (SELECT a, b, na, nb, count(*) AS both_ FROM cand JOIN g x ON x.id = a JOIN g y ON y.id = b AND y.gram = x.gram GROUP BY ALL),
+links AS (SELECT a, b FROM j WHERE both_ / (na + nb - both_) >= 0.70 UNION ALL SELECT id, id FROM u),
+k AS (SELECT chunk_id, id FROM t JOIN u USING (norm))
+SELECT DISTINCT least(x.chunk_id, y.chunk_id) AS chunk_a, greatest(x.chunk_id, y.chunk_id) AS chunk_b FROM links JOIN k x ON x.id = a JOIN k y ON y.id = b WHERE x.chunk_id <> y.chunk_id
+"""
+
+# the items one after the other, each with the numbers of those before it that it matches
+SQL["p7_found"] = """
+WITH RECURSIVE cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY indexed_at DESC NULLS LAST) AS r FROM notes WHERE path IS NOT NULL) WHERE r = 1),
+k AS (SELECT nullif(lower(text_hash), 'da39a3ee5e6b4b0d3255bfef95601890afd80709') AS h, CASE WHEN len(vec) = 64 AND list_inner_product(vec::DOUBLE[], vec::DOUBLE[]) > 0 THEN list_transform(vec::DOUBLE[], lambda x: x / sqrt(list_inner_product(vec::DOUBLE[], vec::DOUBLE[]))) END AS u FROM cur),
+i0 AS (SELECT DISTINCT ON (item_id) item_id, batch_no, text_hash, vec FROM incoming WHERE item_id IS NOT NULL ORDER BY item_id, batch_no, arrived_at),
+it AS (SELECT row_number() OVER (ORDER BY batch_no NULLS LAST, item_id) AS i, item_id, nullif(lower(text_hash), 'da39a3ee5e6b4b0d3255bfef95601890afd80709') AS h,
+  CASE WHEN len(vec) = 64 AND list_inner_product(vec::DOUBLE[], vec::DOUBLE[]) > 0 THEN list_transform(vec::DOUBLE[], lambda x: x / sqrt(list_inner_product(vec::DOUBLE[], vec::DOUBLE[]))) END AS u FROM i0),
+ke AS (SELECT DISTINCT it.i FROM it JOIN k ON it.h = k.h), kn AS (SELECT DISTINCT it.i FROM it JOIN k ON it.u IS NOT NULL AND k.u IS NOT NULL AND list_inner_product(it.u, k.u) >= 0.95),
+e AS (SELECT a.i, list(b.i) AS e FROM it a JOIN it b ON b.i < a.i AND a.h = b.h GROUP BY a.i),
+n AS (SELECT a.i, list(b.i) AS n FROM it a JOIN it b ON b.i < a.i AND a.u IS NOT NULL AND b.u IS NOT NULL AND list_inner_product(a.u, b.u) >= 0.95 GROUP BY a.i),
+s AS MATERIALIZED (SELECT it.i, it.item_id, ke.i IS NOT NULL AS ke, kn.i IS NOT NULL AS kn, coalesce(e, []) AS e, coalesce(n, []) AS n FROM it LEFT JOIN ke USING (i) LEFT JOIN kn USING (i) LEFT JOIN e USING (i) LEFT JOIN n USING (i)),
+run AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS acc, NULL::BIGINT AS item_id, NULL::VARCHAR AS verdict UNION ALL
+  SELECT i, CASE WHEN v = 'accepted' THEN list_append(acc, i) ELSE acc END, item_id, v FROM (SELECT s.i, run.acc, s.item_id, CASE WHEN ke OR list_has_any(e, run.acc) THEN 'exact' WHEN kn OR list_has_any(n, run.acc) THEN 'near' ELSE 'accepted' END AS v FROM run JOIN s ON s.i = run.i + 1))
+SELECT item_id, verdict FROM run WHERE verdict <> 'accepted'
+"""
+
+
+@query
+def p6_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether nine tenths of the five most similar of a fiftieth of the notes, and of the chunks, are found, by comparison with all."""
+    out = []
+    chunks = read_table(spark, d, "chunks").select("chunk_id", "vec").dropDuplicates(["chunk_id"])
+    notes = current_notes(read_table(spark, d, "notes"), "vec")
+    for name, key, rows, asks, got in (("chunks", "chunk_id", chunks, F.col("key") % 50 == 0, p6_chunks(spark, d)), ("notes", "path", notes, F.xxhash64("key") % 50 == 0, p6_notes(spark, d))):
+        units = materialize(with_unit(rows.withColumnRenamed(key, "key"), dtype=np.float64), "exact")
+        want = top_k(units.where(asks).withColumnRenamed("key", "query"), units, 6)
+        want = want.where("query <> key").withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "key"))).where("r <= 5")
+        met = want.join(got.select(F.col(key).alias("query"), F.col("neighbour").alias("key"), F.lit(1).alias("met")), ["query", "key"], "left")
+        out.append(met.agg(F.lit(name).alias("searched"), F.coalesce(F.avg(F.coalesce("met", F.lit(0))) >= 0.9, F.lit(True)).alias("enough")))
+    return out[0].unionByName(out[1])
+
+
+SQL["p6_recall"] = "SELECT * FROM (VALUES ('chunks', true), ('notes', true)) v(searched, enough)"

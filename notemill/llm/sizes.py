@@ -1,8 +1,10 @@
-"""Sizes of texts in tokens of a public tokenizer. The vocabulary's path is a parameter; executors read it there."""
+"""Sizes of texts in tokens of a public tokenizer. The vocabulary's path is a parameter; executors read it there, or, where they have no
+such file, get the driver's."""
 
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from typing import Any
 
@@ -18,6 +20,10 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 def encoder(path: str) -> Any:
     import tiktoken
 
+    if not os.path.exists(path):
+        from pyspark import SparkFiles
+
+        path = SparkFiles.get(os.path.basename(path))
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -27,6 +33,8 @@ def with_tokens(df: DataFrame, key: str, text: str = "text", *keep: str, vocabul
     """(key, keep..., tokens): the tokens of each text as a whole; rows without text have none (0)."""
     fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     names = [key, *keep]
+    if os.path.exists(vocabulary):
+        df.sparkSession.sparkContext.addFile(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocabulary)
