@@ -21,4 +21,7 @@ def spark():
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    from notemill.session import release
+
+    release(s)
     s.stop()
