@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from typing import Any
 
 import numpy as np
@@ -50,12 +51,23 @@ class NgramEmbedder:
         return image_vectors(df, key, content, self.dim)
 
 
+#: back-ends by the name in the setting backend; each is made of the settings. Add others here, or give the engine an object
+EMBEDDERS: dict[str, Callable[[Config], Any]] = {"ngrams": lambda config: NgramEmbedder(config["dim"])}
+
+
+def embedder_of(config: Config) -> Any:
+    """The back-end that the settings name."""
+    if config["backend"] not in EMBEDDERS:
+        raise EngineError("bad_args", f"there is no back-end {config['backend']!r}, but {', '.join(sorted(EMBEDDERS))}")
+    return EMBEDDERS[config["backend"]](config)
+
+
 class Engine:
     def __init__(self, spark: SparkSession, config: Config, index: str, embedder: Any = None, pdf: Any = None, auto: bool = False) -> None:
         """embedder: the back-end of vectors; pdf: that of PDFs' pages (see sources.vault); auto: an empty index is built when first asked."""
         self.pdf, self.auto = pdf, auto
         self.spark, self.config, self.index = spark, config, Snapshots(spark, index)
-        self.embedder = embedder or NgramEmbedder(config["dim"])
+        self.embedder = embedder or embedder_of(config)
         self.t = config["thresholds"]
 
     # building

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from notemill.functions.tokens import CJK, CJK_UNITS, SYMBOL_UNITS, UNITS, WORD_CHAR_UNITS, WORD_UNITS
 
+# fixed values: words, CJK characters and symbols, as the estimate defines them, and the ends of sentences
 _PART = re.compile(rf"([A-Za-z0-9_]+)|([{CJK}])|([^\s{CJK}A-Za-z0-9_])")
 _SENTENCE_END = re.compile(r"[。！？!?；;\n]|\.(?=\s)")
 _MARKS = ("```", "~~~")  # fixed values: what opens and closes code

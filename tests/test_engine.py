@@ -144,6 +144,33 @@ def test_documents_asked_together_answer_as_alone(engine, spark):
         assert rows or n == 3
 
 
+def test_settings_and_back_ends(tmp_path, monkeypatch):
+    from notemill.api import EMBEDDERS, embedder_of
+    from notemill.config import DEFAULTS, overlaid
+
+    base = {"a": {"b": 1, "c": {"d": [1]}}, "e": 2, "g": {"h": 1}}
+    assert overlaid(base, {"a": {"c": {"x": 3}, "b": {"y": 1}}, "g": 5}, None, {"e": {}}) == {"a": {"b": {"y": 1}, "c": {"d": [1], "x": 3}}, "e": {}, "g": 5}
+    over = overlaid(base, {"a": {"c": {}}})
+    assert over == base and over["a"]["c"]["d"] is not base["a"]["c"]["d"]
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.delenv("NOTEMILL_CONFIG", raising=False)
+    assert Config().data == DEFAULTS
+    (tmp_path / "notemill.json").write_text('{"dim": 32, "thresholds": {"dup": 0.9}}')
+    assert Config()["dim"] == 32 and Config().threshold("dup") == 0.9 and Config().threshold("near_dup") == 0.85
+    (tmp_path / "other.yaml").write_text("dim: 16")
+    assert Config(overrides={"dim": 8})["dim"] == 8 and Config("other.yaml")["dim"] == 16
+    monkeypatch.setenv("NOTEMILL_CONFIG", "other.yaml")
+    assert Config()["dim"] == 16 and embedder_of(Config()).dim == 16
+    with pytest.raises(FileNotFoundError):
+        Config("missing.yaml")
+    with pytest.raises(ValueError):
+        Config().vault
+    with pytest.raises(EngineError):
+        embedder_of(Config(overrides={"backend": "other"}))
+    monkeypatch.setitem(EMBEDDERS, "other", lambda config: config["dim"])
+    assert embedder_of(Config(overrides={"backend": "other"})) == 16
+
+
 def test_inbox_stream(spark, tmp_path):
     for d in ("in", "out", "cp"):
         os.makedirs(tmp_path / d)
