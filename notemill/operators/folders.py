@@ -100,8 +100,9 @@ def classify(queries: DataFrame, notes: DataFrame, described: DataFrame, skip: l
 
     A query that is itself a note of a folder is held against that folder without it."""
     centroids = materialize(folder_centroids(notes, described, skip, dim), "centroids")
-    q = with_unit(queries.select("query", "path", "vec"), dim=dim, dtype=np.float64)
-    base = with_unit(centroids.select(F.col("folder").alias("key"), "vec"), dim=dim, dtype=np.float64)
+    queries = materialize(queries.select("query", "path", "vec"), "queries")
+    q = materialize(with_unit(queries.select("query", "vec"), dim=dim, dtype=np.float64), "asked")
+    base = materialize(with_unit(centroids.select(F.col("folder").alias("key"), "vec"), dim=dim, dtype=np.float64), "folders")
     found = top_k(q.select("query", "u"), base, k + 1, dim).select("query", F.col("key").alias("folder"), "score").join(centroids.select("folder", "n"), "folder")
     # its own folder, scored without the query: with fewer notes left it may come to lean on the description
     own = queries.select("query", "path", F.col("vec").alias("mine")).join(notes.select("path", "folder"), "path").join(centroids.drop("vec"), "folder")
@@ -161,7 +162,7 @@ def suggest_tags(queries: DataFrame, notes: DataFrame, listed: DataFrame | None,
     own = queries.select("query", "path", F.col("vec").alias("mine")).join(used.withColumnRenamed("vec", "v"), "path").where(usable(F.col("v"), dim)).join(by_use.withColumnRenamed("vec", "total"), "tag") if "path" in queries.columns else None
     most = own.groupBy("query").count().agg(F.max("count")).head()[0] or 0 if own is not None else 0
     # a tag has two vectors at most, so its better one is among the first 2k, but for those that are taken out
-    found = top_k(with_unit(queries.select("query", "vec"), dim=dim, dtype=np.float64), base, 2 * k + most, dim)
+    found = top_k(materialize(with_unit(queries.select("query", "vec"), dim=dim, dtype=np.float64), "asked"), base, 2 * k + most, dim)
     parts = F.split("key", SOURCE)
     found = found.select("query", parts[0].alias("tag"), parts[1].alias("source"), "score")
     if own is not None:
@@ -196,8 +197,9 @@ def similar(queries: DataFrame, notes: DataFrame, chunks: DataFrame, k: int = 10
     """(query, path, score, rank, chunk, chunk_score) for queries (query, path, vec): the nearest notes, and of each its nearest chunk.
 
     The query itself is left out, and so are notes with a negative cosine, after the k best are found."""
-    q = with_unit(queries.select("query", "vec"), dim=dim, dtype=np.float64)
-    found = top_k(q, with_unit(notes.select(F.col("path").alias("key"), "vec"), dim=dim, dtype=np.float64), k + 1, dim)
+    q = materialize(with_unit(queries.select("query", "vec"), dim=dim, dtype=np.float64), "asked")
+    base = materialize(with_unit(notes.select(F.col("path").alias("key"), "vec"), dim=dim, dtype=np.float64), "notes")
+    found = top_k(q, base, k + 1, dim)
     own = queries.select("query", F.col("path").alias("own"))
     found = found.join(own, "query").where("not (key <=> own)")
     w = Window.partitionBy("query").orderBy(F.col("score").desc(), "key")
