@@ -95,7 +95,7 @@ def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, least: float,
             yield b.select(["x", "y", "old"]).filter(pa.array((u * v).sum(axis=1) >= least))
 
     got = pairs.join(left.select(F.col("ref").alias("x"), "u"), "x").join(right.select(F.col("ref").alias("y"), F.col("u").alias("v")), "y")
-    return got.select("x", "y", "old", "u", "v").mapInArrow(cosine, "x bigint, y bigint, old boolean").distinct()
+    return got.select("x", "y", "old", "u", "v").mapInArrow(cosine, "x bigint, y bigint, old boolean")
 
 
 def usable_hash(h: Column) -> Column:
@@ -251,13 +251,13 @@ class HistoryIndex:
         own = base.where("u is not null").groupBy("ref").agg(F.first("u").alias("u"))
         asked = hits.where("old").select(F.col("y").alias("ref"))
         of = self.vectors(asked, rows).join(asked, "ref", "left_semi")
-        both = of.unionByName(own.join(hits.where("not old").select(F.col("y").alias("ref")), "ref", "left_semi")).distinct()
+        both = of.unionByName(own.join(hits.where("not old").select(F.col("y").alias("ref")), "ref", "left_semi"))  # a ref of both is compared twice
         found = verified(hits, own, both, self.least, self.dim)
         verdicts = new_path(self.spark, "verdicts")
         (self._in_turn(base, seen, found) if rows <= AT_ONCE else self._settle(base, seen, found)).write.parquet(verdicts)
         if append:
             new = self.spark.read.parquet(verdicts).where("verdict = 'accepted'").select("key").join(base.select("key", "text_hash", "u", "ref"), "key")
-            names = new.select("ref", F.lit(None).cast("string").alias("h")).where("ref is not null").unionByName(new.select(F.lit(0).cast("bigint").alias("ref"), F.col("text_hash").alias("h")).where("h is not null")).distinct()
+            names = new.select("ref", F.lit(None).cast("string").alias("h")).where("ref is not null").unionByName(new.select(F.lit(0).cast("bigint").alias("ref"), F.col("text_hash").alias("h")).where("h is not null"))
             names = names.select(F.col("ref").alias("r"), F.col("h").alias("g"))
             self.append(new.select("text_hash", "u"), keys.join(names, (F.col("ref") == F.col("r")) & F.col("h").eqNullSafe(F.col("g")), "left_semi"), rows)
         return verdicts
