@@ -7,6 +7,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from notemill.config import DEFAULTS
 from notemill.functions.embedding import ngram_buckets
@@ -607,3 +608,21 @@ v AS (SELECT path, CASE WHEN coalesce(t, '') NOT IN ('', '[]', 'null', 'false',
   FROM (SELECT path, CASE WHEN json_valid(frontmatter) THEN frontmatter ->> '$.tags' END AS t, CASE WHEN json_valid(frontmatter) THEN frontmatter ->> '$.tag' END AS g FROM d WHERE frontmatter IS NOT NULL)),
 l AS (SELECT path, CASE WHEN raw LIKE '[%' THEN from_json(raw, '["VARCHAR"]') ELSE regexp_split_to_array(raw, '[,\s]+') END AS tags FROM v)
 SELECT path, coalesce(array_to_string(list_filter(list_transform(tags, lambda x: regexp_replace(trim(x), '^#+', '')), lambda x: x <> ''), '|'), '') AS tags FROM l"""
+
+
+@query
+def chunk_rules(spark: SparkSession, d: str) -> DataFrame:
+    """For each text that isn't blank whether its chunks are numbered from 0, none above the greatest size, and lie within it in order."""
+    docs = docs_of(spark, d).where("text is not null").select("path", "text")
+    size = DEFAULTS["chunk"]
+    chunks = materialize(chunk_texts(docs, "path", "text", size["min_tokens"], size["max_tokens"], size["hard_max"]), "chunks")
+    # a heading line comes on top of what is packed
+    chunks = chunks.withColumn("before", F.lag("start_pos").over(Window.partitionBy("path").orderBy("idx")))
+    inside = (F.col("start_pos") < F.col("end_pos")) & (F.coalesce("before", F.lit(-1)) < F.col("start_pos"))
+    per = chunks.groupBy("path").agg((F.count(F.lit(1)) == F.max("idx") + 1).alias("numbered"), (F.max("tokens") <= size["hard_max"] + size["max_tokens"]).alias("sized"), F.min(inside).alias("in_order"), F.max("end_pos").alias("end"))
+    return per.join(docs, "path").select("path", "numbered", "sized", "in_order", (F.col("end") <= F.length("text")).alias("inside"))
+
+
+# a text of nothing but headings has no chunk
+SQL["chunk_rules"] = rf"""WITH {_D} SELECT path, true AS numbered, true AS sized, true AS in_order, true AS inside FROM d
+WHERE text IS NOT NULL AND regexp_matches(regexp_replace(text, '(?m)^#{{1,6}}[ \t]+\S[^\n]*$', '', 'g'), '[^\s\x{{a0}}\x{{3000}}]')"""
