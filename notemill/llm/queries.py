@@ -260,34 +260,38 @@ g AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos)
 r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM g)
 SELECT doc_id, min(pos) - 1 AS start, max(pos) + 199 AS "end" FROM r GROUP BY doc_id, run"""
 
-SQL["p5_found"] = """
-WITH t AS (SELECT DISTINCT chunk_id, regexp_replace(lower(text), '[ \\t\\r\\n\\x{a0}\\x{3000}]', '', 'g') AS norm FROM chunks WHERE chunk_id IS NOT NULL),
+_GRAMS = """WITH t AS (SELECT DISTINCT chunk_id, regexp_replace(lower(text), '[ \\t\\r\\n\\x{a0}\\x{3000}]', '', 'g') AS norm FROM chunks WHERE chunk_id IS NOT NULL),
 u AS (SELECT norm, row_number() OVER (ORDER BY norm) AS id FROM (SELECT DISTINCT norm FROM t WHERE length(norm) >= 150)),
 g AS (SELECT DISTINCT id, substring(norm, pos, 5) AS gram FROM (SELECT id, norm, unnest(range(1, length(norm) - 3)) AS pos FROM u)),
 n AS (SELECT id, count(*) AS n FROM g GROUP BY id), f AS (SELECT gram, count(*) AS c FROM g GROUP BY gram),
 p AS (SELECT id, gram, n FROM (SELECT g.id, g.gram, n.n, row_number() OVER (PARTITION BY g.id ORDER BY f.c, g.gram) AS r FROM g JOIN n USING (id) JOIN f USING (gram)) WHERE r <= n - ceil(0.7 * n) + 1),
 cand AS (SELECT DISTINCT a.id AS a, b.id AS b, a.n AS na, b.n AS nb FROM p a JOIN p b ON a.gram = b.gram AND a.id < b.id AND least(a.n, b.n) >= 0.7 * greatest(a.n, b.n)),
 j AS (SELECT a, b, na, nb, count(*) AS both_ FROM cand JOIN g x ON x.id = a JOIN g y ON y.id = b AND y.gram = x.gram GROUP BY ALL),
-links AS (SELECT a, b FROM j WHERE both_ / (na + nb - both_) >= 0.70 UNION ALL SELECT id, id FROM u),
-k AS (SELECT chunk_id, id FROM t JOIN u USING (norm))
-SELECT DISTINCT least(x.chunk_id, y.chunk_id) AS chunk_a, greatest(x.chunk_id, y.chunk_id) AS chunk_b FROM links JOIN k x ON x.id = a JOIN k y ON y.id = b WHERE x.chunk_id <> y.chunk_id
-"""
+links AS (SELECT a, b, both_ / (na + nb - both_) AS similarity FROM j WHERE both_ / (na + nb - both_) >= 0.70), k AS (SELECT chunk_id, id FROM t JOIN u USING (norm)),
+pairs AS (SELECT least(x.chunk_id, y.chunk_id) AS a, greatest(x.chunk_id, y.chunk_id) AS b, max(similarity) AS similarity FROM (SELECT * FROM links UNION ALL SELECT id, id, 1.0 FROM u) l JOIN k x ON x.id = l.a JOIN k y ON y.id = l.b WHERE x.chunk_id <> y.chunk_id GROUP BY 1, 2)"""
+SQL["p5_found"] = f"{_GRAMS} SELECT a AS chunk_a, b AS chunk_b FROM pairs"
+SQL["p5_pairs"] = f"{_GRAMS} SELECT a AS chunk_id_a, b AS chunk_id_b, similarity FROM pairs"
+SQL["p5_groups"] = f"""{_GRAMS.replace("WITH t", "WITH RECURSIVE t", 1)},
+reps AS (SELECT id, min(chunk_id) AS class FROM k GROUP BY id), e AS (SELECT x.class AS a, y.class AS b FROM links JOIN reps x ON x.id = links.a JOIN reps y ON y.id = links.b),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), reach AS (SELECT class AS a, class AS b FROM reps UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a),
+grps AS (SELECT a AS class, min(b) AS grp FROM reach GROUP BY a), degree AS (SELECT a AS class, count(*) AS links FROM both_ways GROUP BY a),
+m AS (SELECT DISTINCT chunk_id, class FROM k JOIN reps USING (id)), s AS (SELECT grp, count(*) AS size FROM m JOIN grps USING (class) GROUP BY grp)
+SELECT chunk_id, class AS class_id, grp AS group_id, size AS group_size, coalesce(links, 0) AS links FROM m JOIN grps USING (class) JOIN s USING (grp) LEFT JOIN degree USING (class)"""
 
 # the items one after the other, each with the numbers of those before it that it matches
-SQL["p7_found"] = """
-WITH RECURSIVE cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY indexed_at DESC NULLS LAST) AS r FROM notes WHERE path IS NOT NULL) WHERE r = 1),
+_IN_TURN = """WITH RECURSIVE cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY indexed_at DESC NULLS LAST) AS r FROM notes WHERE path IS NOT NULL) WHERE r = 1),
 k AS (SELECT nullif(lower(text_hash), 'da39a3ee5e6b4b0d3255bfef95601890afd80709') AS h, CASE WHEN len(vec) = 64 AND list_inner_product(vec::DOUBLE[], vec::DOUBLE[]) > 0 THEN list_transform(vec::DOUBLE[], lambda x: x / sqrt(list_inner_product(vec::DOUBLE[], vec::DOUBLE[]))) END AS u FROM cur),
 i0 AS (SELECT DISTINCT ON (item_id) item_id, batch_no, text_hash, vec FROM incoming WHERE item_id IS NOT NULL ORDER BY item_id, batch_no, arrived_at),
-it AS (SELECT row_number() OVER (ORDER BY batch_no NULLS LAST, item_id) AS i, item_id, nullif(lower(text_hash), 'da39a3ee5e6b4b0d3255bfef95601890afd80709') AS h,
+it AS (SELECT row_number() OVER (ORDER BY batch_no NULLS LAST, item_id) AS i, item_id, coalesce(batch_no, 2147483647) AS batch_no, nullif(lower(text_hash), 'da39a3ee5e6b4b0d3255bfef95601890afd80709') AS h,
   CASE WHEN len(vec) = 64 AND list_inner_product(vec::DOUBLE[], vec::DOUBLE[]) > 0 THEN list_transform(vec::DOUBLE[], lambda x: x / sqrt(list_inner_product(vec::DOUBLE[], vec::DOUBLE[]))) END AS u FROM i0),
 ke AS (SELECT DISTINCT it.i FROM it JOIN k ON it.h = k.h), kn AS (SELECT DISTINCT it.i FROM it JOIN k ON it.u IS NOT NULL AND k.u IS NOT NULL AND list_inner_product(it.u, k.u) >= 0.95),
 e AS (SELECT a.i, list(b.i) AS e FROM it a JOIN it b ON b.i < a.i AND a.h = b.h GROUP BY a.i),
 n AS (SELECT a.i, list(b.i) AS n FROM it a JOIN it b ON b.i < a.i AND a.u IS NOT NULL AND b.u IS NOT NULL AND list_inner_product(a.u, b.u) >= 0.95 GROUP BY a.i),
-s AS MATERIALIZED (SELECT it.i, it.item_id, ke.i IS NOT NULL AS ke, kn.i IS NOT NULL AS kn, coalesce(e, []) AS e, coalesce(n, []) AS n FROM it LEFT JOIN ke USING (i) LEFT JOIN kn USING (i) LEFT JOIN e USING (i) LEFT JOIN n USING (i)),
-run AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS acc, NULL::BIGINT AS item_id, NULL::VARCHAR AS verdict UNION ALL
-  SELECT i, CASE WHEN v = 'accepted' THEN list_append(acc, i) ELSE acc END, item_id, v FROM (SELECT s.i, run.acc, s.item_id, CASE WHEN ke OR list_has_any(e, run.acc) THEN 'exact' WHEN kn OR list_has_any(n, run.acc) THEN 'near' ELSE 'accepted' END AS v FROM run JOIN s ON s.i = run.i + 1))
-SELECT item_id, verdict FROM run WHERE verdict <> 'accepted'
-"""
+s AS MATERIALIZED (SELECT it.i, it.item_id, it.batch_no, ke.i IS NOT NULL AS ke, kn.i IS NOT NULL AS kn, coalesce(e, []) AS e, coalesce(n, []) AS n FROM it LEFT JOIN ke USING (i) LEFT JOIN kn USING (i) LEFT JOIN e USING (i) LEFT JOIN n USING (i)),
+run AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS acc, NULL::BIGINT AS item_id, NULL::INT AS batch_no, NULL::VARCHAR AS verdict UNION ALL
+  SELECT i, CASE WHEN v = 'accepted' THEN list_append(acc, i) ELSE acc END, item_id, batch_no, v FROM (SELECT s.i, run.acc, s.item_id, s.batch_no, CASE WHEN ke OR list_has_any(e, run.acc) THEN 'exact' WHEN kn OR list_has_any(n, run.acc) THEN 'near' ELSE 'accepted' END AS v FROM run JOIN s ON s.i = run.i + 1))"""
+SQL["p7_found"] = f"{_IN_TURN} SELECT item_id, verdict FROM run WHERE verdict <> 'accepted'"
+SQL["p7_verdicts"] = f"{_IN_TURN} SELECT item_id, batch_no, verdict FROM run WHERE i > 0"
 
 
 @query
