@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notemill.functions.tokens import CJK, MAX_UNITS_PER_CHAR, SPACE, UNITS, token_units, tokens
+from notemill.session import materialize
 
 ATOM = f"(?>[{CJK}]|[A-Za-z0-9_]{{1,6}}|[^{SPACE}{CJK}A-Za-z0-9_])[{SPACE}]*+"
 MARKS = "\ue0f1\ue0f2\ue0f3\ue0f4\ue0f5"  #: private characters that stand for boundaries while a shape is made; a text's own don't count
@@ -78,10 +79,13 @@ def split_oversized(df: DataFrame, key: str, text: str = "text", heading: str =
     t = F.col("text")
     big = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(heading).alias("heading"))
     big = big.where(F.length(t) * MAX_UNITS_PER_CHAR > limit).withColumn("units", token_units(t)).where(F.col("units") > limit)
+    # a text that many rows have is cut once
+    whole = materialize(big.withColumn("h", F.unhex(F.md5("text"))), "oversized")
+    who = whole.select("h", "key", "heading").dropDuplicates(["h", "key"])
     # few rows are left, which would be read as one partition, but cutting is costly: they are dealt out again
     spark = df.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    big = big.dropDuplicates(["key", "text"]).repartition(tasks)
+    big = whole.groupBy("h").agg(F.first("text").alias("text"), F.first("units").alias("units")).repartition(tasks)
     line = F.regexp_extract(t, r"\A(#{1,6}[ \t]+[^\n]{1,4000})\n", 1)
     big = big.withColumn("head", F.when(token_units(line) * 4 <= limit, line).otherwise(""))
     big = big.withColumn("room", F.lit(limit - overlap_tokens * UNITS) - token_units(F.col("head")))
@@ -100,13 +104,15 @@ def split_oversized(df: DataFrame, key: str, text: str = "text", heading: str =
     before = lambda i: F.array_join(F.slice("atoms", F.get("ends", i) - F.get("laps", i - 1) + 1, F.get("laps", i - 1)), "")
     lap = F.transform("own", lambda _, i: F.when(i == 0, F.lit("")).otherwise(before(i)))
     # outer: else Spark infers a filter on the parts, pushes it down and cuts every text twice
-    big = big.withColumn("lap", lap).select("key", "heading", "head", "chars", F.posexplode_outer(F.arrays_zip("own", "lap")).alias("piece", "p"), F.size("own").alias("pieces"))
+    big = big.withColumn("lap", lap).select("h", "head", "chars", F.posexplode_outer(F.arrays_zip("own", "lap")).alias("piece", "p"), F.size("own").alias("pieces"))
     head = F.when((F.col("piece") == 0) | (F.col("head") == ""), F.lit("")).otherwise(F.concat("head", F.lit("\n\n")))
     out = big.withColumn("whole", F.concat(head, "p.lap", "p.own"))
-    return out.select(
-        F.col("key").alias(key), "piece", "pieces", F.col("heading").alias("heading_path"), F.col("whole").alias("text"), tokens(F.col("whole")).alias("tokens"),
+    out = out.select(
+        "h", "piece", "pieces", F.col("whole").alias("text"), tokens(F.col("whole")).alias("tokens"),
         F.element_at("chars", F.col("piece") + 1).alias("start_pos"), F.element_at("chars", F.col("piece") + 2).alias("end_pos"), F.length("p.lap").alias("overlap"),
     )
+    out = materialize(out, "pieces")  # else the optimizer drops or repeats the cut around the join
+    return who.join(out, "h").select(F.col("key").alias(key), "piece", "pieces", F.col("heading").alias("heading_path"), "text", "tokens", "start_pos", "end_pos", "overlap")
 
 
 def cut_right(pieces: DataFrame, key: str, max_tokens: int = 800) -> DataFrame:
