@@ -1,9 +1,13 @@
-"""Problem 6: the k most similar vectors of every vector, by a permutation index.
+"""Problem 6: the k most similar vectors of every vector, exactly (similar_pairs), and of a stated set of them, by a permutation index
+(similar_to).
 
-Every row is represented by its ordered nearest pivots (a prefix of its permutation of the pivots) and posted in the lists of
-the nearest of them. Within a list, rows are ranked by the footrule distance of their prefixes, and those ranked best are
-reranked by cosine. Rows with the same vector are one entry of the index, expanded at the end, so no group of copies is
-compared with itself.
+similar_pairs compares every pair of rows, in blocks: float32 products tell which pairs may count, these are computed again in
+float64. What is found of a row depends on its cosines alone, whatever the table's size, and the cost grows with the square of the
+rows.
+
+In the index, every row is represented by its ordered nearest pivots (a prefix of its permutation of the pivots) and posted in the lists
+of the nearest of them. Within a list, rows are ranked by the footrule distance of their prefixes, and those ranked best are
+reranked by cosine. In both, rows with the same vector are one entry, expanded at the end, so no group of copies is compared with itself.
 
 Defined results: rows without a usable vector (null, wrong length, not finite, all zero) neither ask nor answer; cosines equal
 to 5 decimals are ordered by key; an empty table gives an empty result; extra columns are ignored."""
@@ -18,14 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from notemill.functions.vectors import with_unit
-from notemill.llm.pivots import distinct_entries, fit_pivots, permute, pivot_at, post, unpack
+from notemill.functions.vectors import matrix, with_unit
+from notemill.llm.pivots import distinct_entries, fit_pivots, permute, pivot_at, unpack
 from notemill.session import drop_table, materialize
 
-PREFIX = 12  #: pivots of a permutation that are kept
-LISTS = 4  #: lists a row is posted in, and read from when it asks
-BLOCK = 6000  #: rows of a list compared in one task
-CANDIDATES = 256  #: rows of a list reranked for each asking row, besides all those tied with the last
+BLOCK = 6000  #: rows of a block, or of a list, compared at once
+STRIP, WIDTH = 512, 2048  #: rows of two blocks whose products are made at once
+AGAIN = 65_536  #: pairs computed again at once
+SLACK = 1e-5  #: more than a float32 product of unit vectors can be off by
 
 
 def footrule(q: np.ndarray, o: np.ndarray, pivots: int) -> np.ndarray:
@@ -41,29 +45,17 @@ def footrule(q: np.ndarray, o: np.ndarray, pivots: int) -> np.ndarray:
     return out
 
 
-def _rerank(xq: np.ndarray, pq: np.ndarray, xo: np.ndarray, po: np.ndarray, same: bool, k: int, least: float, candidates: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _rerank(xq: np.ndarray, pq: np.ndarray, xo: np.ndarray, po: np.ndarray, candidates: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     pivots = int(max(pq.max(initial=0), po.max(initial=0))) + 1
     out = []
     for s in range(0, len(xq), 512):
         far = footrule(pq[s : s + 512], po, pivots)
-        if same:
-            far[np.arange(far.shape[0]), np.arange(s, s + far.shape[0])] = np.iinfo(np.uint16).max
         if candidates < far.shape[1]:
             bound = np.partition(far, candidates - 1, axis=1)[:, candidates - 1 : candidates]
             i, j = np.nonzero(far <= bound)
         else:
-            i, j = np.nonzero(far < np.iinfo(np.uint16).max)
-        ok = far[i, j] < np.iinfo(np.uint16).max
-        i, j = i[ok], j[ok]
-        c = np.einsum("ij,ij->i", xq[s + i].astype(np.float64), xo[j].astype(np.float64)) if least <= -1 else None
-        if c is None:
-            c = (xq[s : s + 512] @ xo.T)[i, j]
-            near = c >= least - 1e-4
-            i, j = i[near], j[near]
-            c = np.einsum("ij,ij->i", xq[s + i].astype(np.float64), xo[j].astype(np.float64))
-            near = c >= least
-            i, j, c = i[near], j[near], c[near]
-        out.append((s + i, j, c))
+            i, j = (x.ravel() for x in np.indices(far.shape))
+        out.append((s + i, j, np.einsum("ij,ij->i", xq[s + i].astype(np.float64), xo[j].astype(np.float64))))
     i, j, c = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
     return i, j, c
 
@@ -76,42 +68,96 @@ def _best(i: np.ndarray, j: np.ndarray, c: np.ndarray, names: np.ndarray, k: int
     return order[rank < k]
 
 
-def similar_pairs(df: DataFrame, key: str, vec: str, k: int = 5, min_cosine: float = -1.0, dim: int = 64, pivots: int | None = None, lists: int = LISTS, prefix: int = PREFIX, candidates: int = CANDIDATES, block: int = BLOCK) -> DataFrame:
+def _alike(x: np.ndarray, y: np.ndarray, same: bool, k: int, least: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, cosine) of rows of x and y with a cosine of at least least, y's among the first k of x's row; and of y and x likewise,
+    unless they are the same rows. Rows are in order of their keys."""
+    xs, ys = x.astype(np.float32), y.astype(np.float32)
+    none = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    join = lambda *found: tuple(np.concatenate(z) for z in zip(*found))
+
+    def first(i: np.ndarray, j: np.ndarray, c: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keep = _best(i, j, c, np.arange(n), k)
+        return i[keep], j[keep], c[keep]
+
+    def kth(sim: np.ndarray, axis: int) -> np.ndarray | float:
+        """What a product must reach to be among the first k of its row or column, or to tie with them in 5 decimals."""
+        n = sim.shape[axis]
+        return np.partition(sim, n - k, axis=axis).take([n - k], axis) - 2 * SLACK - 1e-5 if k < n else -np.inf
+
+    there, back = [none], none
+    for s in range(0, len(x), STRIP):
+        found = [none]
+        for t in range(0, len(y), WIDTH):
+            sim = xs[s : s + STRIP] @ ys[t : t + WIDTH].T
+            if same:
+                at = np.arange(max(s, t), min(s + sim.shape[0], t + sim.shape[1]))
+                sim[at - s, at - t] = -np.inf
+            hit = sim >= least - SLACK
+            if np.count_nonzero(hit) > 4 * k * sum(sim.shape):  # as many can't all be among the first
+                hit &= (sim >= kth(sim, 1)) | (sim >= kth(sim, 0))
+            i, j = np.divmod(np.flatnonzero(hit), sim.shape[1])
+            i, j = i + s, j + t
+            for a in range(0, len(i), AGAIN):
+                p, q = i[a : a + AGAIN], j[a : a + AGAIN]
+                c = np.einsum("ij,ij->i", x[p], y[q])
+                ok = c >= least
+                found.append((p[ok], q[ok], c[ok]))
+        i, j, c = join(*found)
+        there.append(first(i, j, c, len(y)))
+        if not same and len(i):
+            back = first(*join(back, (j, i, c)), len(x))
+    return [join(*there)] if same else [join(*there), back]
+
+
+def _blocks(entries: DataFrame, block: int, dim: int) -> DataFrame:
+    """(id, reps, x): entries (rep, u), so many to a row, in order of rep; x is their packed vectors."""
+    kind = entries.schema["rep"].dataType.simpleString()
+
+    def row(t: pa.Table) -> pa.RecordBatch:
+        t = t.sort_by("rep").combine_chunks()
+        reps = pa.ListArray.from_arrays(pa.array([0, t.num_rows], pa.int32()), t.column("rep").combine_chunks())
+        return pa.RecordBatch.from_arrays([reps, pa.array([matrix(t.column("u"), np.dtype(np.float64), dim).tobytes()], pa.binary())], names=["reps", "x"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for b in batches:
+            t = pa.Table.from_batches([*rest, b])
+            for s in range(0, t.num_rows - block + 1, block):
+                yield row(t.slice(s, block))
+            rest = t.slice(t.num_rows // block * block).to_batches()
+        if rest:
+            yield row(pa.Table.from_batches(rest))
+
+    packed = entries.select("rep", "u").mapInArrow(run, f"reps array<{kind}>, x binary")
+    return materialize(packed.select(F.monotonically_increasing_id().alias("id"), "reps", "x"), "blocks")
+
+
+def similar_pairs(df: DataFrame, key: str, vec: str, k: int = 5, min_cosine: float = -1.0, dim: int = 64, pivots: int | None = None, block: int = BLOCK) -> DataFrame:
     """(key, neighbour, cosine, rank): for each row of df with a usable vector its k most similar other rows, of cosine at least min_cosine.
 
-    key must be unique and not null. Recall against brute force is measured in the tests and stated in the README."""
-    spark = df.sparkSession
+    key must be unique and not null. Every pair is compared, whatever block is; pivots, which callers of the former index give, has no effect."""
     data = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(vec).alias("vec"))
     kind = data.schema["key"].dataType.simpleString()
-    _, members, entries = distinct_entries(data, "key", "vec", dim)
-    base = fit_pivots(entries, dim, pivots)
-    if not len(base):
-        return spark.createDataFrame([], f"{key} {kind}, neighbour {kind}, cosine double, rank int")
-    lists = min(lists, len(base))
-    posted = post(materialize(permute(entries, base, dim, prefix), "permuted"), lists, block, dim)
-
-    def kernel(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(batches).combine_chunks()
-        side = np.asarray(t.column("side"))
-        x, p = unpack(t, dim)
-        names = t.column("rep").combine_chunks()
-        place = np.empty(len(names), np.int64)
-        place[np.asarray(pa.compute.array_sort_indices(names))] = np.arange(len(names))
-        found = []
-        if len(side) and side[0] == 2:
-            i, j, c = _rerank(x, p, x, p, True, k, min_cosine, candidates)
-            found.append((i, j, c))
-        else:
-            l, r = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            for a, b in ((l, r), (r, l)):
-                if len(a) and len(b):
-                    i, j, c = _rerank(x[a], p[a], x[b], p[b], False, k, min_cosine, candidates)
-                    found.append((a[i], b[j], c))
-        for i, j, c in found:
-            keep = _best(i, j, c, place, k)
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(i[keep])), names.take(pa.array(j[keep])), pa.array(c[keep], pa.float64())], names=["rep", "other", "cosine"])
-
-    links = posted.groupBy("cell", "a", "b").applyInArrow(kernel, f"rep {kind}, other {kind}, cosine double").distinct()
+    _, members, entries = distinct_entries(data, "key", "vec", dim, np.float64)
+    blocks = _blocks(entries, block, dim)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                same = b.column("id")[r] == b.column("other_id")[r]
+                x, y = (np.frombuffer(b.column(n)[r].as_buffer(), np.float64).reshape(-1, dim) for n in ("x", "other_x"))
+                names = b.column("reps")[r].values, b.column("other_reps")[r].values
+                for (i, j, c), (mine, other) in zip(_alike(x, y, same, k, min_cosine), (names, names[::-1])):
+                    yield pa.RecordBatch.from_arrays([mine.take(pa.array(i)), other.take(pa.array(j)), pa.array(c, pa.float64())], names=["rep", "other", "cosine"])
+
+    # each pair of blocks once, on either side, so that no task has all of a block's; neither side is moved to disk for it
+    i, j = F.col("id"), F.col("other_id")
+    once = (i == j) | ((i < j) == (F.xxhash64(F.least(i, j), F.greatest(i, j)) % 2 == 0))
+    met = blocks.join(blocks.select([F.col(c).alias(f"other_{c}") for c in blocks.columns]), once)
+    links = met.mapInArrow(kernel, f"rep {kind}, other {kind}, cosine double")
+    # a class of copies that is not among the first k, by its least key, has no row that is
+    order = Window.partitionBy("rep").orderBy(F.round("cosine", 5).desc(), "other")
+    links = links.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
     # the k + 1 least keys of each repeated vector answer for all of its rows
     first = Window.partitionBy("rep").orderBy("key")
     least = members.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).select("rep", "key")
@@ -165,7 +211,7 @@ def similar_to(queries: DataFrame, df: DataFrame, key: str, vec: str, k: int = 5
         (x, p), (y, q) = unpack(left.combine_chunks(), dim), unpack(right.combine_chunks(), dim)
         place = np.empty(len(reps), np.int64)
         place[np.asarray(pa.compute.array_sort_indices(reps))] = np.arange(len(reps))
-        i, j, c = _rerank(x, p, y, q, False, k, -1.0, ASK_CANDIDATES)
+        i, j, c = _rerank(x, p, y, q, ASK_CANDIDATES)
         keep = _best(i, j, c, place, k + 1)
         return pa.table({"key": asks.take(pa.array(i[keep])), "rep": reps.take(pa.array(j[keep])), "cosine": pa.array(c[keep])})
 

@@ -20,12 +20,12 @@ SUBLISTS, SUBPREFIX = 3, 12  #: of these, the lists each of its rows is posted i
 SHARE = 4000  #: rows of such a list that one task permutes
 
 
-def distinct_entries(df: DataFrame, key: str, vec: str, dim: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def distinct_entries(df: DataFrame, key: str, vec: str, dim: int, dtype: type = np.float32) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of the rows with a usable vector: themselves as a table (key, h, u: packed unit vector); (rep, key) of those whose vector is
     repeated; and (rep, u), each vector once.
 
     Copies are found by digest, in short columns; they are a table of their own, so that Spark knows its size when it plans joins."""
-    units = with_unit(df.select(F.col(key).alias("key"), F.col(vec).alias("vec")), dim=dim)
+    units = with_unit(df.select(F.col(key).alias("key"), F.col(vec).alias("vec")), dim=dim, dtype=dtype)
     rows = materialize(units.withColumn("h", F.unhex(F.md5("u"))), "units")
     copies = rows.groupBy("h").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     members = materialize(rows.select("h", "key").join(materialize(copies, "copies"), "h").select("rep", "key"), "members")

@@ -108,6 +108,32 @@ def test_long_lists_are_divided_by_pivots_of_their_own(spark):
     assert total > 390 and hit / total >= 0.9
 
 
+@pytest.mark.parametrize("n", [5500, 7500])
+def test_similar_pairs_are_all_found_at_any_size(spark, n):
+    """Rows that are alike in fives, all near one direction: fewer and more of them than a pivot's list may have before it is divided."""
+    r = np.random.default_rng(2)
+    v = r.standard_normal(64)
+    x = np.repeat(v / np.linalg.norm(v) + 0.05 * r.standard_normal((n // 5, 64)), 5, axis=0) + 0.02 * r.standard_normal((n, 64))
+    x = x.astype(np.float32)
+    got = similar_pairs(table(spark, x, ODD), "path", "vec", k=5, min_cosine=0.9, pivots=6)
+    assert {(p.path, p.neighbour) for p in got.collect()} == brute(x.astype(float), 0.9, 5)
+
+
+@pytest.mark.parametrize("block", [6000, 170])
+def test_similar_pairs_of_any_cosine_and_ties(spark, block):
+    """All pairs count, a third of the rows are so near each other that most of their cosines are equal in 5 decimals."""
+    x = vectors(7)
+    x[300:600] = x[300] + 2e-3 * np.random.default_rng(8).standard_normal((300, 64))
+    got = similar_pairs(table(spark, x, ODD), "path", "vec", k=5, block=block).collect()
+    assert {(p.path, p.neighbour) for p in got} == brute(x.astype(float), -2, 5) and len(got) == 5 * 900
+
+
+def test_a_cosine_at_the_threshold_counts(spark):
+    x = np.zeros((2, 64))
+    x[0, 0], x[1, :4] = 1, (9, 3, 3, 1)
+    assert {(p.path, p.neighbour) for p in similar_pairs(table(spark, x), "path", "vec", min_cosine=0.9).collect()} == {("p0000", "p0001"), ("p0001", "p0000")}
+
+
 def test_compared_rows_stay_the_same_as_the_table_grows(spark):
     """Rows of a list that one row meets, by the lists' lengths, over synthetic rows and few pivots (as beyond MAX_PIVOTS)."""
     met = []
