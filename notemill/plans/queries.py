@@ -72,10 +72,13 @@ def chunks_of_notes(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return rows.groupBy("note", "idx").agg(F.max(F.struct("chunk_id", *columns)).alias("c")).select("note", "idx", *[f"c.{c}" for c in columns])
 
 
-def packed_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks with a usable vector of notes with one."""
-    rows = with_unit(chunks_of_notes(spark, d, "tokens", "vec"), dtype=np.float64)
-    return materialize(rows.join(packed_notes(spark, d).select(F.col("path").alias("note")), "note"), "chunks")
+def packed_chunks(spark: SparkSession, d: str, notes: DataFrame | None = None) -> DataFrame:
+    """Chunks with a usable vector of notes with one. notes: packed_notes, if the caller has them.
+
+    Vectors are moved and kept as they are given, half as long as packed ones, and packed when read."""
+    notes = packed_notes(spark, d) if notes is None else notes
+    rows = chunks_of_notes(spark, d, "tokens", "vec").where(usable(F.col("vec"), 64))
+    return with_unit(materialize(rows.join(notes.select(F.col("path").alias("note")), "note"), "chunks"), dtype=np.float64)
 
 
 def items_of(spark: SparkSession, d: str) -> DataFrame:
@@ -181,7 +184,8 @@ WITH {_CUR}, {_I} SELECT DISTINCT query AS doc, cur.path AS target FROM i0 JOIN
 
 
 def _related(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    notes, chunks = materialize(packed_notes(spark, d), "notes"), packed_chunks(spark, d)
+    notes = materialize(packed_notes(spark, d), "notes")
+    chunks = packed_chunks(spark, d, notes)
     links = materialize(chunk_links(chunks, THRESHOLDS["chunk_match"], 64), "links")
     return related_notes(notes, chunks, links, THRESHOLDS), chunks, links
 
@@ -520,7 +524,8 @@ def _item_chunks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def dedup_docs(spark: SparkSession, d: str) -> DataFrame:
     """Items of the inbox against the notes and their chunks, all at once."""
     docs, mine = _item_chunks(spark, d)
-    notes, chunks = materialize(packed_notes(spark, d), "notes"), packed_chunks(spark, d)
+    notes = materialize(packed_notes(spark, d), "notes")
+    chunks = packed_chunks(spark, d, notes)
     links = materialize(chunk_links_between(mine, chunks, THRESHOLDS["chunk_match"], 64), "links")
     return related_to(docs, mine, notes, chunks, links, THRESHOLDS).withColumnRenamed("a", "doc").withColumnRenamed("b", "target")
 

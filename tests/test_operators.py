@@ -64,6 +64,41 @@ def test_exact_and_two_sided_joins(spark, monkeypatch):
     assert pairs_between(left.limit(0), right, 0.9, 16).count() == pairs_between(left, right.limit(0), 0.1, 16).count() == 0
 
 
+def shuffled(spark, run):
+    """Bytes that run() writes to shuffles."""
+
+    def total():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    before = total()
+    run()
+    return total() - before
+
+
+@pytest.mark.parametrize("least", [0.92, 0.6])
+def test_joins_move_less_than_their_vectors(spark, least):
+    from notemill.operators.vector_join import pairs_between
+    from notemill.session import materialize
+
+    r = np.random.default_rng(8)
+    x = r.standard_normal((1500, 64))
+    x[1000:1300] = x[:300] + 0.02 * r.standard_normal((300, 64))
+    x[1300:1500] = x[:200] + 1.0 * r.standard_normal((200, 64))
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    df = materialize(with_unit(spark.createDataFrame([(f"k{i:04d}", v.tolist()) for i, v in enumerate(x)], "key string, vec array<double>"), dtype=np.float64), "rows")
+    left, right = df.where("key < 'k1000'"), df.where("key >= 'k1000'")
+    found = []
+    assert shuffled(spark, lambda: found.extend(pairs_above(df, least).collect())) < 1500 * 512
+    s = np.round(u @ u.T, 9)
+    want = {(f"k{i:04d}", f"k{j:04d}") for i, j in np.argwhere(np.triu(s >= least, 1))}
+    assert {(p.a, p.b) for p in found} == want and len(found) == len(want) >= 300
+    found.clear()
+    assert shuffled(spark, lambda: found.extend(pairs_between(left, right, least).collect())) < 1500 * 512
+    want = {(f"k{i:04d}", f"k{j + 1000:04d}") for i, j in np.argwhere(s[:1000, 1000:] >= least)}
+    assert {(p.left, p.right) for p in found} == want and len(found) == len(want) >= 300
+
+
 T = {"dup": 0.95, "near_dup": 0.85, "contained_ratio": 0.8, "chunk_match": 0.92}
 
 
